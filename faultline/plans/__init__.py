@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from . import accuracy, reports  # noqa: F401
+from . import accuracy, ingest, reports, search  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
