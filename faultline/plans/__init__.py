@@ -3,7 +3,7 @@
 Importing this package registers every query module.
 """
 
-from . import accuracy, ingest, reports, search, sessions, text  # noqa: F401
+from . import accuracy, ingest, reports, search, sessions, streams, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -72,13 +72,13 @@ def accuracy_by_diagram(spark, sf_dir):
 
 @register("feedback_scored", f"""WITH {FEEDBACK_SQL}
 SELECT l_orderkey, l_linenumber, knia_diagram, predicted_fault_a, actual_fault_a, is_correct,
-       CAST([] AS VARCHAR[]) AS modifiers_applied
+       CAST(len(CAST([] AS VARCHAR[])) AS INTEGER) AS n_modifiers
 FROM scored""")
 def feedback_scored(spark, sf_dir):
     df = acc.score_feedback(feedback(spark, sf_dir), "predicted_fault_a", "actual_fault_a",
                             modifiers="modifiers_applied")
     return df.select("l_orderkey", "l_linenumber", "knia_diagram", "predicted_fault_a",
-                     "actual_fault_a", "is_correct", "modifiers_applied")
+                     "actual_fault_a", "is_correct", F.size("modifiers_applied").cast("int").alias("n_modifiers"))
 
 
 @register("diagram_stats", f"WITH {FEEDBACK_SQL} {STATS_SQL}")

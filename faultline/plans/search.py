@@ -44,7 +44,7 @@ precedents AS (
 )"""
 
 OUT = ["id", "case_number", "case_name", "court", "fault_ratio", "fault_a", "fault_b",
-       "categories", "keywords", "relevance_score"]
+       "categories", "keywords_text", "relevance_score"]
 OUT_SQL = ", ".join(OUT)
 
 
@@ -121,8 +121,8 @@ def precedent_by_keyword(spark, sf_dir):
 
 
 @register("keyword_array_match", """
-SELECT p_partkey AS id, string_split(p_name, ' ') AS keywords FROM part
+SELECT p_partkey AS id, array_to_string(string_split(p_name, ' '), ' ') AS keywords_text FROM part
 WHERE list_contains(string_split(p_name, ' '), 'ring') OR list_contains(string_split(p_name, ' '), 'hot')""")
 def keyword_array_match(spark, sf_dir):
-    p = precedents(spark, sf_dir).select("id", "keywords")
-    return srch.array_keyword_match(p, "keywords", ["ring", "hot"], mode="any")
+    p = precedents(spark, sf_dir).select("id", "keywords", "keywords_text")
+    return srch.array_keyword_match(p, "keywords", ["ring", "hot"], mode="any").select("id", "keywords_text")
