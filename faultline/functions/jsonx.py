@@ -20,12 +20,13 @@ def present(v: Column) -> Column:
     return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def js_falsy(v: Column) -> Column:
+def js_falsy(v: Column, type_name: Column | None = None) -> Column:
     """JavaScript falsiness of a VARIANT value: null, false, 0, NaN, ''.
 
-    The string "0" and empty objects/arrays are truthy, so the type matters.
+    The string "0" and empty objects/arrays are truthy, so the type matters;
+    pass a precomputed ``schema_of_variant(v)`` column to avoid recomputing it.
     """
-    t = F.schema_of_variant(v)
+    t = type_name if type_name is not None else F.schema_of_variant(v)
     is_num = t.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
     num = F.try_variant_get(v, "$", "double")
     return (~present(v)
@@ -40,6 +41,14 @@ def unwrap(v: Column, key: str) -> Column:
     return F.when(~F.coalesce(js_falsy(inner), F.lit(True)), inner).otherwise(v)
 
 
+def unwrap_staged(df, v: str, key: str, out: str):
+    """``unwrap`` as staged columns on a DataFrame (parsed value read once)."""
+    df = df.withColumn("_inner", F.try_variant_get(F.col(v), f"$.{key}", "variant"))
+    df = df.withColumn("_inner_t", F.schema_of_variant("_inner"))
+    keep = ~F.coalesce(js_falsy(F.col("_inner"), F.col("_inner_t")), F.lit(True))
+    return df.withColumn(out, F.when(keep, F.col("_inner")).otherwise(F.col(v))).drop("_inner", "_inner_t")
+
+
 def field(v: Column, name: str, dtype: str = "string") -> Column:
     """Typed field access; a value of the wrong type becomes null."""
     return F.try_variant_get(v, f"$.{name}", dtype)

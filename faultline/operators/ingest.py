@@ -44,9 +44,18 @@ VIDEO_FIELDS = [
 
 def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "video",
                           keep: list[str] | None = None) -> DataFrame:
-    """One JSON record per row -> the 20 video columns + raw_json."""
-    v = jx.parse(F.col(raw))
-    body = jx.unwrap(v, wrapper)
+    """One JSON record per row -> the 20 video columns + raw_json.
+
+    The text is parsed once; the unwrap and the field reads work on staged
+    columns (a projection referencing a parsed value several times is not
+    collapsed into its consumer, so nothing is parsed twice).
+    """
+    x = df.withColumn("_v", jx.parse(F.col(raw)))
+    x = x.withColumn("_inner", F.try_variant_get(F.col("_v"), f"$.{wrapper}", "variant"))
+    x = x.withColumn("_inner_t", F.schema_of_variant("_inner"))
+    x = x.withColumn("_body", F.when(~F.coalesce(jx.js_falsy(F.col("_inner"), F.col("_inner_t")), F.lit(True)),
+                                     F.col("_inner")).otherwise(F.col("_v")))
+    body = F.col("_body")
     cols = [F.col(k) for k in (keep or [])]
     for out, keys, dtype, rule in VIDEO_FIELDS:
         val = jx.first_field(body, keys, dtype)
@@ -55,7 +64,7 @@ def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "
         cols.append(val.alias(out))
     cols.append(F.coalesce(jx.field(body, "has_mp4", "boolean"), F.lit(False)).alias("has_mp4"))
     cols.append(F.col(raw).alias("raw_json"))
-    return df.select(*cols)
+    return x.select(*cols)
 
 
 def validate(df: DataFrame, rules: list[tuple[str, Column]], reason: str = "reject_reason") -> DataFrame:

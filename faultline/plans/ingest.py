@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as ing
 from ..operators import upsert as ups
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from .registry import register
 
 # ---------------------------------------------------------------- JSON records
@@ -38,7 +38,7 @@ def video_json(spark, sf_dir):
             F.concat(F.lit(',"has_mp4":'), F.when(F.col("o_orderstatus") == "F", F.lit("true")).otherwise(F.lit("false")))),
         F.lit("}"))
     raw = F.when(k % 2 == 1, F.concat(F.lit('{"video":'), inner, F.lit("}"))).otherwise(inner)
-    return o.select("o_orderkey", raw.alias("raw_json"))
+    return spread(o).select("o_orderkey", raw.alias("raw_json"))
 
 
 VIDEO_JSON_SQL = """
@@ -142,7 +142,7 @@ def salted_hash(spark, sf_dir):
 
 def analysis_requests(spark, sf_dir):
     """documents as save requests (some fields empty/absent on purpose)."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source", "n_chars")
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source", "n_chars"))
     return d.select(
         "doc_id",
         F.col("text").alias("input_text"),

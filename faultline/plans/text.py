@@ -14,7 +14,7 @@ from ..operators import render as rnd
 from ..operators import replies as rpl
 from ..operators import rules as rul
 from ..operators import usage as use
-from ..sources.tables import Tables
+from ..sources.tables import Tables, spread
 from .registry import register
 
 s = lambda c: c.cast("string")
@@ -24,7 +24,7 @@ s = lambda c: c.cast("string")
 def reply_texts(spark, sf_dir):
     """Model replies per conversation turn, shaped by conv_id % 4:
     plain, fenced, wrapped in prose, cut off."""
-    c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text")
+    c = spread(Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text"))
     obj = F.concat(F.lit('{"conv_id":'), s(F.col("conv_id")), F.lit(',"turn":'), s(F.col("turn")),
                    F.lit(',"role":"'), F.col("role"), F.lit('","n":'), s(F.length("text")), F.lit("}"))
     kind = F.col("conv_id") % 4
@@ -82,7 +82,7 @@ def llm_json_repair(spark, sf_dir):
 
 
 def typed_reply_texts(spark, sf_dir):
-    p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", "p_size")
+    p = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", "p_size"))
     conf = F.when(F.col("p_size") % 2 == 0, s(F.col("p_size") * 2)) \
             .otherwise(F.concat(F.lit('"'), s(F.col("p_size") * 2), F.lit('"')))
     txt = F.concat(
@@ -167,7 +167,7 @@ CASE WHEN instr(text, 'schst') > 0 THEN 'schst'
 @register("rule_classify", f"""
 SELECT doc_id, {_CLASSIFY_SQL} AS category, {_MATCHED_SQL} AS matched_keyword FROM documents""")
 def rule_classify(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     return rul.classify(d, "text", DOC_RULES, default="plain").select("doc_id", "category", "matched_keyword")
 
 
@@ -186,7 +186,7 @@ SELECT doc_id, category, subcategory,
                    WHEN 'adv_fr' THEN 'V1~V5' WHEN 'adv_other' THEN 'V6~V9' END AS id_range
 FROM s""")
 def rule_subclassify(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     c = rul.classify(d, "text", DOC_RULES, default="plain", matched=None)
     sc = rul.subclassify(c, "text", "category", DOC_SUBRULES)
     return sc.select("doc_id", "category", "subcategory",
@@ -323,7 +323,7 @@ def _sql_lit(x: str) -> str:
 SELECT doc_id, {_sql_lit(rnd.PROMPT_HEAD)} || coalesce(text, 'null') || {_sql_lit(rnd.PROMPT_LIST)}
        || {_sql_lit(CATALOGUE)} AS prompt FROM documents""")
 def render_prompt(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     return d.select("doc_id", rnd.render_prompt("text", CATALOGUE).alias("prompt"))
 
 
