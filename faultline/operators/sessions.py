@@ -76,9 +76,10 @@ def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols:
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queries = u.withColumn("_m", F.last("_cand", ignorenulls=True).over(w)).where(F.col("_q") == 1)
     # carry-over: the last candidate of the earlier chunks of the same key,
-    # computed on the per-(key, chunk) table only
+    # computed on the per-(key, chunk) tables only (derived from the inputs,
+    # so the big windowed frame is not evaluated twice)
     carry = L.groupBy("_by", "_chunk").agg(F.max_by("_cand", F.struct("_ts", "_tb")).alias("_last"))
-    need = queries.where(F.col("_m").isNull()).select("_by", "_chunk").distinct()
+    need = R.select("_by", "_chunk").distinct()
     cand = (carry.withColumn("_kind", F.lit(1))
             .unionByName(need.withColumn("_kind", F.lit(0))
                          .withColumn("_last", F.lit(None).cast(carry.schema["_last"].dataType))))
