@@ -59,3 +59,15 @@ def current(spark: SparkSession, root: str, key: str, base: DataFrame | None = N
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
     return dedupe_last(u, key, [BATCH_COL, SEQ_COL]).drop(BATCH_COL, SEQ_COL)
+
+
+def compact(spark: SparkSession, root: str, key: str, base_root: str, version: int,
+            base: DataFrame | None = None) -> str:
+    """Fold base + log into a new base version (the log can then be retired).
+
+    Readers keep working during compaction: the new base is a new folder.
+    """
+    from .snapshots import write_version
+
+    cur = current(spark, root, key, base=base)
+    return write_version(cur, base_root, version)

@@ -54,3 +54,28 @@ def read_current(spark: SparkSession, root: str, before: int | None = None) -> D
     if not vs:
         return None
     return spark.read.parquet(version_path(root, vs[-1]))
+
+
+def upsert_into(spark: SparkSession, root: str, source: DataFrame, key: str,
+                on_duplicate: str = "error", order: list[str] | None = None,
+                initial: DataFrame | None = None) -> int:
+    """K5/K6 persisted: merge ``source`` into the current version, write the next.
+
+    The current version is only read; the result goes to a new version
+    directory, so a failed write leaves the table as it was. Returns the new
+    version number.
+    """
+    from ..operators.upsert import upsert
+
+    vs = committed_versions(spark, root)
+    cur = read_current(spark, root)
+    if cur is None:
+        if initial is None:
+            cur = spark.createDataFrame([], source.select(*[c for c in source.columns
+                                                            if c not in (order or [])]).schema)
+        else:
+            cur = initial
+    merged = upsert(cur, source, key, on_duplicate=on_duplicate, order=order)
+    nxt = (vs[-1] + 1) if vs else 0
+    write_version(merged, root, nxt)
+    return nxt
