@@ -29,13 +29,22 @@ from ..sources import changelog
 from ..sources.tables import table_path
 
 
-def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1) -> DataFrame:
-    """Stream the Parquet files of one table (new files = new micro-batches)."""
-    schema = spark.read.parquet(table_path(sf_dir, table)).schema
-    return (spark.readStream.schema(schema)
-            .option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files)
-            .parquet(sf_dir))
+def file_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int = 1000) -> DataFrame:
+    """Stream the Parquet files of one table, at most ``max_files`` per micro-batch.
+
+    A table stored as a directory of part files is streamed as that
+    directory; a single ``<table>.parquet`` file is picked out of ``sf_dir``
+    with a glob.
+    """
+    path = table_path(sf_dir, table)
+    schema = spark.read.parquet(path).schema
+    jvm = spark.sparkContext._jvm
+    hp = jvm.org.apache.hadoop.fs.Path(path)
+    is_dir = hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hp).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if is_dir:
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 def run_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str:
