@@ -20,33 +20,33 @@ def present(v: Column) -> Column:
     return v.isNotNull() & ~F.is_variant_null(v)
 
 
-def js_falsy(v: Column, type_name: Column | None = None) -> Column:
-    """JavaScript falsiness of a VARIANT value: null, false, 0, NaN, ''.
+def js_truthy(v: Column) -> Column:
+    """JavaScript truthiness of a VARIANT value.
 
-    The string "0" and empty objects/arrays are truthy, so the type matters;
-    pass a precomputed ``schema_of_variant(v)`` column to avoid recomputing it.
+    Objects and arrays (even empty ones) are truthy; null, JSON null, false,
+    0 and '' are falsy; the string "0" is truthy. Objects are recognised by
+    a struct-typed read (non-null for any object), so only primitives are
+    serialised for the test -- no full-schema walk of large values.
     """
-    t = type_name if type_name is not None else F.schema_of_variant(v)
-    is_num = t.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL)")
-    num = F.try_variant_get(v, "$", "double")
-    return (~present(v)
-            | ((t == F.lit("BOOLEAN")) & (F.try_variant_get(v, "$", "boolean") == F.lit(False)))
-            | ((t == F.lit("STRING")) & (F.try_variant_get(v, "$", "string") == F.lit("")))
-            | (is_num & ((num == F.lit(0.0)) | F.isnan(num))))
+    is_obj = F.try_variant_get(v, "$", "struct<x:string>").isNotNull()
+    is_arr = F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    tj = F.to_json(v)
+    falsy_primitive = tj.isin("false", '""', "null") | tj.rlike(r"^-?0+(\.0+)?([eE][+-]?\d+)?$")
+    return (F.when(~present(v), F.lit(False))
+             .when(is_obj, F.lit(True))
+             .when(is_arr, F.lit(True))
+             .otherwise(~falsy_primitive))
 
 
 def unwrap(v: Column, key: str) -> Column:
     """``r[key] || r`` -- the nested value when truthy, else the record."""
     inner = F.try_variant_get(v, f"$.{key}", "variant")
-    return F.when(~F.coalesce(js_falsy(inner), F.lit(True)), inner).otherwise(v)
+    return F.when(js_truthy(inner), inner).otherwise(v)
 
 
-def unwrap_staged(df, v: str, key: str, out: str):
-    """``unwrap`` as staged columns on a DataFrame (parsed value read once)."""
-    df = df.withColumn("_inner", F.try_variant_get(F.col(v), f"$.{key}", "variant"))
-    df = df.withColumn("_inner_t", F.schema_of_variant("_inner"))
-    keep = ~F.coalesce(js_falsy(F.col("_inner"), F.col("_inner_t")), F.lit(True))
-    return df.withColumn(out, F.when(keep, F.col("_inner")).otherwise(F.col(v))).drop("_inner", "_inner_t")
+def record_struct(fields: list[tuple[str, str]]) -> str:
+    """A struct type for reading many fields of a JSON object in one pass."""
+    return "struct<" + ", ".join(f"`{n}`:{t}" for n, t in fields) + ">"
 
 
 def field(v: Column, name: str, dtype: str = "string") -> Column:

@@ -46,23 +46,28 @@ def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "
                           keep: list[str] | None = None) -> DataFrame:
     """One JSON record per row -> the 20 video columns + raw_json.
 
-    The text is parsed once; the unwrap and the field reads work on staged
-    columns (a projection referencing a parsed value several times is not
-    collapsed into its consumer, so nothing is parsed twice).
+    The text is parsed once and all fields are read with ONE struct-typed
+    variant read (a field of the wrong type becomes null on its own). Each
+    step is a staged column, so Catalyst does not inline the parse into
+    every consumer.
     """
+    source_fields = []
+    for _, keys, dtype, _ in VIDEO_FIELDS:
+        for k in keys:
+            source_fields.append((k, dtype))
+    source_fields.append(("has_mp4", "boolean"))
     x = df.withColumn("_v", jx.parse(F.col(raw)))
     x = x.withColumn("_inner", F.try_variant_get(F.col("_v"), f"$.{wrapper}", "variant"))
-    x = x.withColumn("_inner_t", F.schema_of_variant("_inner"))
-    x = x.withColumn("_body", F.when(~F.coalesce(jx.js_falsy(F.col("_inner"), F.col("_inner_t")), F.lit(True)),
-                                     F.col("_inner")).otherwise(F.col("_v")))
-    body = F.col("_body")
+    x = x.withColumn("_body", F.when(jx.js_truthy(F.col("_inner")), F.col("_inner")).otherwise(F.col("_v")))
+    x = x.withColumn("_rec", F.try_variant_get(F.col("_body"), "$", jx.record_struct(source_fields)))
+    rec = F.col("_rec")
     cols = [F.col(k) for k in (keep or [])]
     for out, keys, dtype, rule in VIDEO_FIELDS:
-        val = jx.first_field(body, keys, dtype)
+        val = F.coalesce(*[rec[k] for k in keys]) if len(keys) > 1 else rec[keys[0]]
         if rule == "||":
             val = js.falsy_to_null(val, StringType() if dtype == "string" else IntegerType())
         cols.append(val.alias(out))
-    cols.append(F.coalesce(jx.field(body, "has_mp4", "boolean"), F.lit(False)).alias("has_mp4"))
+    cols.append(F.coalesce(rec["has_mp4"], F.lit(False)).alias("has_mp4"))
     cols.append(F.col(raw).alias("raw_json"))
     return x.select(*cols)
 

@@ -433,3 +433,15 @@ def test_histogram_top(spark):
 
 def test_fixture_row():
     assert Row(a=1)["a"] == 1
+
+
+def test_js_truthiness_of_wrapper(spark):
+    from faultline.functions import jsonx as jx
+
+    cases = [('{"video":{}}', True), ('{"video":[]}', True), ('{"video":"0"}', True), ('{"video":"false"}', True),
+             ('{"video":0}', False), ('{"video":0.0}', False), ('{"video":false}', False), ('{"video":""}', False),
+             ('{"video":null}', False), ('{"x":1}', False), ('{"video":-1}', True), ('{"video":true}', True)]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, j string")
+    inner = F.try_variant_get(F.try_parse_json("j"), "$.video", "variant")
+    out = one(df.orderBy("i").select(jx.js_truthy(inner).alias("t")), "t")
+    assert out == [t for _, t in cases]
