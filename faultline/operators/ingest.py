@@ -169,3 +169,46 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
         w = w.partitionBy(*partition_by)
     w.save(path)
     return path
+
+
+def shape_llm_records(df: DataFrame) -> DataFrame:
+    """The model-result row written next to an analysis.
+
+    ``llm_diagram_id || null``, faults ``?? null`` (0 kept), confidence
+    ``|| null`` (0 dropped), texts cut to 5,000 code points, modifiers
+    default to [], tokens ``|| 0``, and the engine-agreement flag.
+    """
+    def col(name, dtype="string"):
+        return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
+
+    a, b = js.js_string(col("llm_diagram_id")), js.js_string(col("engine_diagram_id"))
+    out = {
+        "llm_diagram_id": js.falsy_to_null(col("llm_diagram_id")),
+        "llm_fault_a": col("llm_fault_a", "int"),
+        "llm_fault_b": col("llm_fault_b", "int"),
+        "llm_confidence": js.falsy_to_null(col("llm_confidence", "int"), IntegerType()),
+        "llm_reasoning": js.truncate(col("llm_reasoning"), 5000),
+        "llm_analysis": js.truncate(col("llm_analysis"), 5000),
+        "llm_modifiers": F.coalesce(col("llm_modifiers", "array<string>"), F.array().cast("array<string>")),
+        "llm_tokens": js.falsy_default(col("llm_tokens", "int"), F.lit(0), IntegerType()),
+        "matches_engine": a == b,
+    }
+    drop = set(out) | {"engine_diagram_id"}
+    passthrough = [c for c in df.columns if c not in drop]
+    return df.select(*passthrough, *[v.alias(k) for k, v in out.items()])
+
+
+def table_defaults(df: DataFrame, defaults: dict) -> DataFrame:
+    """SQL column DEFAULTs -- they fill columns the insert omits.
+
+    An explicit NULL in a present column stays NULL, as in the database.
+    """
+    for name, value in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
+    return df
+
+
+# Declared column defaults of the feedback and precedent tables.
+FEEDBACK_DEFAULTS = {"expert_level": "user"}
+PRECEDENT_DEFAULTS = {"confidence": 50, "verified": False, "source": "user"}

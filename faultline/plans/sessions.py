@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ingest as ing
 from ..operators import sessions as ses
 from ..sources.tables import Tables
 from .registry import register
@@ -24,16 +25,45 @@ WITH latest AS (
   SELECT user_id, event_id AS analysis_id FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
     FROM events WHERE event_type = 'view' AND user_id IS NOT NULL) WHERE rn = 1
+),
+p AS (
+  SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, value FROM events
+  WHERE event_type = 'purchase'
+),
+d AS (
+  SELECT event_id, user_id,
+    CASE WHEN k % 10 = 0 THEN '' ELSE CAST(k AS VARCHAR) END AS llm_diagram_id,
+    CAST((k + user_id) % 100 AS VARCHAR) AS engine_diagram_id,
+    CAST(floor(value) AS INTEGER) % 101 AS llm_fault_a,
+    (CAST(floor(value) AS INTEGER) % 5) * 20 AS llm_confidence,
+    CAST(floor(value * 10) AS INTEGER) % 7 AS llm_tokens
+  FROM p
 )
-SELECT p.event_id AS llm_event_id, p.user_id AS session_id, l.analysis_id
-FROM events p JOIN latest l ON p.user_id = l.user_id WHERE p.event_type = 'purchase'""")
+SELECT d.event_id AS llm_event_id, d.user_id AS session_id, l.analysis_id,
+  nullif(llm_diagram_id, '') AS llm_diagram_id, llm_fault_a, CAST(NULL AS INTEGER) AS llm_fault_b,
+  nullif(llm_confidence, 0) AS llm_confidence, '' AS llm_reasoning, '' AS llm_analysis,
+  0 AS n_modifiers, llm_tokens,
+  coalesce(nullif(llm_diagram_id, ''), '') = coalesce(nullif(nullif(engine_diagram_id, ''), '0'), '') AS matches_engine
+FROM d JOIN latest l ON d.user_id = l.user_id""")
 def llm_attach_latest(spark, sf_dir):
-    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    """PATCH as a batch: each model result (a purchase) goes to its session's
+    latest analysis (a view), shaped as the model-result record."""
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     views = ev.where(F.col("event_type") == "view")
+    k = F.get_json_object("props", "$.k").cast("int")
+    iv = F.floor("value").cast("int")
     results = ev.where(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("llm_event_id"), F.col("user_id"))
-    out = ses.attach_to_latest(results, views, "user_id", ["ts", "event_id"], "event_id")
-    return out.select("llm_event_id", F.col("user_id").alias("session_id"), "analysis_id")
+        F.col("event_id").alias("llm_event_id"), F.col("user_id"),
+        F.when(k % 10 == 0, F.lit("")).otherwise(k.cast("string")).alias("llm_diagram_id"),
+        ((k + F.col("user_id")) % 100).cast("string").alias("engine_diagram_id"),
+        (iv % 101).alias("llm_fault_a"),
+        ((iv % 5) * 20).alias("llm_confidence"),
+        (F.floor(F.col("value") * 10).cast("int") % 7).alias("llm_tokens"))
+    shaped = ing.shape_llm_records(results)
+    out = ses.attach_to_latest(shaped, views, "user_id", ["ts", "event_id"], "event_id")
+    return out.select("llm_event_id", F.col("user_id").alias("session_id"), "analysis_id", "llm_diagram_id",
+                      "llm_fault_a", "llm_fault_b", "llm_confidence", "llm_reasoning", "llm_analysis",
+                      F.size("llm_modifiers").alias("n_modifiers"), "llm_tokens", "matches_engine")
 
 
 @register("llm_attach_asof", """

@@ -445,3 +445,21 @@ def test_js_truthiness_of_wrapper(spark):
     inner = F.try_variant_get(F.try_parse_json("j"), "$.video", "variant")
     out = one(df.orderBy("i").select(jx.js_truthy(inner).alias("t")), "t")
     assert out == [t for _, t in cases]
+
+
+def test_llm_record_shape_t8(spark):
+    df = spark.createDataFrame([("101", "101", 0, 0, "x" * 6000, 0), ("", "0", None, 85, None, None)],
+                               "llm_diagram_id string, engine_diagram_id string, llm_fault_a int, "
+                               "llm_confidence int, llm_reasoning string, llm_tokens int")
+    out = ing.shape_llm_records(df).collect()
+    a, b = out
+    assert (a["llm_diagram_id"], a["llm_fault_a"], a["llm_confidence"], a["llm_tokens"]) == ("101", 0, None, 0)
+    assert len(a["llm_reasoning"]) == 5000 and a["matches_engine"] is True and a["llm_modifiers"] == []
+    assert (b["llm_diagram_id"], b["llm_fault_a"], b["llm_confidence"], b["llm_reasoning"]) == (None, None, 85, "")
+    assert b["matches_engine"] is True  # '' and '0' both print as ''
+
+
+def test_table_defaults_only_fill_omitted_columns(spark):
+    df = spark.createDataFrame([(None,)], "expert_level string")
+    r = ing.table_defaults(df, {"expert_level": "user", **ing.PRECEDENT_DEFAULTS}).first()
+    assert r["expert_level"] is None and r["confidence"] == 50 and r["verified"] is False and r["source"] == "user"
