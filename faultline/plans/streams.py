@@ -64,3 +64,16 @@ def llm_usage_stream(spark, sf_dir):
                                      [F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value")],
                                      "1 hour", "1 hour", jobs.run_dir(spark, "usage"))
     return out.select("window_start", "event_type", "n", "max_value")
+
+
+@register("latest_session_stream_evicting", """
+SELECT user_id, event_id, ts, event_type, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
+  WHERE user_id IS NOT NULL) WHERE rn = 1""")
+def latest_session_stream_evicting(spark, sf_dir):
+    """M3 with idle sessions evicted from state (event-time timeout)."""
+    ev = jobs.file_stream(spark, sf_dir, "events")
+    out = jobs.latest_stream_evicting(spark, ev, "user_id", "ts", "event_id",
+                                      ["event_id", "ts", "event_type", "value"], "1 day", "1 hour",
+                                      jobs.run_dir(spark, "latest-evicting"))
+    return out.select("user_id", "event_id", "ts", "event_type", "value")

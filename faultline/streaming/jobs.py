@@ -130,3 +130,65 @@ def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys:
     table = f"{root}/table"
     _run(out.writeStream.outputMode("append").format("parquet").option("path", table), root)
     return spark.read.parquet(table)
+
+
+# ------------------------------------------------------------------ M3 (bounded state)
+
+def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts: str, tiebreak: str,
+                           columns: list[str], idle_timeout: str, watermark: str, root: str) -> DataFrame:
+    """M3 with bounded state: the latest row per key, state dropped when idle.
+
+    ``applyInPandasWithState`` keeps one row per key; an event-time timeout
+    removes a key's state once the watermark passes its last event plus
+    ``idle_timeout`` (sessions end; the state store does not grow with every
+    key ever seen). Rows reach the Python step as Arrow batches and only the
+    newest row per batch is compared with the state, so a busy key costs one
+    small comparison per batch.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    timeout_ms = _interval_ms(spark, idle_timeout)
+    src = events.where(F.col(key).isNotNull()).withColumn("_et", F.col(ts).cast("timestamp"))
+    src = src.withWatermark("_et", watermark)
+    src = src.withColumn("_ts_us", F.unix_micros(F.col("_et")))
+    keep = [key, *columns]
+    out_schema = src.select(*keep).schema
+    state_schema = "ts_us long, tb long, row string"
+    cols_json = [c for c in columns]
+
+    def latest(key_tuple, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get if state.exists else None
+        changed = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            top = pdf.sort_values(["_ts_us", tiebreak], kind="mergesort").iloc[-1]
+            cand = (int(top["_ts_us"]), int(top[tiebreak]))
+            if best is None or cand > (best[0], best[1]):
+                best = (cand[0], cand[1], top[cols_json].to_json(date_unit="us"))
+                changed = top
+        if best is not None:
+            state.update(best)
+            state.setTimeoutTimestamp(best[0] // 1000 + timeout_ms)
+        if changed is not None:
+            yield pd.DataFrame([changed[keep].to_dict()])
+
+    out = src.groupBy(key).applyInPandasWithState(
+        latest, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
+    log = f"{root}/table"
+
+    def sink(batch: DataFrame, batch_id: int):
+        changelog.append_batch(batch, log, batch_id)
+
+    _run(out.writeStream.outputMode("update").foreachBatch(sink), root)
+    return changelog.current(spark, log, key).select(*keep)
+
+
+def _interval_ms(spark: SparkSession, interval: str) -> int:
+    """'30 minutes' -> milliseconds (parsed by Spark's interval literal)."""
+    us = spark.sql(f"SELECT unix_micros(TIMESTAMP'1970-01-01 00:00:00' + INTERVAL {interval}) AS us").first()["us"]
+    return int(us) // 1000
