@@ -145,7 +145,7 @@ def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts:
     newest row per batch is compared with the state, so a busy key costs one
     small comparison per batch.
     """
-    import pandas as pd
+    import numpy as np
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     timeout_ms = _interval_ms(spark, idle_timeout)
@@ -154,28 +154,26 @@ def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts:
     src = src.withColumn("_ts_us", F.unix_micros(F.col("_et")))
     keep = [key, *columns]
     out_schema = src.select(*keep).schema
-    state_schema = "ts_us long, tb long, row string"
-    cols_json = [c for c in columns]
+    state_schema = "ts_us long, tb long"
 
     def latest(key_tuple, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
         best = state.get if state.exists else None
-        changed = None
+        newest = None
         for pdf in batches:
             if pdf.empty:
                 continue
-            top = pdf.sort_values(["_ts_us", tiebreak], kind="mergesort").iloc[-1]
-            cand = (int(top["_ts_us"]), int(top[tiebreak]))
+            i = np.lexsort((pdf[tiebreak].to_numpy(), pdf["_ts_us"].to_numpy()))[-1]
+            cand = (int(pdf["_ts_us"].iat[i]), int(pdf[tiebreak].iat[i]))
             if best is None or cand > (best[0], best[1]):
-                best = (cand[0], cand[1], top[cols_json].to_json(date_unit="us"))
-                changed = top
+                best, newest = cand, pdf.iloc[[i]][keep]
         if best is not None:
             state.update(best)
             state.setTimeoutTimestamp(best[0] // 1000 + timeout_ms)
-        if changed is not None:
-            yield pd.DataFrame([changed[keep].to_dict()])
+        if newest is not None:
+            yield newest
 
     out = src.groupBy(key).applyInPandasWithState(
         latest, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
