@@ -212,3 +212,20 @@ def table_defaults(df: DataFrame, defaults: dict) -> DataFrame:
 # Declared column defaults of the feedback and precedent tables.
 FEEDBACK_DEFAULTS = {"expert_level": "user"}
 PRECEDENT_DEFAULTS = {"confidence": 50, "verified": False, "source": "user"}
+
+
+def append_returning(df: DataFrame, path: str, returning: tuple[str, ...] = ("id", "created_at"),
+                     id_col: str = "id", ts_col: str = "created_at") -> DataFrame:
+    """K1: append rows with generated ids and return the generated columns.
+
+    Ids and timestamps are assigned once, the batch is written to its own
+    ``write_id=<uuid>`` folder under the table (so the table stays one
+    partitioned dataset), and the returned frame READS that folder back --
+    ``uuid()`` is never evaluated twice for the same row.
+    """
+    import uuid
+
+    write_id = uuid.uuid4().hex
+    target = f"{path.rstrip('/')}/write_id={write_id}"
+    with_generated_ids(df, id_col, ts_col).write.mode("error").parquet(target)
+    return df.sparkSession.read.parquet(target).select(*returning)

@@ -74,3 +74,25 @@ def test_hot_key_asof(spark):
             c = [t for t in lefts.get(k, []) if t <= ts]
             want[ts] = max(c) if c else None
     assert got == want
+
+
+def test_append_returning_reads_back_written_ids(spark):
+    from faultline.operators import ingest as ing
+
+    root = scratch_path(spark, "test-append", uuid.uuid4().hex)
+    df = spark.createDataFrame([("a",), ("b",)], "input_text string")
+    got = ing.append_returning(df, root)
+    ids1 = sorted(r["id"] for r in got.collect())
+    ids2 = sorted(r["id"] for r in got.collect())
+    assert ids1 == ids2 and len(set(ids1)) == 2
+    ing.append_returning(df, root)
+    table = spark.read.parquet(root)
+    assert table.count() == 4 and "write_id" in table.columns
+
+
+def test_parse_int_prefix(spark):
+    from faultline.functions import js
+
+    df = spark.createDataFrame([("12abc",), (" -3",), ("x",), (None,), ("0",)], "s string")
+    out = [r["n"] for r in df.select(js.parse_int_prefix("s").alias("n")).collect()]
+    assert out == [12, -3, None, None, 0]
