@@ -64,26 +64,33 @@ def strip_fences(content) -> Column:
 
 
 def repair(df: DataFrame, content: str, out: str = "reply") -> DataFrame:
-    """L1: adds ``reply`` (VARIANT or null), ``parse_ok``, ``error``, ``raw``."""
-    clean = strip_fences(content)
-    first = strict_parse(clean)
-    span = F.regexp_extract(clean, r"\{[\s\S]*\}", 0)
-    second = F.when(span != F.lit(""), strict_parse(span))
-    parsed = F.coalesce(first, second)
-    return (df.withColumn(out, parsed)
-              .withColumn("parse_ok", F.col(out).isNotNull())
-              .withColumn("error", F.when(F.col(out).isNull(), F.lit(PARSE_ERROR)))
-              .withColumn("raw", F.when(F.col(out).isNull(), F.coalesce(_c(content), F.lit("")))))
+    """L1: adds ``reply`` (VARIANT or null), ``parse_ok``, ``error``, ``raw``.
+
+    Each step is a staged column (cleaned text, strict parse, fallback span),
+    so the regex chain and the parse run once per row.
+    """
+    x = df.withColumn("_clean", strip_fences(content))
+    x = x.withColumn("_first", strict_parse(F.col("_clean")))
+    x = x.withColumn("_span", F.when(F.col("_first").isNull(),
+                                     F.regexp_extract(F.col("_clean"), r"\{[\s\S]*\}", 0)))
+    x = x.withColumn(out, F.coalesce(F.col("_first"),
+                                     F.when(F.col("_span") != F.lit(""), strict_parse(F.col("_span")))))
+    return (x.drop("_clean", "_first", "_span")
+             .withColumn("parse_ok", F.col(out).isNotNull())
+             .withColumn("error", F.when(F.col(out).isNull(), F.lit(PARSE_ERROR)))
+             .withColumn("raw", F.when(F.col(out).isNull(), F.coalesce(_c(content), F.lit("")))))
 
 
 def typed_fields(reply, names: list[str] | None = None,
                  fields: list[tuple[str, str]] | None = None) -> list[Column]:
     """L2: one typed column per reply field; wrong types become null.
 
-    ``names`` picks a subset of the reply fields (default: all of them).
+    All fields come from ONE struct-typed read of the reply (a field of the
+    wrong type is null on its own). ``names`` picks a subset.
     """
-    v = _c(reply)
     spec = fields or REPLY_FIELDS
     if names is not None:
         spec = [(n, t) for n, t in spec if n in set(names)]
-    return [F.try_variant_get(v, f"$.{name}", dtype).alias(name) for name, dtype in spec]
+    st = "struct<" + ", ".join(f"`{n}`:{t}" for n, t in spec) + ">"
+    rec = F.try_variant_get(_c(reply), "$", st)
+    return [rec[name].alias(name) for name, _ in spec]

@@ -62,8 +62,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     to the default parallelism; a scan of a large table already yields far
     more splits than cores, so at scale this adds no shuffle.
     """
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
         return df
     return df.repartition(target)
