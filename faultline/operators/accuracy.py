@@ -72,16 +72,26 @@ def diagram_stats(joined: DataFrame, diagram: str, verdict: str = "is_correct",
     return agg.withColumn("accuracy_pct", decimal_percent("correct_count", "total_matches"))
 
 
+def touched_analyses(analyses: DataFrame, diagram: str, touched: DataFrame, touched_key: str) -> DataFrame:
+    """The analyses whose diagram was touched (left semi join).
+
+    Restrict the analyses side BEFORE joining feedback: the restricted side
+    is small, so AQE can broadcast it and the feedback table is never
+    shuffled for the join. The touched set is joined, not collected.
+    """
+    keys = touched.select(F.col(touched_key).alias("_touched")).where(F.col("_touched").isNotNull())
+    return analyses.join(keys, F.col(diagram) == F.col("_touched"), "left_semi")
+
+
 def diagram_stats_touched(joined: DataFrame, diagram: str, touched: DataFrame,
                           touched_key: str, verdict: str = "is_correct",
                           out_key: str = "diagram_id") -> DataFrame:
-    """Recompute only the diagrams touched by new feedback (left semi join).
+    """J2 on an already-joined frame: recompute only the touched diagrams.
 
-    The touched set is joined, not collected; AQE broadcasts it only when
-    its measured size is under the broadcast threshold.
+    When the join is still to be done, apply ``touched_analyses`` to the
+    analyses side first instead.
     """
-    keys = touched.select(F.col(touched_key).alias("_touched")).where(F.col("_touched").isNotNull())
-    restricted = joined.join(keys, F.col(diagram) == F.col("_touched"), "left_semi")
+    restricted = touched_analyses(joined, diagram, touched, touched_key)
     return diagram_stats(restricted, diagram, verdict, out_key)
 
 

@@ -46,12 +46,12 @@ SELECT knia_diagram AS diagram_id,
 FROM scored GROUP BY knia_diagram"""
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feedback(spark: SparkSession, sf_dir: str, analyses: DataFrame | None = None) -> DataFrame:
     """lineitem ⋈ part shaped as feedback rows (J1 join, pruned scans)."""
     t = Tables(spark, sf_dir)
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity",
                            "l_returnflag", "l_shipdate")
-    pt = t.part.select("p_partkey", "p_brand", "p_size")
+    pt = analyses if analyses is not None else t.part.select("p_partkey", "p_brand", "p_size")
     j = li.join(pt, li.l_partkey == pt.p_partkey, "inner")
     return j.select(
         "l_orderkey", "l_linenumber", "l_shipdate",
@@ -96,8 +96,12 @@ def diagram_stats_top(spark, sf_dir):
 @register("diagram_stats_touched", f"""WITH {FEEDBACK_SQL}
 {STATS_SQL.replace('FROM scored GROUP BY', 'FROM scored WHERE knia_diagram IN (SELECT p_brand FROM part WHERE p_size = 1) GROUP BY')}""")
 def diagram_stats_touched(spark, sf_dir):
-    touched = Tables(spark, sf_dir).part.where(F.col("p_size") == 1).select("p_brand")
-    return acc.diagram_stats_touched(scored(spark, sf_dir), "knia_diagram", touched, "p_brand")
+    """Touched = brands of parts with p_size = 1; part is restricted before the join."""
+    part = Tables(spark, sf_dir).part
+    touched = part.where(F.col("p_size") == 1).select("p_brand")
+    analyses = acc.touched_analyses(part.select("p_partkey", "p_brand", "p_size"), "p_brand", touched, "p_brand")
+    fb = acc.score_feedback(feedback(spark, sf_dir, analyses), "predicted_fault_a", "actual_fault_a")
+    return acc.diagram_stats(fb, "knia_diagram")
 
 
 @register("accuracy_leaderboard", f"""WITH {FEEDBACK_SQL} {ACCURACY_SQL}
