@@ -32,22 +32,48 @@ CATEGORY_RULES = [
 ]
 CATEGORY_DEFAULT = "차대차"
 
-# Car-to-car sub-types (step 1-B) with their diagram id ranges.
-# Levels follow the prohibition rules: parking/reversing/exit/door and U-turn
-# words first (rules 4 and 6), signal words next (rule 5; '무신호' sits on the
-# same level so the longer keyword wins), then the rest of the table.
-CAR_SUBCATEGORY_RULES = [
-    KeywordRule("기타", 1, ("주차장", "후진", "출차", "개문", "유턴")),
-    KeywordRule("교차로신호", 2, ("녹색", "적색", "황색", "신호")),
-    KeywordRule("교차로무신호", 2, ("무신호",)),
-    KeywordRule("교차로신호", 3, ("교차로", "좌회전", "우회전", "비보호")),
-    KeywordRule("교차로무신호", 3, ("같은폭", "넓은도로", "좁은도로", "일시정지")),
-    KeywordRule("대향", 3, ("중앙선", "대향", "역주행", "정면충돌")),
-    KeywordRule("동행", 3, ("차선변경", "추월", "같은방향", "앞차", "뒤차", "추돌", "급정거")),
-    KeywordRule("합류", 3, ("합류", "진입로", "톨게이트", "가속차로")),
-    KeywordRule("고속도로", 3, ("고속도로", "본선", "갓길", "졸음")),
-    KeywordRule("기타", 3, ("주차", "도로외", "골목")),
+# Car-to-car sub-types (step 1-B), keywords in table order
+# ('넓은도로/좁은도로' is two keywords).
+CAR_SUBTYPE_KEYWORDS = [
+    ("교차로신호", ("교차로", "녹색", "적색", "황색", "신호", "좌회전", "우회전", "비보호")),
+    ("교차로무신호", ("무신호", "같은폭", "넓은도로", "좁은도로", "일시정지")),
+    ("대향", ("중앙선", "대향", "역주행", "정면충돌")),
+    ("동행", ("차선변경", "추월", "같은방향", "앞차", "뒤차", "추돌", "급정거")),
+    ("합류", ("합류", "진입로", "톨게이트", "가속차로")),
+    ("고속도로", ("고속도로", "본선", "갓길", "졸음")),
+    ("기타", ("주차장", "주차", "후진", "출차", "개문", "유턴", "도로외", "골목")),
 ]
+# Keywords the prohibition rules rank first -- parking, reversing,
+# exit, door opening and U-turn (rules 4 and 6) -- then the signal words (rule 5).
+PRIORITY_KEYWORDS = [
+    ("주차장", "후진", "출차", "개문", "유턴"),
+    ("녹색", "적색", "황색", "신호"),
+]
+
+
+def _leveled(table: list[tuple[str, tuple[str, ...]]], priority: list[tuple[str, ...]]) -> list[KeywordRule]:
+    """Rules with levels: a keyword named in ``priority[i]`` gets level i+1 and
+    every other keyword the level after them. A keyword containing a
+    priority keyword (e.g. '무신호' containing '신호') is raised to that level
+    too, so the longer, more specific keyword still wins within the level."""
+    rest = len(priority) + 1
+
+    def level(kw: str) -> int:
+        for i, group in enumerate(priority):
+            if any(p in kw for p in group):
+                return i + 1
+        return rest
+
+    rules = []
+    for label, kws in table:
+        by_level: dict[int, list[str]] = {}
+        for kw in kws:
+            by_level.setdefault(level(kw), []).append(kw)
+        rules += [KeywordRule(label, lv, tuple(k)) for lv, k in sorted(by_level.items())]
+    return rules
+
+
+CAR_SUBCATEGORY_RULES = _leveled(CAR_SUBTYPE_KEYWORDS, PRIORITY_KEYWORDS)
 # Bicycle (step 1-C) and pedestrian (step 1-D) sub-types.
 BICYCLE_SUBCATEGORY_RULES = [
     KeywordRule("교차로자전거", 1, ("교차로", "우회전", "좌회전")),
