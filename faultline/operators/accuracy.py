@@ -150,3 +150,25 @@ def running_accuracy(df: DataFrame, by: list[str], order: list[str], verdict: st
          .withColumn(ok, F.col("_ok_in") + F.col("_ok_off"))
     y = y.withColumn(rate, percent_half_up(ok, seen))
     return y.drop("_chunk", "_one", "_hit", "_seen_in", "_ok_in", "_seen_off", "_ok_off")
+
+
+def accuracy_merge_into(spark, root: str, delta: DataFrame, key: str,
+                        total: str = "total_count", correct: str = "correct_count",
+                        rate: str = "accuracy_rate") -> int:
+    """K7 persisted: fold a batch of counters into the stored table.
+
+    Reads the current snapshot, merges additively (``accuracy_merge``) and
+    writes the next version; the stored version is never overwritten, so a
+    failed run leaves the table as it was. Returns the new version number.
+    """
+    from ..sources import snapshots
+
+    cur = snapshots.read_current(spark, root)
+    if cur is None:
+        merged = delta.select(key, total, correct).withColumn(rate, percent_half_up(correct, total))
+    else:
+        merged = accuracy_merge(cur, delta, key, total, correct, rate)
+    vs = snapshots.committed_versions(spark, root)
+    nxt = (vs[-1] + 1) if vs else 0
+    snapshots.write_version(merged, root, nxt)
+    return nxt

@@ -96,3 +96,18 @@ def test_parse_int_prefix(spark):
     df = spark.createDataFrame([("12abc",), (" -3",), ("x",), (None,), ("0",)], "s string")
     out = [r["n"] for r in df.select(js.parse_int_prefix("s").alias("n")).collect()]
     assert out == [12, -3, None, None, 0]
+
+
+def test_accuracy_merge_into_snapshots(spark):
+    from faultline.operators import accuracy as acc
+
+    root = scratch_path(spark, "test-acc", uuid.uuid4().hex)
+    rows = [("a", True), ("a", False), ("b", True), ("b", True), ("a", True)]
+    df = spark.createDataFrame(rows, "d string, is_correct boolean")
+    first = acc.accuracy_by_key(spark.createDataFrame(rows[:2], "d string, is_correct boolean"), "d")
+    rest = acc.accuracy_by_key(spark.createDataFrame(rows[2:], "d string, is_correct boolean"), "d")
+    assert acc.accuracy_merge_into(spark, root, first, "d") == 0
+    assert acc.accuracy_merge_into(spark, root, rest, "d") == 1
+    got = sorted(tuple(r) for r in snapshots.read_current(spark, root).collect())
+    want = sorted(tuple(r) for r in acc.accuracy_by_key(df, "d").collect())
+    assert got == want
