@@ -39,13 +39,37 @@ def attach_to_latest(results: DataFrame, analyses: DataFrame, session: str, orde
     return results.join(latest, results[session] == latest["_s"], "inner").drop("_s")
 
 
+def update_by_key(target: DataFrame, updates: DataFrame, key: str, columns: list[str],
+                  order: list[str] | None = None) -> DataFrame:
+    """K8: ``UPDATE target SET columns = updates.columns WHERE target.key = updates.key``.
+
+    Matched rows take the update's values -- null included, as an SQL UPDATE
+    does; unmatched rows are unchanged. Several updates of one key keep the
+    last by ``order`` (a partial ``max_by`` aggregate), so the join never
+    multiplies target rows.
+    """
+    rank = [F.col(c) for c in (order or columns)]
+    upd = (updates.where(F.col(key).isNotNull()).groupBy(key)
+                  .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in columns]), F.struct(*rank)).alias("_u"))
+                  .select(F.col(key).alias("_k"), "_u"))
+    j = target.join(upd, target[key] == upd["_k"], "left")
+    hit = F.col("_k").isNotNull()
+    out = [F.when(hit, F.col("_u")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
+           for c in target.columns]
+    out += [F.when(hit, F.col("_u")[c]).alias(c) for c in columns if c not in target.columns]
+    return j.select(*out)
+
+
 def mark_used(analyses: DataFrame, attached: DataFrame, analysis_id: str, attached_id: str = "analysis_id",
-              flag: str = "llm_used") -> DataFrame:
-    """K8: ``UPDATE analyses SET llm_used = true WHERE id IN (attached)``."""
-    ids = attached.select(F.col(attached_id).alias("_hit")).where(F.col("_hit").isNotNull()).distinct()
-    j = analyses.join(ids, analyses[analysis_id] == ids["_hit"], "left")
-    prev = F.col(flag) if flag in analyses.columns else F.lit(False)
-    return j.withColumn(flag, F.when(F.col("_hit").isNotNull(), F.lit(True)).otherwise(prev)).drop("_hit")
+              flag: str = "llm_used", response: str | None = None) -> DataFrame:
+    """K8: ``UPDATE analyses SET llm_used = true[, llm_response = ...] WHERE id IN (attached)``."""
+    if flag not in analyses.columns:  # the column's declared default
+        analyses = analyses.withColumn(flag, F.lit(False))
+    cols = [F.col(attached_id).alias(analysis_id), F.lit(True).alias(flag)]
+    if response:
+        cols.append(F.col(response))
+    upd = attached.select(*cols)
+    return update_by_key(analyses, upd, analysis_id, [flag] + ([response] if response else []))
 
 
 def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols: list[str],

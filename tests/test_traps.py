@@ -463,3 +463,14 @@ def test_table_defaults_only_fill_omitted_columns(spark):
     df = spark.createDataFrame([(None,)], "expert_level string")
     r = ing.table_defaults(df, {"expert_level": "user", **ing.PRECEDENT_DEFAULTS}).first()
     assert r["expert_level"] is None and r["confidence"] == 50 and r["verified"] is False and r["source"] == "user"
+
+
+def test_update_by_key_k8(spark):
+    tgt = spark.createDataFrame([(1, "a", False), (2, "b", False), (None, "n", False)], "id long, v string, used boolean")
+    upd = spark.createDataFrame([(1, None, True, 1), (1, "x", True, 2), (9, "z", True, 1)],
+                                "id long, v string, used boolean, seq int")
+    out = sorted((r["id"] or -1, r["v"], r["used"]) for r in ses.update_by_key(tgt, upd, "id", ["v", "used"], ["seq"]).collect())
+    assert out == [(-1, "n", False), (1, "x", True), (2, "b", False)]
+    upd2 = spark.createDataFrame([(2, None)], "id long, v string")
+    out2 = {r["id"]: r["v"] for r in ses.update_by_key(tgt, upd2, "id", ["v"]).collect()}
+    assert out2[2] is None and out2[1] == "a"
