@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.chunks import time_chunker
 from ..operators import accuracy as acc
 from ..sources.tables import Tables
 from .registry import register
@@ -131,9 +132,9 @@ SELECT event_id, event_type, ts, value <= 100 AS ok,
 FROM events
 WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_accuracy(spark, sf_dir):
-    """W3 on events: a row is 'correct' when value <= 100; hourly chunks."""
+    """W3 on events: a row is 'correct' when value <= 100; time chunks sized from the data."""
     ev = Tables(spark, sf_dir).events.select("event_id", "event_type", "ts", "value")
     ev = ev.withColumn("ok", F.col("value") <= F.lit(100))
-    bucket = F.date_trunc("hour", F.col("ts"))
+    bucket = time_chunker(ev, "ts")(F.col("ts"))
     out = acc.running_accuracy(ev, ["event_type"], ["ts", "event_id"], "ok", bucket)
     return out.select("event_id", "event_type", "ts", "ok", "n_seen", "n_ok", "running_rate")

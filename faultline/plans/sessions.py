@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.chunks import time_chunker
 from ..operators import ingest as ing
 from ..operators import sessions as ses
 from ..sources.tables import Tables
@@ -76,8 +77,8 @@ def llm_attach_asof(spark, sf_dir):
     ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
     views = ev.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
     buys = ev.where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
-    out = ses.asof_attach(buys, views, "user_id", "ts", ["event_id", "ts"],
-                          chunk=lambda c: F.date_trunc("day", c), tiebreak="event_id")
+    chunk = time_chunker(ev.where(F.col("event_type").isin("view", "purchase")), "ts")
+    out = ses.asof_attach(buys, views, "user_id", "ts", ["event_id", "ts"], chunk=chunk, tiebreak="event_id")
     return out.select(F.col("event_id").alias("llm_event_id"), F.col("user_id").alias("session_id"),
                       F.col("ts").alias("llm_ts"), F.col("match_event_id").alias("analysis_id"),
                       F.col("match_ts").alias("analysis_ts"))

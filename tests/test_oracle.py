@@ -41,3 +41,34 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.columns == ["knia_diagram", "total_count", "correct_count", "accuracy_rate"]
     assert df.count() > 0
+
+
+def test_windowed_operators_with_many_chunks(spark, con):
+    """The chunked prefix sum and as-of attach equal DuckDB's plain window and
+    ASOF JOIN when the events are cut into many small chunks."""
+    from pyspark.sql import functions as F
+
+    from faultline.functions.chunks import time_chunker
+    from faultline.operators import accuracy as acc
+    from faultline.operators import sessions as ses
+    from faultline.sources.tables import Tables
+
+    ev = Tables(spark, SF).events.select("event_id", "event_type", "ts", "value", "user_id")
+    chunk = time_chunker(ev, "ts", rows_per_chunk=50)
+    run = acc.running_accuracy(ev.withColumn("ok", F.col("value") <= 100), ["event_type"], ["ts", "event_id"],
+                               "ok", chunk(F.col("ts")))
+    got = {r["event_id"]: (r["n_seen"], r["n_ok"]) for r in run.collect()}
+    want = {r[0]: (r[1], r[2]) for r in con.execute("""
+        SELECT event_id, count(*) OVER w, sum(CASE WHEN value <= 100 THEN 1 ELSE 0 END) OVER w FROM events
+        WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""").fetchall()}
+    assert got == want
+
+    views = ev.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
+    buys = ev.where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
+    out = ses.asof_attach(buys, views, "user_id", "ts", ["event_id"], chunk=chunk, tiebreak="event_id")
+    got = {r["event_id"]: r["match_event_id"] for r in out.collect()}
+    want = dict(con.execute("""
+        WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'),
+             p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
+        SELECT p.event_id, v.event_id FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""").fetchall())
+    assert got == want

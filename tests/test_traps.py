@@ -474,3 +474,18 @@ def test_update_by_key_k8(spark):
     upd2 = spark.createDataFrame([(2, None)], "id long, v string")
     out2 = {r["id"]: r["v"] for r in ses.update_by_key(tgt, upd2, "id", ["v"]).collect()}
     assert out2[2] is None and out2[1] == "a"
+
+
+def test_time_chunker_sizes_chunks(spark):
+    import datetime as dt
+
+    from faultline.functions.chunks import time_chunker
+
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=37 * i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    f = time_chunker(df, "ts", rows_per_chunk=100)
+    got = df.select(f(F.col("ts")).alias("c")).groupBy("c").count().collect()
+    assert 9 <= len(got) <= 11 and max(r["count"] for r in got) <= 101
+    ids = [r["c"] for r in df.orderBy("ts").select(f(F.col("ts")).alias("c")).collect()]
+    assert ids == sorted(ids)  # monotone in time
