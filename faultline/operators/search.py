@@ -77,8 +77,11 @@ class SearchRequest:
 
 
 def _bound(v) -> int | None:
-    """A bound applies when given; '0' (a string) applies, unparsable does not."""
-    if v is None or v == "":
+    """``if (fault_min)``: a falsy value (None, '', numeric 0) sets no bound;
+    the string '0' is truthy, so it does. Unparsable text sets none."""
+    if v is None or v == "" or isinstance(v, bool):
+        return None
+    if isinstance(v, (int, float)) and (v == 0 or v != v):
         return None
     return _parse_int(v)
 

@@ -489,3 +489,9 @@ def test_time_chunker_sizes_chunks(spark):
     assert 9 <= len(got) <= 11 and max(r["count"] for r in got) <= 101
     ids = [r["c"] for r in df.orderBy("ts").select(f(F.col("ts")).alias("c")).collect()]
     assert ids == sorted(ids)  # monotone in time
+
+
+def test_numeric_zero_bound_is_falsy_t25():
+    from faultline.operators.search import _bound
+
+    assert [_bound(x) for x in ["0", 0, 0.0, "", None, "12x", 7, "x"]] == [0, None, None, None, None, 12, 7, None]
