@@ -88,11 +88,17 @@ def truncate(x, n: int) -> Column:
     return F.substring(F.coalesce(_c(x), F.lit("")), 1, n)
 
 
-def js_string(x) -> Column:
-    """``String(x || '')``: null, '' and 0 become ''."""
+def js_string(x, numeric: bool = False) -> Column:
+    """``String(x || '')``: null and '' become ''; for a numeric column 0 too.
+
+    Only the number 0 is falsy -- the string '0' is truthy and stays '0'.
+    """
     x = _c(x)
     s = x.cast("string")
-    return F.when(x.isNull() | (s == F.lit("")) | (s == F.lit("0")), F.lit("")).otherwise(s)
+    falsy = x.isNull() | (s == F.lit(""))
+    if numeric:
+        falsy = falsy | (x == F.lit(0)) | F.isnan(x.cast("double"))
+    return F.when(falsy, F.lit("")).otherwise(s)
 
 
 def clamp(x, lo: int = 0, hi: int = 100) -> Column:

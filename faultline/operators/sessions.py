@@ -117,7 +117,10 @@ def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols:
     return j.select(*rcols, *[F.col("_match")[c].alias(prefix + c) for c in left_cols])
 
 
-def agreement(a, b) -> tuple[Column, Column]:
-    """``String(a || '') === String(b || '')`` and a 'both present' flag."""
-    sa, sb = js_string(a), js_string(b)
+def agreement(a, b, numeric: bool = False) -> tuple[Column, Column]:
+    """``String(a || '') === String(b || '')`` and a 'both present' flag.
+
+    ``numeric=True`` for numeric id columns, where 0 is falsy.
+    """
+    sa, sb = js_string(a, numeric), js_string(b, numeric)
     return sa == sb, (sa != F.lit("")) & (sb != F.lit(""))

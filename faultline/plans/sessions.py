@@ -44,7 +44,7 @@ SELECT d.event_id AS llm_event_id, d.user_id AS session_id, l.analysis_id,
   nullif(llm_diagram_id, '') AS llm_diagram_id, llm_fault_a, CAST(NULL AS INTEGER) AS llm_fault_b,
   nullif(llm_confidence, 0) AS llm_confidence, '' AS llm_reasoning, '' AS llm_analysis,
   0 AS n_modifiers, llm_tokens,
-  coalesce(nullif(llm_diagram_id, ''), '') = coalesce(nullif(nullif(engine_diagram_id, ''), '0'), '') AS matches_engine
+  coalesce(llm_diagram_id, '') = coalesce(engine_diagram_id, '') AS matches_engine
 FROM d JOIN latest l ON d.user_id = l.user_id""")
 def llm_attach_latest(spark, sf_dir):
     """PATCH as a batch: each model result (a purchase) goes to its session's
@@ -100,5 +100,5 @@ def llm_agreement(spark, sf_dir):
     x = ev.select("event_id",
                   F.when(F.col("event_type") != "error", F.col("user_id")).alias("llm_id"),
                   F.when(F.col("value") <= 400, F.col("user_id") % 100).alias("engine_id"))
-    same, both = ses.agreement("llm_id", "engine_id")
+    same, both = ses.agreement("llm_id", "engine_id", numeric=True)
     return x.select("event_id", "llm_id", "engine_id", same.alias("matches_engine"), both.alias("both_present"))

@@ -175,11 +175,14 @@ def test_modifier_array_fixture(spark):
 
 
 def test_agreement_t16(spark):
-    df = spark.createDataFrame([(None, None), ("101", "101"), ("101", None), (0, None)], "a string, b string")
-    df = df.select(F.col("a").cast("string"), F.col("b").cast("string"))
-    same, both = ses.agreement("a", "b")
+    df = spark.createDataFrame([(None, None), (101, 101), (101, None), (0, None)], "a long, b long")
+    same, both = ses.agreement("a", "b", numeric=True)
     out = [(r["s"], r["p"]) for r in df.select(same.alias("s"), both.alias("p")).collect()]
     assert out == [(True, False), (True, True), (False, False), (True, False)]
+    strings = spark.createDataFrame([("0", None), ("", None), ("0", "0")], "a string, b string")
+    same, both = ses.agreement("a", "b")
+    out = [(r["s"], r["p"]) for r in strings.select(same.alias("s"), both.alias("p")).collect()]
+    assert out == [(False, False), (True, False), (True, True)]  # the string '0' is truthy
 
 
 # ------------------------------------------------------------- T11, T12, T25
@@ -456,7 +459,7 @@ def test_llm_record_shape_t8(spark):
     assert (a["llm_diagram_id"], a["llm_fault_a"], a["llm_confidence"], a["llm_tokens"]) == ("101", 0, None, 0)
     assert len(a["llm_reasoning"]) == 5000 and a["matches_engine"] is True and a["llm_modifiers"] == []
     assert (b["llm_diagram_id"], b["llm_fault_a"], b["llm_confidence"], b["llm_reasoning"]) == (None, None, 85, "")
-    assert b["matches_engine"] is True  # '' and '0' both print as ''
+    assert b["matches_engine"] is False  # '' prints as '', the string '0' stays '0'
 
 
 def test_table_defaults_only_fill_omitted_columns(spark):
