@@ -127,10 +127,21 @@ ANALYSIS_TEXT_LIMITS = {"input_text": 10000, "pdf_text": 20000, "ocr_text": 5000
 ANALYSIS_DEFAULTS = {"input_type": "text", "confidence": "하", "label_a": "A", "label_b": "B"}
 
 
-def shape_analysis_records(df: DataFrame) -> DataFrame:
-    """Defaults, boolean coercion and truncation of analysis rows.
+# List-valued columns and their element types; absent means [].
+ANALYSIS_LISTS = {
+    "alt_diagrams": "array<struct<id:string,t:string,score:int>>",
+    "detected_mods": "array<string>",
+    "applied_mods": "array<struct<n:string,v:int,tg:string,applied:boolean>>",
+    "laws": "array<struct<a:string,d:string>>",
+}
 
-    Expects the request columns by name; absent optional ones are null.
+
+def shape_analysis_records(df: DataFrame, salt: str | None = None, ip: str = "ip") -> DataFrame:
+    """Defaults, boolean coercion, truncation and the IP hash.
+
+    Expects the request columns by name; absent optional ones are null, and
+    absent lists become []. With ``salt`` the row gets ``ip_hash`` from the
+    ``ip`` column ('' when there is none), as the save handler does.
     """
     def col(name, dtype="string"):
         return F.col(name) if name in df.columns else F.lit(None).cast(dtype)
@@ -144,12 +155,16 @@ def shape_analysis_records(df: DataFrame) -> DataFrame:
         out[name] = js.truthy(col(name, "boolean"))
     for name in ("diagram_title", "category", "subcategory"):
         out[name] = js.falsy_default(col(name), "")
+    for name, dtype in ANALYSIS_LISTS.items():
+        out[name] = F.coalesce(col(name, dtype), F.array().cast(dtype))
     out["match_score"] = js.falsy_default(col("match_score", "int"), F.lit(0), IntegerType())
     out["session_id"] = js.falsy_to_null(col("session_id"))
     out["diagram_id"] = col("diagram_id")
     for name in ("fault_a", "fault_b", "base_fault_a", "base_fault_b"):
         out[name] = col(name, "int")
-    passthrough = [c for c in df.columns if c not in out]
+    if salt is not None:
+        out["ip_hash"] = salted_hash(col(ip), salt)
+    passthrough = [c for c in df.columns if c not in out and c != ip]
     return df.select(*passthrough, *[v.alias(k) for k, v in out.items()])
 
 

@@ -156,7 +156,7 @@ def analysis_requests(spark, sf_dir):
     )
 
 
-@register("analyses_append", """
+@register("analyses_append", f"""
 SELECT doc_id,
   substr(coalesce(text, ''), 1, 10000) AS input_text,
   substr(coalesce(CASE WHEN lang = 'de' THEN text END, ''), 1, 20000) AS pdf_text,
@@ -167,14 +167,21 @@ SELECT doc_id,
   '' AS diagram_title,
   CASE WHEN lang = 'es' OR lang IS NULL THEN '' ELSE lang END AS category,
   '' AS subcategory,
+  '[]' AS alt_diagrams, '[]' AS detected_mods, '[]' AS applied_mods, '[]' AS laws,
   CAST(n_chars % 100 AS INTEGER) AS match_score,
   nullif(source, '') AS session_id, source AS diagram_id,
   CAST(NULL AS INTEGER) AS fault_a, CAST(NULL AS INTEGER) AS fault_b,
-  CAST(NULL AS INTEGER) AS base_fault_a, CAST(NULL AS INTEGER) AS base_fault_b
+  CAST(NULL AS INTEGER) AS base_fault_a, CAST(NULL AS INTEGER) AS base_fault_b,
+  substr(sha256('{SALT}'), 1, 16) AS ip_hash
 FROM documents""")
 def analyses_append(spark, sf_dir):
-    """The rows an append would write (ids/timestamps are added at write time)."""
-    return ing.shape_analysis_records(analysis_requests(spark, sf_dir))
+    """The rows an append would write (ids/timestamps are added at write time).
+
+    Documents carry no client address, so every row hashes '' + salt; the
+    list columns are shown as the JSON the table stores.
+    """
+    rec = ing.shape_analysis_records(analysis_requests(spark, sf_dir), salt=SALT)
+    return rec.select(*[F.to_json(c).alias(c) if c in ing.ANALYSIS_LISTS else F.col(c) for c in rec.columns])
 
 
 # ---------------------------------------------------------------- upsert

@@ -498,3 +498,16 @@ def test_numeric_zero_bound_is_falsy_t25():
     from faultline.operators.search import _bound
 
     assert [_bound(x) for x in ["0", 0, 0.0, "", None, "12x", 7, "x"]] == [0, None, None, None, None, 12, 7, None]
+
+
+def test_analysis_lists_and_ip_hash(spark):
+    import hashlib
+
+    df = spark.createDataFrame([("101", "1.2.3.4", ["야간"]), ("102", None, None)],
+                               "diagram_id string, ip string, detected_mods array<string>")
+    rows = ing.shape_analysis_records(df, salt="s").orderBy("diagram_id").collect()
+    assert rows[0]["detected_mods"] == ["야간"] and rows[1]["detected_mods"] == []
+    assert rows[0]["alt_diagrams"] == [] and rows[0]["laws"] == []
+    assert rows[0]["ip_hash"] == hashlib.sha256(b"1.2.3.4s").hexdigest()[:16]
+    assert rows[1]["ip_hash"] == hashlib.sha256(b"s").hexdigest()[:16]
+    assert "ip" not in rows[0].asDict()
