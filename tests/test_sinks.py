@@ -111,3 +111,18 @@ def test_accuracy_merge_into_snapshots(spark):
     got = sorted(tuple(r) for r in snapshots.read_current(spark, root).collect())
     want = sorted(tuple(r) for r in acc.accuracy_by_key(df, "d").collect())
     assert got == want
+
+
+def test_clustered_layout_prunes(spark):
+    from faultline.sources.layout import write_clustered
+    from faultline.sources.tables import Tables
+
+    root = scratch_path(spark, "test-layout", uuid.uuid4().hex)
+    ev = Tables(spark, "/root/testdata/sf0.001").events
+    write_clustered(ev, root, "ts", ["user_id"], partitions=4)
+    t = spark.read.parquet(root)
+    q = t.where((t.day == "2024-01-03") & (t.user_id == 7))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
+    want = ev.where((ev.user_id == 7) & (ev.ts.cast("date") == "2024-01-03")).count()
+    assert q.count() == want
