@@ -126,3 +126,13 @@ WHERE list_contains(string_split(p_name, ' '), 'ring') OR list_contains(string_s
 def keyword_array_match(spark, sf_dir):
     p = precedents(spark, sf_dir).select("id", "keywords", "keywords_text")
     return srch.array_keyword_match(p, "keywords", ["ring", "hot"], mode="any").select("id", "keywords_text")
+
+
+@register("keyword_index_match", """
+SELECT p_partkey AS id, array_to_string(string_split(p_name, ' '), ' ') AS keywords_text FROM part
+WHERE list_contains(string_split(p_name, ' '), 'ring') OR list_contains(string_split(p_name, ' '), 'hot')""")
+def keyword_index_match(spark, sf_dir):
+    """F12 through the keyword index: exploded (keyword, id) rows, filter, semi join back."""
+    p = precedents(spark, sf_dir).select("id", "keywords", "keywords_text")
+    ids = srch.index_lookup(srch.keyword_index(p, "id", "keywords"), ["ring", "hot"], "id")
+    return p.join(ids, "id", "left_semi").select("id", "keywords_text")

@@ -511,3 +511,11 @@ def test_analysis_lists_and_ip_hash(spark):
     assert rows[0]["ip_hash"] == hashlib.sha256(b"1.2.3.4s").hexdigest()[:16]
     assert rows[1]["ip_hash"] == hashlib.sha256(b"s").hexdigest()[:16]
     assert "ip" not in rows[0].asDict()
+
+
+def test_keyword_index_all_and_any(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (3, ["a", "a"]), (4, None)], "id long, kw array<string>")
+    idx = srch.keyword_index(df, "id", "kw")
+    assert sorted(one(srch.index_lookup(idx, ["a", "b"], "id", "all"), "id")) == [1]
+    assert sorted(one(srch.index_lookup(idx, ["a", "b"], "id", "any"), "id")) == [1, 2, 3]
+    assert sorted(one(srch.array_keyword_match(df, "kw", ["a", "b"], "all"), "id")) == [1]
