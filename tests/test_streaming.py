@@ -57,3 +57,32 @@ def test_latest_streams_across_batches(spark):
         n, k = exp.get(et, (0, 0))
         exp[et] = (n + 1, k + int(v <= 100))
     assert got == exp
+
+
+def test_upsert_and_window_streams_across_batches(spark):
+    from pyspark.sql import functions as F
+
+    t0 = dt.datetime(2024, 1, 1)
+    h = dt.timedelta(hours=1)
+    batches = [
+        [(1, t0, 1, "view", 5.0), (2, t0 + h, 2, "view", 6.0)],
+        [(3, t0 + 3 * h, 1, "click", 7.0), (4, t0 + 3 * h + dt.timedelta(minutes=5), 3, "view", 8.0)],
+        [(5, t0 + 6 * h, 1, "view", 9.0)],
+    ]
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+
+    # M2: the row of user 1 from the last batch replaces the earlier ones; base rows stay
+    target = spark.createDataFrame([(1, "old", 0.0), (9, "keep", 0.0)], "user_id long, event_type string, value double")
+    src = jobs.file_stream(spark, root, "events", max_files=1).select("user_id", "event_type", "value", "event_id")
+    out = jobs.upsert_stream(spark, src, target, "user_id", ["event_id"], jobs.run_dir(spark, "t4"))
+    got = {r["user_id"]: (r["event_type"], r["value"]) for r in out.collect()}
+    assert got == {1: ("view", 9.0), 2: ("view", 6.0), 3: ("view", 8.0), 9: ("keep", 0.0)}
+
+    # M4: hourly windows, 1 hour watermark; the final watermark is 06:00 - 1h = 05:00, so windows
+    # ending at or before 05:00 are emitted and the 06:00 window stays open
+    ev = jobs.file_stream(spark, root, "events", max_files=1)
+    win = jobs.windowed_usage_stream(spark, ev, "ts", ["event_type"], [F.count(F.lit(1)).alias("n")],
+                                     "1 hour", "1 hour", jobs.run_dir(spark, "t5"))
+    got = sorted((r["window_start"].hour, r["event_type"], r["n"]) for r in win.collect())
+    assert got == [(0, "view", 1), (1, "view", 1), (3, "click", 1), (3, "view", 1)]
