@@ -77,3 +77,19 @@ def latest_session_stream_evicting(spark, sf_dir):
                                       ["event_id", "ts", "event_type", "value"], "1 day", "1 hour",
                                       jobs.run_dir(spark, "latest-evicting"))
     return out.select("user_id", "event_id", "ts", "event_type", "value")
+
+
+@register("diagram_stats_stream", """
+SELECT event_type AS diagram_id,
+       CAST(count(*) AS INTEGER) AS total_matches,
+       CAST(count_if(value <= 100) AS INTEGER) AS correct_count,
+       CAST(count_if(value > 100 AND value <= 400) AS INTEGER) AS incorrect_count,
+       CAST(CAST((count_if(value <= 100) * 20000 + count(*)) // (2 * count(*)) AS DECIMAL(18,0)) * 0.01
+            AS DECIMAL(5,2)) AS accuracy_pct
+FROM events GROUP BY event_type""")
+def diagram_stats_stream(spark, sf_dir):
+    """K6 as a stream: value <= 100 correct, above 400 no verdict, else incorrect."""
+    ev = jobs.file_stream(spark, sf_dir, "events")
+    v = F.when(F.col("value") <= 100, F.lit(True)).when(F.col("value") > 400, F.lit(None).cast("boolean")) \
+         .otherwise(F.lit(False))
+    return jobs.stats_stream(spark, ev, "event_type", v, jobs.run_dir(spark, "stats"))

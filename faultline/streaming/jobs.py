@@ -79,6 +79,31 @@ def accuracy_stream(spark: SparkSession, events: DataFrame, key: str, verdict_ex
     return cur.withColumn("accuracy_rate", percent_half_up("correct_count", "total_count"))
 
 
+def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str,
+                 out_key: str = "diagram_id") -> DataFrame:
+    """K6 / M1 (trigger side): total, correct, incorrect and DECIMAL(5,2) percent per key.
+
+    Null verdicts count in the total only, as in the database trigger.
+    """
+    from ..functions.js import decimal_percent
+
+    scored = events.select(F.col(key).alias(out_key), verdict_expr.alias("_v"))
+    agg = scored.groupBy(out_key).agg(
+        F.count(F.lit(1)).alias("total_matches"),
+        F.count_if(F.col("_v") == F.lit(True)).alias("correct_count"),
+        F.count_if(F.col("_v") == F.lit(False)).alias("incorrect_count"))
+    log = f"{root}/table"
+
+    def sink(batch: DataFrame, batch_id: int):
+        changelog.append_batch(batch, log, batch_id)
+
+    _run(agg.writeStream.outputMode("update").foreachBatch(sink), root)
+    cur = changelog.current(spark, log, out_key)
+    return cur.select(out_key, *[F.col(c).cast("int").alias(c)
+                                 for c in ("total_matches", "correct_count", "incorrect_count")]) \
+              .withColumn("accuracy_pct", decimal_percent("correct_count", "total_matches"))
+
+
 # ------------------------------------------------------------------ M2
 
 def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key: str,
