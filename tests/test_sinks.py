@@ -126,3 +126,23 @@ def test_clustered_layout_prunes(spark):
     assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,7)]" in plan
     want = ev.where((ev.user_id == 7) & (ev.ts.cast("date") == "2024-01-03")).count()
     assert q.count() == want
+
+
+def test_json_record_sources(spark):
+    import os
+
+    from faultline.operators import ingest as ing
+    from faultline.sources.tables import json_array_records, read_json_records
+
+    body = '{"records": [{"video": {"video_name": "a", "accident_negligence_rateA": 0}}, {"video_name": "b"}]}'
+    recs = json_array_records(spark.createDataFrame([(body,)], "body string"), "body")
+    flat = ing.flatten_video_records(recs).orderBy("video_name").collect()
+    assert [(r["video_name"], r["rate_a"]) for r in flat] == [("a", 0), ("b", None)]
+
+    d = scratch_path(spark, "test-jsonl", uuid.uuid4().hex)
+    os.makedirs(d, exist_ok=True)
+    with open(f"{d}/part-0.json", "w") as f:
+        f.write('{"video_name": "c"}\n{"broken": \n')
+    raw = read_json_records(spark, d)
+    out = ing.flatten_video_records(raw).collect()
+    assert sorted((r["video_name"] or "") for r in out) == ["", "c"]  # malformed line kept, fields null
