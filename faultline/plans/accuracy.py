@@ -31,7 +31,7 @@ scored AS (
 )"""
 
 ACCURACY_SQL = """
-SELECT knia_diagram, count(*) AS total_count, count_if(is_correct) AS correct_count,
+SELECT knia_diagram, count(*) AS total_count, CAST(count_if(is_correct) AS BIGINT) AS correct_count,
        floor(count_if(is_correct)::DOUBLE / count(*) * 100.0 * 100.0 + 0.5) / 100.0 AS accuracy_rate
 FROM scored
 WHERE knia_diagram IS NOT NULL AND knia_diagram <> '' AND is_correct IS NOT NULL

@@ -246,7 +246,8 @@ def video_upsert_dedup(spark, sf_dir):
 
 @register("video_upsert_summary", "WITH " + _SRC_SQL.format(repeats=_REPEATS_SQL) + """
 SELECT (SELECT count(*) FROM src) AS total_sent, count(*) AS uploaded,
-       count_if(c.c_custkey IS NULL) AS inserted, count_if(c.c_custkey IS NOT NULL) AS updated
+       CAST(count_if(c.c_custkey IS NULL) AS BIGINT) AS inserted,
+       CAST(count_if(c.c_custkey IS NOT NULL) AS BIGINT) AS updated
 FROM dedup d LEFT JOIN customer c ON d.c_custkey = c.c_custkey""")
 def video_upsert_summary(spark, sf_dir):
     src = _source(spark, sf_dir, with_repeats=True)

@@ -153,7 +153,7 @@ hazard AS (
   FROM part {where} {sample}
 )
 SELECT label, min_by(category, p_partkey) AS category, count(*) AS count,
-       count_if(coalesce(is_defect = 'Y', false)) AS defect_count
+       CAST(count_if(coalesce(is_defect = 'Y', false)) AS BIGINT) AS defect_count
 FROM hazard GROUP BY label"""
 
 

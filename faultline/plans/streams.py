@@ -16,7 +16,7 @@ from .registry import register
 
 
 @register("accuracy_stream", """
-SELECT event_type, count(*) AS total_count, count_if(value <= 100) AS correct_count,
+SELECT event_type, count(*) AS total_count, CAST(count_if(value <= 100) AS BIGINT) AS correct_count,
        floor(CAST(count_if(value <= 100) AS DOUBLE) / count(*) * 100.0 * 100.0 + 0.5) / 100.0 AS accuracy_rate
 FROM events GROUP BY event_type""")
 def accuracy_stream(spark, sf_dir):
