@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from check_oracle import rows_key
+from check_oracle import rows_key, type_mismatches
 from faultline.sources.tables import DRIVER_TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -31,8 +31,10 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(ORACLES[name])
     ocols = [d[0] for d in cur.description]
+    otypes = {d[0]: d[1] for d in cur.description}
     orows = cur.fetchall()
     assert sorted(cols) == sorted(ocols)
+    assert type_mismatches({f.name: f.dataType.simpleString() for f in df.schema.fields}, otypes) == []
     assert len(rows) == len(orows)
     assert rows_key(cols, rows, False) == rows_key(ocols, orows, False)
 
