@@ -117,3 +117,11 @@ def parse_int_prefix(x) -> Column:
 def js_trim(x) -> Column:
     """``String.prototype.trim``: strips Unicode white space, not only spaces."""
     return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+
+
+def utf16_length(x) -> Column:
+    """``s.length`` in JavaScript: UTF-16 code units, i.e. code points plus one
+    for every character outside the Basic Multilingual Plane (T10)."""
+    s = _c(x)
+    astral = F.length(F.regexp_replace(s, r"[^\x{10000}-\x{10FFFF}]", ""))
+    return F.length(s) + astral

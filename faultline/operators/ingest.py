@@ -104,9 +104,13 @@ def in_domain(c, values: list[str]) -> Column:
     return c.isNull() | c.isin(*values)
 
 
-def length_gate(text, lo: int = 5, hi: int = 10000) -> Column:
-    """P10: 'too_short' below ``lo`` code points (or missing), 'too_long' above ``hi``."""
-    n = F.length(_c(text))
+def length_gate(text, lo: int = 5, hi: int = 10000, units: str = "code_points") -> Column:
+    """P10: 'too_short' below ``lo`` (or missing), 'too_long' above ``hi``.
+
+    ``units='utf16'`` counts as JavaScript does (T10); the default counts code
+    points, which is what SQL ``length`` returns.
+    """
+    n = js.utf16_length(_c(text)) if units == "utf16" else F.length(_c(text))
     return (F.when(_c(text).isNull() | (n < F.lit(lo)), F.lit("too_short"))
              .when(n > F.lit(hi), F.lit("too_long")).otherwise(F.lit("ok")))
 

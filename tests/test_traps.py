@@ -519,3 +519,11 @@ def test_keyword_index_all_and_any(spark):
     assert sorted(one(srch.index_lookup(idx, ["a", "b"], "id", "all"), "id")) == [1]
     assert sorted(one(srch.index_lookup(idx, ["a", "b"], "id", "any"), "id")) == [1, 2, 3]
     assert sorted(one(srch.array_keyword_match(df, "kw", ["a", "b"], "all"), "id")) == [1]
+
+
+def test_utf16_length_t10(spark):
+    df = spark.createDataFrame([("😀abc",), ("가나",), ("",)], "t string")
+    out = [(r["cp"], r["u16"]) for r in df.select(F.length("t").alias("cp"), js.utf16_length("t").alias("u16")).collect()]
+    assert out == [(4, 5), (2, 2), (0, 0)]
+    g = spark.createDataFrame([("😀😀a",)], "t string")  # 3 code points, 5 UTF-16 units
+    assert g.select(ing.length_gate("t").alias("a"), ing.length_gate("t", units="utf16").alias("b")).first() == ("too_short", "ok")
