@@ -115,8 +115,10 @@ def parse_int_prefix(x) -> Column:
 
 
 def js_trim(x) -> Column:
-    """``String.prototype.trim``: strips Unicode white space, not only spaces."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    """``String.prototype.trim``: strips JavaScript white space, not only spaces."""
+    from .text import JS_SPACE
+
+    return F.regexp_replace(_c(x), f"^[{JS_SPACE}]+|[{JS_SPACE}]+$", "")
 
 
 def utf16_length(x) -> Column:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ``/[\s,]+/`` in JavaScript is Unicode-aware; Java needs (?U).
-WORD_SPLIT = r"(?U)[\s,]+"
+# JavaScript ``\s`` (ECMAScript WhiteSpace + LineTerminator), as a Java
+# character class: tab, LF, VT, FF, CR, space, NBSP, U+1680, U+2000-U+200A, LS, PS,
+# U+202F, U+205F, U+3000, BOM. Java's own ``(?U)\s`` differs (U+0085 in, BOM out).
+JS_SPACE = r"\t\n\x{0B}\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+WORD_SPLIT = "[" + JS_SPACE + ",]+"
 
 
 def _c(c) -> Column:
@@ -47,4 +50,5 @@ def split_words_py(text: str | None, min_len: int = 2) -> list[str]:
 
     if not text:
         return []
-    return [w for w in re.split(r"[\s,]+", text) if len(w) >= min_len]
+    py_class = ("\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff")
+    return [w for w in re.split("[" + py_class + ",]+", text) if len(w) >= min_len]

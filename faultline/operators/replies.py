@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.js import js_trim
+from ..functions.text import JS_SPACE
 
 # The error text the handler stores for an unparsable reply.
 PARSE_ERROR = "JSON 파싱 실패"
@@ -58,8 +59,8 @@ def strict_parse(text: Column) -> Column:
 def strip_fences(content) -> Column:
     """``.replace(/```json\\s*/g,'').replace(/```\\s*/g,'').trim()``."""
     c = F.coalesce(_c(content), F.lit(""))
-    c = F.regexp_replace(c, r"(?U)```json\s*", "")
-    c = F.regexp_replace(c, r"(?U)```\s*", "")
+    c = F.regexp_replace(c, f"```json[{JS_SPACE}]*", "")
+    c = F.regexp_replace(c, f"```[{JS_SPACE}]*", "")
     return js_trim(c)
 
 

@@ -527,3 +527,14 @@ def test_utf16_length_t10(spark):
     assert out == [(4, 5), (2, 2), (0, 0)]
     g = spark.createDataFrame([("😀😀a",)], "t string")  # 3 code points, 5 UTF-16 units
     assert g.select(ing.length_gate("t").alias("a"), ing.length_gate("t", units="utf16").alias("b")).first() == ("too_short", "ok")
+
+
+def test_js_whitespace_class_t11(spark):
+    df = spark.createDataFrame([("a﻿bb\u0085cc　dd",)], "k string")
+    # BOM and U+3000 split (JavaScript \s); U+0085 does not
+    assert df.select(search_words("k", 1).alias("w")).first()["w"] == ["a", "bb\u0085cc", "dd"]
+    t = spark.createDataFrame([("﻿ x 　",)], "t string")
+    assert t.select(js.js_trim("t").alias("r")).first()["r"] == "x"
+    from faultline.functions.text import split_words_py
+
+    assert split_words_py("a﻿bb\u0085cc　dd", 1) == ["a", "bb\u0085cc", "dd"]
