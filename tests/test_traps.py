@@ -538,3 +538,27 @@ def test_js_whitespace_class_t11(spark):
     from faultline.functions.text import split_words_py
 
     assert split_words_py("a﻿bb\u0085cc　dd", 1) == ["a", "bb\u0085cc", "dd"]
+
+
+def test_fixture_category_lookup_default_and_null_code(spark):
+    df = spark.createDataFrame([("1st", "B"), ("1st", None), ("1st", "A"), ("2nd", "C")], "tier string, code string")
+    df = df.withColumn("k", F.monotonically_increasing_id())
+    out = [r["code"] for r in rep.lookup_sorted(df, "tier", None, "code", "k", default="1st").collect()]
+    assert out == ["A", "B", None]
+
+
+def test_fixture_empty_diagram_not_counted(spark):
+    df = spark.createDataFrame([("", True), (None, True), ("101", False)], "d string, is_correct boolean")
+    got = {r["d"]: (r["total_count"], r["accuracy_rate"]) for r in acc.accuracy_by_key(df, "d").collect()}
+    assert got == {"101": (1, 0.0)}
+
+
+def test_fixture_precedent_nulls_and_wildcards(spark):
+    rows = [(1, 10, "a_b", "c", "ct", "10:90", None), (2, 10, "axb", "c", "ct", "10:90", 5.0),
+            (3, 10, "a_b", "c", "ct", None, 9.0), (4, 10, "zz", "c", "ct", "10:90", 7.0)]
+    df = spark.createDataFrame(rows, "id long, fault_a int, keywords_text string, categories string, court string, "
+                                     "fault_ratio string, relevance_score double")
+    got = [r["id"] for r in srch.search(df, srch.SearchRequest(keywords="a_b")).collect()]
+    assert got == [1, 2]  # null relevance first (DESC), '_' is a wildcard, null fault_ratio excluded
+    got = [r["id"] for r in srch.search(df, srch.SearchRequest(keywords="a_b", literal=True)).collect()]
+    assert got == [1]
