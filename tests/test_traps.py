@@ -489,7 +489,7 @@ def test_time_chunker_sizes_chunks(spark):
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
     f = time_chunker(df, "ts", rows_per_chunk=100)
     got = df.select(f(F.col("ts")).alias("c")).groupBy("c").count().collect()
-    assert 9 <= len(got) <= 11 and max(r["count"] for r in got) <= 101
+    assert 10 <= len(got) <= 40 and max(r["count"] for r in got) <= 100
     ids = [r["c"] for r in df.orderBy("ts").select(f(F.col("ts")).alias("c")).collect()]
     assert ids == sorted(ids)  # monotone in time
 
@@ -562,3 +562,18 @@ def test_fixture_precedent_nulls_and_wildcards(spark):
     assert got == [1, 2]  # null relevance first (DESC), '_' is a wildcard, null fault_ratio excluded
     got = [r["id"] for r in srch.search(df, srch.SearchRequest(keywords="a_b", literal=True)).collect()]
     assert got == [1]
+
+
+def test_time_chunker_splits_hot_hour(spark):
+    import datetime as dt
+
+    from faultline.functions.chunks import time_chunker
+
+    base = dt.datetime(2024, 1, 1)
+    # 600 rows spread over 10 days, plus 600 rows inside one hour (half of everything)
+    rows = [(i, base + dt.timedelta(minutes=24 * i)) for i in range(600)]
+    rows += [(1000 + i, base + dt.timedelta(days=3, seconds=6 * i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    f = time_chunker(df, "ts", rows_per_chunk=100)
+    sizes = [r["count"] for r in df.groupBy(f(F.col("ts")).alias("c")).count().collect()]
+    assert max(sizes) <= 100 and sum(sizes) == 1200
