@@ -146,3 +146,24 @@ def test_json_record_sources(spark):
     raw = read_json_records(spark, d)
     out = ing.flatten_video_records(raw).collect()
     assert sorted((r["video_name"] or "") for r in out) == ["", "c"]  # malformed line kept, fields null
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    from faultline.operators import upsert as ups
+    from faultline.sources.layout import write_bucketed
+    from faultline.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    suffix = uuid.uuid4().hex[:8]
+    write_bucketed(t.orders.select("o_orderkey", "o_orderstatus"), f"orders_b_{suffix}", "o_orderkey", 8)
+    write_bucketed(t.lineitem.select("l_orderkey", "l_linenumber"), f"lineitem_b_{suffix}", "l_orderkey", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        orders = spark.table(f"orders_b_{suffix}")
+        child = spark.table(f"lineitem_b_{suffix}")
+        out = ups.orphans(child, orders, "l_orderkey", "o_orderkey")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert out.count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
