@@ -4,8 +4,12 @@ Each micro-batch writes only the rows it changed, to its own directory
 ``<root>/batch_id=<n>`` (overwrite, so a replayed batch is idempotent). The
 current table is the last row per key over base + log -- a ``max_by``
 aggregate, combined map-side, so neither the writer nor the reader ever
-rewrites or gathers the whole table. A periodic compaction can fold the log
-into a new base with the same reader.
+rewrites or gathers the whole table.
+
+``compact`` folds everything up to a batch into ``<root>/_base/v=<batch>``;
+readers then take the newest base and only the later batches, so the read
+cost stays bounded however long the stream runs. Compacting the same batch
+again rewrites the same folder, so it is idempotent too.
 """
 
 from __future__ import annotations
@@ -27,16 +31,26 @@ def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     out.write.mode("overwrite").parquet(f"{root.rstrip('/')}/batch_id={batch_id:012d}")
 
 
-def read_log(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
-    """All logged rows, or None when nothing has been written."""
+def _batch_dirs(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """Committed batch folders as (batch_id, path), metadata only."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
-    dirs = [st.getPath().toString() for st in fs.listStatus(path)
-            if st.isDirectory() and st.getPath().getName().startswith("batch_id=")
-            and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))]
+        return []
+    return sorted((int(st.getPath().getName().split("=", 1)[1]), st.getPath().toString())
+                  for st in fs.listStatus(path)
+                  if st.isDirectory() and st.getPath().getName().startswith("batch_id=")
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+
+
+def _base_root(root: str) -> str:
+    return f"{root.rstrip('/')}/_base"
+
+
+def read_log(spark: SparkSession, root: str, schema=None, after: int | None = None) -> DataFrame | None:
+    """Logged rows (only batches after ``after`` when given), or None."""
+    dirs = [p for b, p in _batch_dirs(spark, root) if after is None or b > after]
     if not dirs:
         return None
     r = spark.read
@@ -46,8 +60,18 @@ def read_log(spark: SparkSession, root: str, schema=None) -> DataFrame | None:
 
 
 def current(spark: SparkSession, root: str, key: str, base: DataFrame | None = None) -> DataFrame | None:
-    """Last version of every key over ``base`` (batch -1) and the log."""
-    log = read_log(spark, root)
+    """Last version of every key over the base and the log.
+
+    A compacted base (see ``compact``) replaces ``base`` and the batches it
+    covers; otherwise ``base`` (batch -1) and the whole log are read.
+    """
+    from .snapshots import committed_versions, read_current
+
+    done = committed_versions(spark, _base_root(root))
+    after = None
+    if done:
+        base, after = read_current(spark, _base_root(root)), done[-1]
+    log = read_log(spark, root, after=after)
     if log is None and base is None:
         return None
     parts = []
@@ -61,13 +85,18 @@ def current(spark: SparkSession, root: str, key: str, base: DataFrame | None = N
     return dedupe_last(u, key, [BATCH_COL, SEQ_COL]).drop(BATCH_COL, SEQ_COL)
 
 
-def compact(spark: SparkSession, root: str, key: str, base_root: str, version: int,
-            base: DataFrame | None = None) -> str:
-    """Fold base + log into a new base version (the log can then be retired).
+def compact(spark: SparkSession, root: str, key: str, base: DataFrame | None = None) -> int | None:
+    """Fold base + log into ``<root>/_base/v=<last batch>``; returns that batch id.
 
-    Readers keep working during compaction: the new base is a new folder.
+    Readers keep working during compaction: the new base is a new folder,
+    and it only becomes visible once committed.
     """
     from .snapshots import write_version
 
+    batches = _batch_dirs(spark, root)
+    if not batches:
+        return None
+    upto = batches[-1][0]
     cur = current(spark, root, key, base=base)
-    return write_version(cur, base_root, version)
+    write_version(cur, _base_root(root), upto)
+    return upto

@@ -107,14 +107,19 @@ def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr,
 # ------------------------------------------------------------------ M2
 
 def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key: str,
-                  order: list[str], root: str) -> DataFrame:
-    """M2: streaming upsert by key; per batch the last arrival of a key wins."""
+                  order: list[str], root: str, compact_every: int | None = None) -> DataFrame:
+    """M2: streaming upsert by key; per batch the last arrival of a key wins.
+
+    ``compact_every=n`` folds the log into a base snapshot every n batches.
+    """
     cols = target.columns
     log = f"{root}/table"
 
     def sink(batch: DataFrame, batch_id: int):
         last = dedupe_last(batch, key, order).select(*cols)
         changelog.append_batch(last, log, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            changelog.compact(spark, log, key, base=target)
 
     _run(source.writeStream.foreachBatch(sink), root)
     return changelog.current(spark, log, key, base=target).select(*cols)

@@ -86,3 +86,16 @@ def test_upsert_and_window_streams_across_batches(spark):
                                      "1 hour", "1 hour", jobs.run_dir(spark, "t5"))
     got = sorted((r["window_start"].hour, r["event_type"], r["n"]) for r in win.collect())
     assert got == [(0, "view", 1), (1, "view", 1), (3, "click", 1), (3, "view", 1)]
+
+
+def test_upsert_stream_with_compaction(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    batches = [[(1, t0, 1, "view", 5.0)], [(2, t0, 1, "click", 6.0), (3, t0, 2, "view", 7.0)],
+               [(4, t0, 2, "buy", 8.0)]]
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+    target = spark.createDataFrame([(1, "old", 0.0), (9, "keep", 0.0)], "user_id long, event_type string, value double")
+    src = jobs.file_stream(spark, root, "events", max_files=1).select("user_id", "event_type", "value", "event_id")
+    out = jobs.upsert_stream(spark, src, target, "user_id", ["event_id"], jobs.run_dir(spark, "t6"), compact_every=1)
+    got = {r["user_id"]: (r["event_type"], r["value"]) for r in out.collect()}
+    assert got == {1: ("click", 6.0), 2: ("buy", 8.0), 9: ("keep", 0.0)}
