@@ -52,6 +52,16 @@ def run_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str:
     return scratch_path(spark, "streams", name, run_id or uuid.uuid4().hex)
 
 
+def _log_sink(spark: SparkSession, log: str, key: str, compact_every: int | None, base: DataFrame | None = None,
+              prepare=None):
+    """foreachBatch sink: append the batch's changed rows; compact every n batches."""
+    def sink(batch: DataFrame, batch_id: int):
+        changelog.append_batch(prepare(batch) if prepare else batch, log, batch_id)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            changelog.compact(spark, log, key, base=base)
+    return sink
+
+
 def _run(query_builder, root: str, trigger_now: bool = True):
     q = query_builder.option("checkpointLocation", f"{root}/checkpoint")
     q = q.trigger(availableNow=True) if trigger_now else q
@@ -64,23 +74,21 @@ def _run(query_builder, root: str, trigger_now: bool = True):
 
 # ------------------------------------------------------------------ M1
 
-def accuracy_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str) -> DataFrame:
+def accuracy_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str,
+                    compact_every: int | None = None) -> DataFrame:
     """M1: per-key counters kept current as rows arrive; returns the table."""
     scored = events.select(F.col(key), verdict_expr.alias("_ok"))
     agg = scored.groupBy(key).agg(F.count(F.lit(1)).alias("total_count"),
                                   F.count_if(F.col("_ok")).alias("correct_count"))
     log = f"{root}/table"
-
-    def sink(batch: DataFrame, batch_id: int):
-        changelog.append_batch(batch, log, batch_id)
-
+    sink = _log_sink(spark, log, key, compact_every)
     _run(agg.writeStream.outputMode("update").foreachBatch(sink), root)
     cur = changelog.current(spark, log, key)
     return cur.withColumn("accuracy_rate", percent_half_up("correct_count", "total_count"))
 
 
 def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str,
-                 out_key: str = "diagram_id") -> DataFrame:
+                 out_key: str = "diagram_id", compact_every: int | None = None) -> DataFrame:
     """K6 / M1 (trigger side): total, correct, incorrect and DECIMAL(5,2) percent per key.
 
     Null verdicts count in the total only, as in the database trigger.
@@ -93,11 +101,7 @@ def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr,
         F.count_if(F.col("_v") == F.lit(True)).alias("correct_count"),
         F.count_if(F.col("_v") == F.lit(False)).alias("incorrect_count"))
     log = f"{root}/table"
-
-    def sink(batch: DataFrame, batch_id: int):
-        changelog.append_batch(batch, log, batch_id)
-
-    _run(agg.writeStream.outputMode("update").foreachBatch(sink), root)
+    _run(agg.writeStream.outputMode("update").foreachBatch(_log_sink(spark, log, out_key, compact_every)), root)
     cur = changelog.current(spark, log, out_key)
     return cur.select(out_key, *[F.col(c).cast("int").alias(c)
                                  for c in ("total_matches", "correct_count", "incorrect_count")]) \
@@ -115,12 +119,8 @@ def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key
     cols = target.columns
     log = f"{root}/table"
 
-    def sink(batch: DataFrame, batch_id: int):
-        last = dedupe_last(batch, key, order).select(*cols)
-        changelog.append_batch(last, log, batch_id)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            changelog.compact(spark, log, key, base=target)
-
+    sink = _log_sink(spark, log, key, compact_every, base=target,
+                     prepare=lambda b: dedupe_last(b, key, order).select(*cols))
     _run(source.writeStream.foreachBatch(sink), root)
     return changelog.current(spark, log, key, base=target).select(*cols)
 
@@ -128,18 +128,14 @@ def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key
 # ------------------------------------------------------------------ M3
 
 def latest_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str],
-                  columns: list[str], root: str) -> DataFrame:
+                  columns: list[str], root: str, compact_every: int | None = None) -> DataFrame:
     """M3: the latest row per key, maintained in the state store (update mode)."""
     packed = F.struct(*[F.col(c) for c in columns])
     agg = (events.where(F.col(key).isNotNull()).groupBy(key)
                  .agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_r")))
     flat = agg.select(key, "_r.*")
     log = f"{root}/table"
-
-    def sink(batch: DataFrame, batch_id: int):
-        changelog.append_batch(batch, log, batch_id)
-
-    _run(flat.writeStream.outputMode("update").foreachBatch(sink), root)
+    _run(flat.writeStream.outputMode("update").foreachBatch(_log_sink(spark, log, key, compact_every)), root)
     return changelog.current(spark, log, key)
 
 
@@ -165,7 +161,8 @@ def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys:
 # ------------------------------------------------------------------ M3 (bounded state)
 
 def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts: str, tiebreak: str,
-                           columns: list[str], idle_timeout: str, watermark: str, root: str) -> DataFrame:
+                           columns: list[str], idle_timeout: str, watermark: str, root: str,
+                           compact_every: int | None = None) -> DataFrame:
     """M3 with bounded state: the latest row per key, state dropped when idle.
 
     ``applyInPandasWithState`` keeps one row per key; an event-time timeout
@@ -208,11 +205,7 @@ def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts:
     out = src.groupBy(key).applyInPandasWithState(
         latest, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
     log = f"{root}/table"
-
-    def sink(batch: DataFrame, batch_id: int):
-        changelog.append_batch(batch, log, batch_id)
-
-    _run(out.writeStream.outputMode("update").foreachBatch(sink), root)
+    _run(out.writeStream.outputMode("update").foreachBatch(_log_sink(spark, log, key, compact_every)), root)
     return changelog.current(spark, log, key).select(*keep)
 
 

@@ -99,3 +99,15 @@ def test_upsert_stream_with_compaction(spark):
     out = jobs.upsert_stream(spark, src, target, "user_id", ["event_id"], jobs.run_dir(spark, "t6"), compact_every=1)
     got = {r["user_id"]: (r["event_type"], r["value"]) for r in out.collect()}
     assert got == {1: ("click", 6.0), 2: ("buy", 8.0), 9: ("keep", 0.0)}
+
+
+def test_latest_stream_with_compaction(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    h = dt.timedelta(hours=1)
+    batches = [[(1, t0, 1, "view", 1.0)], [(2, t0 + h, 1, "click", 2.0)], [(3, t0 + 2 * h, 2, "view", 3.0)]]
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+    ev = jobs.file_stream(spark, root, "events", max_files=1)
+    out = jobs.latest_stream(spark, ev, "user_id", ["ts", "event_id"], ["event_id"], jobs.run_dir(spark, "t7"),
+                             compact_every=2)
+    assert {r["user_id"]: r["event_id"] for r in out.collect()} == {1: 2, 2: 3}
