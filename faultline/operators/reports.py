@@ -180,3 +180,20 @@ def equal_filters_top(df: DataFrame, equals: dict, not_null: list[str], n: int,
     for k in not_null:
         cond = cond & F.col(k).isNotNull()
     return df.where(cond).orderBy(*[F.asc(c) for c in order]).limit(n)
+
+
+def envelope(df: DataFrame, max_rows: int, *order: Column, count_col: str = "count",
+             results_col: str = "results") -> DataFrame:
+    """K9: ``{count, results}`` for a bounded answer (a top-k list).
+
+    The rows are cut to ``max_rows`` by ``order`` first, so at most that many
+    rows are gathered into the one-row envelope; the JSON array keeps the
+    order.
+    """
+    from pyspark.sql import Window
+
+    top = df.orderBy(*order).limit(max_rows)
+    ranked = top.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    packed = F.struct(F.col("_rank"), F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    agg = ranked.agg(F.count(F.lit(1)).alias(count_col), F.sort_array(F.collect_list(packed)).alias("_items"))
+    return agg.select(count_col, F.to_json(F.transform("_items", lambda x: x["_row"])).alias(results_col))

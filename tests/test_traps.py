@@ -577,3 +577,12 @@ def test_time_chunker_splits_hot_hour(spark):
     f = time_chunker(df, "ts", rows_per_chunk=100)
     sizes = [r["count"] for r in df.groupBy(f(F.col("ts")).alias("c")).count().collect()]
     assert max(sizes) <= 100 and sum(sizes) == 1200
+
+
+def test_envelope_k9(spark):
+    import json
+
+    df = spark.createDataFrame([(1, 5.0), (2, None), (3, 9.0), (4, 1.0)], "id long, relevance_score double")
+    r = rep.envelope(df, 3, F.desc_nulls_first("relevance_score"), F.asc("id")).first()
+    assert r["count"] == 3
+    assert [x["id"] for x in json.loads(r["results"])] == [2, 3, 1]
