@@ -169,3 +169,14 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert out.count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_spread_only_when_fewer_partitions_than_cores(spark):
+    from faultline.sources.tables import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    many = spark.range(0, 1000, numPartitions=cores * 2)
+    assert spread(many) is many  # enough splits already: no extra shuffle
+    one = spark.range(0, 1000, numPartitions=1)
+    spread_one = spread(one)
+    assert spread_one.rdd.getNumPartitions() == cores and spread_one.count() == 1000
