@@ -586,3 +586,9 @@ def test_envelope_k9(spark):
     r = rep.envelope(df, 3, F.desc_nulls_first("relevance_score"), F.asc("id")).first()
     assert r["count"] == 3
     assert [x["id"] for x in json.loads(r["results"])] == [2, 3, 1]
+
+
+def test_fault_sum_violations_flags_missing_share(spark):
+    df = spark.createDataFrame([(1, 30, 70), (2, 30, 71), (3, None, 100)], "id long, a int, b int")
+    assert sorted(one(rep.fault_sum_violations(df, "a", "b"), "id")) == [2, 3]
+    assert rep.ratio_histogram(df, "a", "b", top_n=None).count() == 3  # 30:70, 30:71 and the null ratio
