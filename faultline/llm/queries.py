@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quotes, sharding, url_filter
+from . import byte_bpe, exact_dedup, langid, quotes, sharding, token_counts, url_filter
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +60,40 @@ def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "role", "body", "n_quotes", "n_linked", "parent_turn", "thread_turn", "depth")
 
 
+def held_out(doc_id) -> Column:
+    """Documents that language ID never learns from."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.fit(docs.where(~held_out(F.col("doc_id"))))
+
+
+@register("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.with_language(docs.select("doc_id", "text"), language_model(docs))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+                      F.col("language.score").alias("score"), F.size("language.spans").alias("n_spans"))
+
+
+@register("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document's whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = token_counts.with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@register("op4_byte_bpe")
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's whole text encoded and decoded, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = byte_bpe.encode_table(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.with_digests(out).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 @register("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 24 shards of near equal bytes."""
