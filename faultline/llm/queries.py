@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, langid, quotes, sharding, token_counts, url_filter
-from .shared import table
+from . import byte_bpe, decontam, exact_dedup, langid, quotes, sharding, token_counts, url_filter
+from .shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,31 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.with_digests(out).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@register("op6_decontamination", r"""
+WITH it AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS phrase
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 8, 2))) AS s FROM it WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+              'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+grams AS (SELECT doc_id, text, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS phrase
+          FROM (SELECT d.*, k, unnest(range(1, greatest(len(w) - k + 2, 1))) AS s FROM d, (SELECT DISTINCT k FROM win))),
+hit AS (SELECT DISTINCT doc_id, text, item, s, k FROM grams JOIN win USING (k, phrase)),
+pos AS (SELECT doc_id, text, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, text, unnest(range(s, s + k)) AS p FROM hit) GROUP BY ALL),
+its AS (SELECT doc_id, text, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, text, item FROM hit) GROUP BY ALL)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos ON d.doc_id IS NOT DISTINCT FROM pos.doc_id AND d.text = pos.text
+       LEFT JOIN its ON d.doc_id IS NOT DISTINCT FROM its.doc_id AND d.text = its.text
+""")
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside windows of ten words of ``benchmark``."""
+    index = decontam.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = decontam.find_phrases(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontam.judge_documents(index, written(found, "matches")).select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 @register("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in 24 shards of near equal bytes."""
