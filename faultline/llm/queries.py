@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, exact_dedup, langid, quotes, sharding, token_counts, url_filter
+from . import byte_bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, quotes, sharding, token_counts, url_filter
 from .shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,13 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.with_digests(out).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@register("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without the lines that nearly repeat an earlier one."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 @register("op6_decontamination", r"""
 WITH it AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -149,6 +156,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).drop("url")
 
 
+@register("op9_near_dedup")
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id of its component of near copies."""
+    out = near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @register("op10_exact_dedup", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
