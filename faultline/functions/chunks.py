@@ -8,8 +8,6 @@ count therefore grows with the data, and no window partition grows with it.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,37 +16,33 @@ def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
-def time_chunker(df: DataFrame, ts: str, rows_per_chunk: int = 2_000_000, base_us: int = 1_000_000,
-                 max_units: int = 1_000_000):
+def time_chunker(df: DataFrame, ts: str, rows_per_chunk: int = 2_000_000, base_us: int = 1_000_000):
     """Return ``f(ts_column) -> chunk id`` sized for ``df``.
 
-    A first aggregate (min, max, count -- one row) settles the easy case: at
-    most ``rows_per_chunk`` rows need a single chunk. Otherwise rows are
-    counted per time unit (``base_us``, coarsened so the timeline has at
-    most ``max_units`` units), the fullest bucket is found for every width
-    on a doubling ladder in one more small job, and the widest width whose
-    fullest bucket holds at most ``rows_per_chunk`` rows is used. So the
-    densest part of the timeline decides: an hour holding a third of all
-    rows is cut into as many chunks as it needs. Only a single unit holding
-    more than ``rows_per_chunk`` rows can exceed the target.
+    Rows are counted per time unit (``base_us``); the fullest bucket is found
+    for every width on a doubling ladder in one more job, and the widest
+    width whose fullest bucket holds at most ``rows_per_chunk`` rows is used.
+    So the densest part of the timeline decides: an hour holding a third of
+    all rows is cut into as many chunks as it needs, and a stray date (year
+    9999) only adds an empty stretch. Only a single unit holding more than
+    ``rows_per_chunk`` rows can exceed the target. One rule serves every
+    size; a small table simply gets one wide chunk.
+
+    Null times have a chunk of their own before all others (they sort first).
 
     ``df`` should be the union of everything the chunk function will be
     applied to (e.g. both sides of an as-of join) -- only its time column is
-    read. Each job returns a handful of rows to the driver.
+    read. Both jobs are aggregates over at most one row per unit that has
+    data; the driver gets a row per width of the ladder.
     """
     t = df.select(_micros(F.col(ts)).alias("_t")).where(F.col("_t").isNotNull())
-    st = t.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not st["n"] or st["n"] <= rows_per_chunk:
-        return lambda c: F.lit(0).cast("long")
-    lo, hi = st["lo"], st["hi"]
-    unit = max(base_us, math.ceil((hi - lo + 1) / max_units))
-    per = (t.select(F.floor((F.col("_t") - F.lit(lo)) / F.lit(unit)).alias("_r"))
-            .groupBy("_r").agg(F.count(F.lit(1)).alias("_c")))
-    top = max(0, math.ceil(math.log2((hi - lo) // unit + 1))) + 1
+    lo, hi = t.agg(F.coalesce(F.min("_t"), F.lit(0)), F.coalesce(F.max("_t"), F.lit(0))).first()
+    per = t.select(F.floor((F.col("_t") - F.lit(lo)) / F.lit(base_us)).alias("_r")).groupBy("_r").agg(F.count(F.lit(1)).alias("_c"))
+    top = ((hi - lo) // base_us).bit_length()  # at this width all rows are in one bucket
     ladder = (per.select(F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_l"), "_r", "_c")
-                 .groupBy("_l", F.floor(F.col("_r") / F.pow(F.lit(2.0), F.col("_l"))).alias("_b"))
+                 .groupBy("_l", F.expr("shiftright(_r, _l)").alias("_b"))
                  .agg(F.sum("_c").alias("_m"))
                  .groupBy("_l").agg(F.max("_m").alias("_peak")))
     fits = [r["_l"] for r in ladder.where(F.col("_peak") <= F.lit(rows_per_chunk)).select("_l").collect()]
-    width = unit * (2 ** (max(fits) if fits else 0))
-    return lambda c: F.floor((_micros(c) - F.lit(lo)) / F.lit(width)).cast("long")
+    width = base_us * (2 ** (max(fits) if fits else 0))
+    return lambda c: F.coalesce(F.floor((_micros(c) - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")

@@ -129,9 +129,11 @@ def running_accuracy(df: DataFrame, by: list[str], order: list[str], verdict: st
     monotone function of the leading order column): counts are prefixed
     inside each (group, chunk), chunk totals are prefixed over the small
     chunk table, and the two are added back -- a two-level prefix sum with
-    no unbounded partition.
+    no unbounded partition. Null groups and null times are kept: a null key
+    is a group of its own and null order values come first (T1).
     """
     v = F.col(verdict)
+    order = [F.asc_nulls_first(c) for c in order]
     x = df.withColumn("_chunk", bucket) \
           .withColumn("_one", F.lit(1).cast("bigint")) \
           .withColumn("_hit", F.when(v, 1).otherwise(0).cast("bigint"))
@@ -145,7 +147,11 @@ def running_accuracy(df: DataFrame, by: list[str], order: list[str], verdict: st
     offsets = chunks.select(*by, "_chunk",
                             F.coalesce(F.sum("_ct").over(w_prev), F.lit(0)).alias("_seen_off"),
                             F.coalesce(F.sum("_ch").over(w_prev), F.lit(0)).alias("_ok_off"))
-    y = x.join(offsets, [*by, "_chunk"], "inner")
+    offsets = offsets.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*by, "_chunk"])], "_seen_off", "_ok_off")
+    cond = F.lit(True)
+    for i, c in enumerate([*by, "_chunk"]):
+        cond = cond & x[c].eqNullSafe(offsets[f"_o{i}"])
+    y = x.join(offsets, cond, "inner").drop(*[f"_o{i}" for i in range(len(by) + 1)])
     y = y.withColumn(seen, F.col("_seen_in") + F.col("_seen_off")) \
          .withColumn(ok, F.col("_ok_in") + F.col("_ok_off"))
     y = y.withColumn(rate, percent_half_up(ok, seen))
@@ -154,21 +160,29 @@ def running_accuracy(df: DataFrame, by: list[str], order: list[str], verdict: st
 
 def accuracy_merge_into(spark, root: str, delta: DataFrame, key: str,
                         total: str = "total_count", correct: str = "correct_count",
-                        rate: str = "accuracy_rate") -> int:
+                        rate: str = "accuracy_rate", batch_id: int | None = None) -> int:
     """K7 persisted: fold a batch of counters into the stored table.
 
     Reads the current snapshot, merges additively (``accuracy_merge``) and
-    writes the next version; the stored version is never overwritten, so a
-    failed run leaves the table as it was. Returns the new version number.
+    creates the next version. The version that is read and the number of the
+    new one come from one listing, and a version is only ever created: of two
+    writers that read the same version one gets an error and can run again.
+    ``batch_id`` numbers the deltas (as ``foreachBatch`` does): a batch up to
+    the last one in the table is not added again, so a retry is harmless.
+    Returns the current version number.
     """
     from ..sources import snapshots
 
-    cur = snapshots.read_current(spark, root)
-    if cur is None:
+    vs = snapshots.committed_versions(spark, root)
+    if not vs:
         merged = delta.select(key, total, correct).withColumn(rate, percent_half_up(correct, total))
     else:
+        cur = snapshots.read_version(spark, root, vs[-1])
+        if batch_id is not None and "_last_batch" in cur.columns and not cur.where(F.col("_last_batch") >= batch_id).isEmpty():
+            return vs[-1]
         merged = accuracy_merge(cur, delta, key, total, correct, rate)
-    vs = snapshots.committed_versions(spark, root)
+    if batch_id is not None:
+        merged = merged.withColumn("_last_batch", F.lit(batch_id).cast("long"))
     nxt = (vs[-1] + 1) if vs else 0
-    snapshots.write_version(merged, root, nxt)
+    snapshots.create_version(merged, root, nxt)
     return nxt

@@ -4,9 +4,9 @@ The handler's recovery chain, as one column expression per row:
 strip ```json fences -> trim -> strict parse -> else parse the greedy
 ``{...}`` span -> else an error record carrying the raw text.
 
-Strictness: ``JSON.parse`` rejects trailing text. Spark's variant parser is
-made strict by parsing ``'[' || text || ']'`` and requiring exactly one
-element -- anything after the value makes the array text invalid.
+Strictness: ``JSON.parse`` rejects trailing text, Spark's variant parser does
+not. The text is therefore parsed inside an array and inside an object: text
+after the value that closes one of them early is an error in the other.
 """
 
 from __future__ import annotations
@@ -53,7 +53,8 @@ def strict_parse(text: Column) -> Column:
     """``JSON.parse``: the whole text must be exactly one JSON value."""
     arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     one = F.try_variant_get(arr, "$", "array<variant>")
-    return F.when(F.size(one) == 1, F.element_at(one, 1))
+    inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(one) == 1) & inside.isNotNull(), F.element_at(one, 1))
 
 
 def strip_fences(content) -> Column:

@@ -77,31 +77,36 @@ def group_rounded_means(df: DataFrame, keys: list[str], mean_cols: dict[str, str
 
     Rows are restricted to ``null_filter`` not null; any other null input
     adds 0 to its sum but still counts in the divisor, as ``sum += null``
-    does in JavaScript. ``legacy_key`` adds the handler's string key
-    ``${a}_${b}`` (null prints as 'null').
+    does in JavaScript. ``legacy_key`` groups by the handler's string
+    key ``${a}_${b}`` (null prints as 'null') under that name: pairs whose keys
+    collide (``a_b`` + ``c`` and ``a`` + ``b_c``) are one row, which carries
+    the smallest pair.
     """
     rows = df.where(F.col(null_filter).isNotNull()) if null_filter else df
     aggs = [F.count(F.lit(1)).alias(count_col)]
     aggs += [F.sum(F.coalesce(F.col(src), F.lit(0))).alias(f"_sum_{out}") for out, src in mean_cols.items()]
-    g = rows.groupBy(*keys).agg(*aggs)
-    for out in mean_cols:
-        g = g.withColumn(out, half_up_round(F.col(f"_sum_{out}") / F.col(count_col)).cast("bigint"))
-    g = g.drop(*[f"_sum_{out}" for out in mean_cols])
     if legacy_key:
         parts = [F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]
-        g = g.withColumn(legacy_key, F.concat_ws("_", *parts))
-    return g
+        g = rows.groupBy(F.concat_ws("_", *parts).alias(legacy_key)).agg(F.min(F.struct(*keys)).alias("_pair"), *aggs)
+        g = g.select(*[F.col("_pair")[k].alias(k) for k in keys], *[c for c in g.columns if c != "_pair"])
+    else:
+        g = rows.groupBy(*keys).agg(*aggs)
+    for out in mean_cols:
+        g = g.withColumn(out, half_up_round(F.col(f"_sum_{out}") / F.col(count_col)).cast("bigint"))
+    return g.drop(*[f"_sum_{out}" for out in mean_cols])
 
 
 def counts_with_total(df: DataFrame, keys: list[str], count_col: str = "cnt",
                       total_flag: str = "is_total") -> DataFrame:
     """S5 + A11 + K9: counts per key combination plus the grand total row.
 
-    One ``GROUPING SETS ((keys), ())`` aggregate; ``total_flag`` marks the
+    The rows are counted once and the total sums the counts, so ``GROUPING
+    SETS`` expands the few groups and not the table. ``total_flag`` marks the
     total row so a null key is never mistaken for it.
     """
-    g = df.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
-        F.count(F.lit(1)).alias(count_col), F.grouping(keys[0]).alias("_g"))
+    per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    g = per.groupingSets([[F.col(k) for k in keys], []], *keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias(count_col), F.grouping(keys[0]).alias("_g"))
     return g.withColumn(total_flag, F.col("_g") == F.lit(1)).drop("_g")
 
 

@@ -48,7 +48,9 @@ def update_by_key(target: DataFrame, updates: DataFrame, key: str, columns: list
     last by ``order`` (a partial ``max_by`` aggregate), so the join never
     multiplies target rows.
     """
-    rank = [F.col(c) for c in (order or columns)]
+    # without an order only equal updates of a key are allowed; VARIANT cannot be ordered, its JSON text can
+    types = dict(updates.dtypes)
+    rank = [F.col(c) if order or types[c] != "variant" else F.to_json(c) for c in (order or columns)]
     upd = (updates.where(F.col(key).isNotNull()).groupBy(key)
                   .agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in columns]), F.struct(*rank)).alias("_u"))
                   .select(F.col(key).alias("_k"), "_u"))
@@ -61,15 +63,15 @@ def update_by_key(target: DataFrame, updates: DataFrame, key: str, columns: list
 
 
 def mark_used(analyses: DataFrame, attached: DataFrame, analysis_id: str, attached_id: str = "analysis_id",
-              flag: str = "llm_used", response: str | None = None) -> DataFrame:
+              flag: str = "llm_used", response: str | None = None, order: list[str] | None = None) -> DataFrame:
     """K8: ``UPDATE analyses SET llm_used = true[, llm_response = ...] WHERE id IN (attached)``."""
     if flag not in analyses.columns:  # the column's declared default
         analyses = analyses.withColumn(flag, F.lit(False))
-    cols = [F.col(attached_id).alias(analysis_id), F.lit(True).alias(flag)]
+    cols = [F.col(attached_id).alias(analysis_id), F.lit(True).alias(flag), *[F.col(c) for c in order or []]]
     if response:
         cols.append(F.col(response))
     upd = attached.select(*cols)
-    return update_by_key(analyses, upd, analysis_id, [flag] + ([response] if response else []))
+    return update_by_key(analyses, upd, analysis_id, [flag] + ([response] if response else []), order)
 
 
 def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols: list[str],
@@ -87,9 +89,11 @@ def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols:
     lside, rside = (0, 1) if inclusive else (1, 0)  # candidates first on ties when inclusive
     L = left.select(F.col(by).alias("_by"), F.col(ts).alias("_ts"), F.col(tb).alias("_tb"),
                     F.struct(*[F.col(c).alias(c) for c in left_cols]).alias("_cand"))
-    L = L.withColumn("_chunk", bucket(F.col("_ts")))
+    # null keys and times match nothing (``null <= ts`` is not true)
+    L = L.where(F.col("_by").isNotNull() & F.col("_ts").isNotNull()).withColumn("_chunk", bucket(F.col("_ts")))
     rcols = right.columns
-    R = (right.withColumn("_by", F.col(by)).withColumn("_ts", F.col(ts))
+    alone = right.where(F.col(by).isNull() | F.col(ts).isNull())
+    R = (right.where(F.col(by).isNotNull() & F.col(ts).isNotNull()).withColumn("_by", F.col(by)).withColumn("_ts", F.col(ts))
               .withColumn("_chunk", bucket(F.col("_ts")))
               .withColumn("_tb", F.lit(None).cast(L.schema["_tb"].dataType))
               .withColumn("_cand", F.lit(None).cast(L.schema["_cand"].dataType)))
@@ -114,7 +118,11 @@ def asof_attach(right: DataFrame, left: DataFrame, by: str, ts: str, left_cols:
     j = queries.join(prev, ["_by", "_chunk"], "left").withColumn("_match", F.coalesce("_m", "_prev"))
     if how == "inner":
         j = j.where(F.col("_match").isNotNull())
-    return j.select(*rcols, *[F.col("_match")[c].alias(prefix + c) for c in left_cols])
+    out = j.select(*rcols, *[F.col("_match")[c].alias(prefix + c) for c in left_cols])
+    if how == "inner":
+        return out
+    types = dict(left.dtypes)
+    return out.unionByName(alone.select(*rcols, *[F.lit(None).cast(types[c]).alias(prefix + c) for c in left_cols]))
 
 
 def agreement(a, b, numeric: bool = False) -> tuple[Column, Column]:

@@ -17,17 +17,22 @@ class DuplicateKeyError(ValueError):
     """A key occurs twice in one upsert batch (the database rejects the batch)."""
 
 
-def dedupe_last(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def dedupe_last(df: DataFrame, key: str | list[str], order: list[str], null_is_key: bool = False) -> DataFrame:
     """Keep the last row per key by ``order`` (ascending arrival).
 
-    Null keys never match each other, so they are all kept.
+    ``order`` must be unique within a key; rows that tie keep any one of them.
+    Null keys never match each other, so they are all kept -- unless
+    ``null_is_key`` (a table of counters has one row for the null key).
     """
-    cols = [c for c in df.columns]
+    cols, keys = [c for c in df.columns], [key] if isinstance(key, str) else key
     packed = F.struct(*[F.col(c) for c in cols])
     rank = F.struct(*[F.col(c) for c in order])
-    keyed = df.where(F.col(key).isNotNull())
-    last = keyed.groupBy(key).agg(F.max_by(packed, rank).alias("_row")).select("_row.*")
-    return last.unionByName(df.where(F.col(key).isNull()))
+    if null_is_key:
+        return df.groupBy(*keys).agg(F.max_by(packed, rank).alias("_row")).select("_row.*")
+    # one aggregate and one read: a null key is told apart by a value of its own
+    null = F.col(keys[0]).isNull()
+    alone = F.when(null, F.expr("uuid()"))
+    return df.groupBy(*keys, alone.alias("_alone")).agg(F.max_by(packed, rank).alias("_row")).select("_row.*")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -55,7 +60,7 @@ def upsert(target: DataFrame, source: DataFrame, key: str, on_duplicate: str = "
         src = source.select(*target.columns)
     else:
         raise ValueError(on_duplicate)
-    keys = src.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull())
+    keys = source.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     kept = target.join(keys, target[key] == keys["_k"], "left_anti")
     return kept.unionByName(src)
 

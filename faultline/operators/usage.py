@@ -44,10 +44,15 @@ def ledger(df: DataFrame, input_tokens: str, output_tokens: str, mode: str | Non
 
 
 def cost_summary(ledger_df: DataFrame, keys: list[str]) -> DataFrame:
-    """Calls, tokens and cost per key (e.g. day, model, purpose)."""
+    """Calls, tokens and cost per key (e.g. day, model, purpose).
+
+    ``rejected_calls`` counts the calls whose cost does not fit the column
+    (T20); ``cost_usd`` is the sum of the others.
+    """
     return ledger_df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
+        F.count_if(F.col("cost_usd").isNull()).alias("rejected_calls"),
         F.sum("cost_usd").cast("decimal(18,6)").alias("cost_usd"),
     )

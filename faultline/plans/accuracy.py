@@ -123,18 +123,25 @@ def accuracy_merge(spark, sf_dir):
     return acc.accuracy_merge(state, delta, "knia_diagram")
 
 
-@register("running_accuracy", """
+# Null groups (values above 450) and null times (values below 2) are part of the data.
+EVENTS_WITH_NULLS_SQL = """
+ev AS (SELECT event_id, user_id, value, event_type AS kind,
+              CASE WHEN value <= 450 THEN event_type END AS event_type, CASE WHEN value >= 2 THEN ts END AS ts FROM events)"""
+
+
+@register("running_accuracy", f"""WITH {EVENTS_WITH_NULLS_SQL}
 SELECT event_id, event_type, ts, value <= 100 AS ok,
        count(*) OVER w AS n_seen,
        CAST(sum(CASE WHEN value <= 100 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS n_ok,
        floor(CAST(sum(CASE WHEN value <= 100 THEN 1 ELSE 0 END) OVER w AS DOUBLE)
              / count(*) OVER w * 100.0 * 100.0 + 0.5) / 100.0 AS running_rate
-FROM events
-WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+FROM ev
+WINDOW w AS (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def running_accuracy(spark, sf_dir):
     """W3 on events: a row is 'correct' when value <= 100; time chunks sized from the data."""
     ev = Tables(spark, sf_dir).events.select("event_id", "event_type", "ts", "value")
-    ev = ev.withColumn("ok", F.col("value") <= F.lit(100))
+    ev = ev.withColumns({"event_type": F.when(F.col("value") <= 450, F.col("event_type")),
+                         "ts": F.when(F.col("value") >= 2, F.col("ts")), "ok": F.col("value") <= F.lit(100)})
     bucket = time_chunker(ev, "ts")(F.col("ts"))
     out = acc.running_accuracy(ev, ["event_type"], ["ts", "event_id"], "ok", bucket)
     return out.select("event_id", "event_type", "ts", "ok", "n_seen", "n_ok", "running_rate")

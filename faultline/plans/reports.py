@@ -104,13 +104,21 @@ video AS (
 
 
 @register("place_type_stats", f"""WITH {_VIDEO_SQL}
-SELECT accident_place, accident_type, count(*) AS count,
+-- urgent 'F' rows have the place 'x' and the type 'y_F', those of high priority 'x_y' and 'F': one key
+, v AS (SELECT rate_a, rate_b, CASE WHEN accident_type = 'F' AND accident_place = '1-URGENT' THEN 'x'
+                                    WHEN accident_type = 'F' AND accident_place = '2-HIGH' THEN 'x_y' ELSE accident_place END AS place,
+               CASE WHEN accident_type = 'F' AND accident_place = '1-URGENT' THEN 'y_F' ELSE accident_type END AS type FROM video)
+SELECT min({{'p': place, 't': type}}).p AS accident_place, min({{'p': place, 't': type}}).t AS accident_type, count(*) AS count,
        CAST(floor(CAST(sum(rate_a) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS avg_a,
        CAST(floor(CAST(sum(coalesce(rate_b, 0)) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS avg_b,
-       coalesce(accident_place, 'null') || '_' || coalesce(accident_type, 'null') AS stat_key
-FROM video WHERE rate_a IS NOT NULL GROUP BY accident_place, accident_type""")
+       coalesce(place, 'null') || '_' || coalesce(type, 'null') AS stat_key
+FROM v WHERE rate_a IS NOT NULL GROUP BY stat_key""")
 def place_type_stats(spark, sf_dir):
-    return rep.group_rounded_means(_video_rows(spark, sf_dir), ["accident_place", "accident_type"],
+    v, place, kind = _video_rows(spark, sf_dir), F.col("accident_place"), F.col("accident_type")
+    urgent, high = (kind == "F") & (place == "1-URGENT"), (kind == "F") & (place == "2-HIGH")
+    v = v.withColumns({"accident_place": F.when(urgent, F.lit("x")).when(high, F.lit("x_y")).otherwise(place),
+                       "accident_type": F.when(urgent, F.lit("y_F")).otherwise(kind)})
+    return rep.group_rounded_means(v, ["accident_place", "accident_type"],
                                    {"avg_a": "rate_a", "avg_b": "rate_b"}, null_filter="rate_a",
                                    legacy_key="stat_key")
 

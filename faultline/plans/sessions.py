@@ -3,11 +3,15 @@ events, model results = 'purchase' events (SURVEY 7.4)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.chunks import time_chunker
 from ..operators import ingest as ing
 from ..operators import sessions as ses
+from ..session import scratch_path
+from ..sources import snapshots
 from ..sources.tables import Tables
 from .registry import register
 
@@ -67,14 +71,17 @@ def llm_attach_latest(spark, sf_dir):
                       F.size("llm_modifiers").alias("n_modifiers"), "llm_tokens", "matches_engine")
 
 
+# Sessions are null above 450, times below 2: such rows match nothing.
 @register("llm_attach_asof", """
-WITH v AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view'),
-     p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
+WITH e AS (SELECT event_id, event_type, CASE WHEN value <= 450 THEN user_id END AS user_id, CASE WHEN value >= 2 THEN ts END AS ts FROM events),
+     v AS (SELECT user_id, ts, event_id FROM e WHERE event_type = 'view' AND user_id IS NOT NULL AND ts IS NOT NULL),
+     p AS (SELECT user_id, ts, event_id FROM e WHERE event_type = 'purchase')
 SELECT p.event_id AS llm_event_id, p.user_id AS session_id, p.ts AS llm_ts,
        v.event_id AS analysis_id, v.ts AS analysis_ts
-FROM p ASOF JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+FROM (SELECT * FROM p WHERE user_id IS NOT NULL AND ts IS NOT NULL) p ASOF JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts""")
 def llm_attach_asof(spark, sf_dir):
-    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type", "value")
+    ev = ev.withColumns({"user_id": F.when(F.col("value") <= 450, F.col("user_id")), "ts": F.when(F.col("value") >= 2, F.col("ts"))})
     views = ev.where(F.col("event_type") == "view").select("user_id", "ts", "event_id")
     buys = ev.where(F.col("event_type") == "purchase").select("user_id", "ts", "event_id")
     chunk = time_chunker(ev.where(F.col("event_type").isin("view", "purchase")), "ts")
@@ -84,6 +91,31 @@ def llm_attach_asof(spark, sf_dir):
                       F.col("match_ts").alias("analysis_ts"))
 
 
+# The reply marks the session's latest analysis: its flag and response, and nothing else, change.
+@register("llm_mark_used", """
+WITH view AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view'),
+latest AS (SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+           FROM view WHERE user_id IS NOT NULL) WHERE rn = 1),
+last_reply AS (SELECT user_id, arg_max(event_id, struct_pack(t := ts, e := event_id)) AS reply FROM events
+               WHERE event_type = 'purchase' AND user_id IS NOT NULL GROUP BY user_id)
+SELECT view.event_id, view.user_id, r.reply IS NOT NULL AS llm_used,
+       CASE WHEN r.reply IS NOT NULL THEN '{"reply":' || CAST(r.reply AS VARCHAR) || '}' END AS llm_response
+FROM view LEFT JOIN latest l ON view.event_id = l.event_id LEFT JOIN last_reply r ON r.user_id = l.user_id""")
+def llm_mark_used(spark, sf_dir):
+    """K8 run as a write: attach every reply, update the analyses, store the table, read it back."""
+    ev = Tables(spark, sf_dir).events.select("event_id", "ts", "user_id", "event_type")
+    views = ev.where(F.col("event_type") == "view").drop("event_type")
+    replies = ev.where(F.col("event_type") == "purchase").select(
+        "user_id", F.col("ts").alias("reply_ts"), F.col("event_id").alias("reply_id"),
+        F.parse_json(F.concat(F.lit('{"reply":'), F.col("event_id").cast("string"), F.lit("}"))).alias("llm_response"))
+    attached = ses.attach_to_latest(replies, views, "user_id", ["ts", "event_id"], "event_id")
+    analyses = views.select("event_id", "user_id")
+    updated = ses.mark_used(analyses, attached, "event_id", response="llm_response", order=["reply_ts", "reply_id"])
+    root = scratch_path(spark, "tables", "analyses", uuid.uuid4().hex)
+    snapshots.create_version(updated.withColumn("llm_response", F.to_json("llm_response")), root, 0)
+    return snapshots.read_current(spark, root).select("event_id", "user_id", "llm_used", "llm_response")
+
+
 @register("llm_agreement", """
 WITH x AS (
   SELECT event_id,

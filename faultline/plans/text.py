@@ -14,7 +14,7 @@ from ..operators import render as rnd
 from ..operators import replies as rpl
 from ..operators import rules as rul
 from ..operators import usage as use
-from ..sources.tables import Tables, spread
+from ..sources.tables import Tables
 from .registry import register
 
 s = lambda c: c.cast("string")
@@ -24,24 +24,28 @@ s = lambda c: c.cast("string")
 def reply_texts(spark, sf_dir):
     """Model replies per conversation turn, shaped by conv_id % 4:
     plain, fenced, wrapped in prose, cut off."""
-    c = spread(Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text"))
+    c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", "role", "text")
     obj = F.concat(F.lit('{"conv_id":'), s(F.col("conv_id")), F.lit(',"turn":'), s(F.col("turn")),
                    F.lit(',"role":"'), F.col("role"), F.lit('","n":'), s(F.length("text")), F.lit("}"))
-    kind = F.col("conv_id") % 4
+    kind = F.col("conv_id") % 6
     content = (F.when(kind == 0, obj)
                 .when(kind == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
                 .when(kind == 2, F.concat(F.lit("Result: "), obj, F.lit(" -- end")))
+                .when(kind == 4, F.concat(obj, F.lit("] "), obj))  # text after the value, twice over
+                .when(kind == 5, F.concat(obj, F.lit("] x")))
                 .otherwise(F.concat(F.lit('{"conv_id":'), s(F.col("conv_id")), F.lit(',"turn":'))))
     return c.select("conv_id", "turn", kind.alias("kind"), content.alias("content"))
 
 
 REPLY_SQL = r"""
 r AS (
-  SELECT conv_id, turn, conv_id % 4 AS kind,
-    CASE conv_id % 4
+  SELECT conv_id, turn, conv_id % 6 AS kind,
+    CASE conv_id % 6
       WHEN 0 THEN obj
       WHEN 1 THEN '```json' || chr(10) || obj || chr(10) || '```'
       WHEN 2 THEN 'Result: ' || obj || ' -- end'
+      WHEN 4 THEN obj || '] ' || obj
+      WHEN 5 THEN obj || '] x'
       ELSE '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' END AS content
   FROM (SELECT conv_id, turn, '{"conv_id":' || CAST(conv_id AS VARCHAR) || ',"turn":' || CAST(turn AS VARCHAR)
                || ',"role":"' || role || '","n":' || CAST(length(text) AS VARCHAR) || '}' AS obj FROM conversations)
@@ -82,7 +86,7 @@ def llm_json_repair(spark, sf_dir):
 
 
 def typed_reply_texts(spark, sf_dir):
-    p = spread(Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", "p_size"))
+    p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", "p_type", "p_size")
     conf = F.when(F.col("p_size") % 2 == 0, s(F.col("p_size") * 2)) \
             .otherwise(F.concat(F.lit('"'), s(F.col("p_size") * 2), F.lit('"')))
     txt = F.concat(
@@ -167,7 +171,7 @@ CASE WHEN instr(text, 'schst') > 0 THEN 'schst'
 @register("rule_classify", f"""
 SELECT doc_id, {_CLASSIFY_SQL} AS category, {_MATCHED_SQL} AS matched_keyword FROM documents""")
 def rule_classify(spark, sf_dir):
-    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     return rul.classify(d, "text", DOC_RULES, default="plain").select("doc_id", "category", "matched_keyword")
 
 
@@ -186,7 +190,7 @@ SELECT doc_id, category, subcategory,
                    WHEN 'adv_fr' THEN 'V1~V5' WHEN 'adv_other' THEN 'V6~V9' END AS id_range
 FROM s""")
 def rule_subclassify(spark, sf_dir):
-    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     c = rul.classify(d, "text", DOC_RULES, default="plain", matched=None)
     sc = rul.subclassify(c, "text", "category", DOC_SUBRULES)
     return sc.select("doc_id", "category", "subcategory",
@@ -323,7 +327,7 @@ def _sql_lit(x: str) -> str:
 SELECT doc_id, {_sql_lit(rnd.PROMPT_HEAD)} || coalesce(text, 'null') || {_sql_lit(rnd.PROMPT_LIST)}
        || {_sql_lit(CATALOGUE)} AS prompt FROM documents""")
 def render_prompt(spark, sf_dir):
-    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text")
     return d.select("doc_id", rnd.render_prompt("text", CATALOGUE).alias("prompt"))
 
 
@@ -409,15 +413,17 @@ ledger AS (
 )"""
 
 
-def _ledger(spark, sf_dir):
+def _ledger(spark, sf_dir, report_scale: int = 1, by_day: bool = False):
     c = Tables(spark, sf_dir).conversations.select("conv_id", "role", "text")
     n = F.length("text").cast("bigint")
+    report = F.count_if(F.col("role") == "system") > 0
     calls = c.groupBy("conv_id").agg(
-        F.sum(F.when(F.col("role").isin("user", "system"), n)).alias("input_tokens"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.count(F.lit(1)).cast("int")).alias("day"),
+        (F.sum(F.when(F.col("role").isin("user", "system"), n)) * F.when(report, report_scale).otherwise(1)).alias("input_tokens"),
         F.sum(F.when(F.col("role") == "assistant", n)).alias("output_tokens"),
-        F.when(F.count_if(F.col("role") == "system") > 0, F.lit("report")).otherwise(F.lit("analyze")).alias("mode"))
+        F.when(report, F.lit("report")).otherwise(F.lit("analyze")).alias("mode"))
     led = use.ledger(calls.withColumn("model", F.lit(MODEL)), "input_tokens", "output_tokens", mode="mode")
-    return led.select("conv_id", "model", "purpose", "input_tokens", "output_tokens", "total_tokens",
+    return led.select(*["day"] * by_day, "conv_id", "model", "purpose", "input_tokens", "output_tokens", "total_tokens",
                       "cost_usd", "cost_rejected")
 
 
@@ -427,9 +433,18 @@ def llm_cost_ledger(spark, sf_dir):
     return _ledger(spark, sf_dir)
 
 
-@register("llm_cost_summary", f"""WITH {_LEDGER_SQL}
-SELECT model, purpose, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
-       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd
-FROM ledger GROUP BY model, purpose""")
+# Reports are scaled up until some of them cost more than the column holds.
+_SCALED_SQL = _LEDGER_SQL.replace("SELECT conv_id,\n    CAST(sum(length(text)) FILTER (WHERE role IN ('user', 'system')) AS BIGINT)",
+                                  "SELECT conv_id, count(*) AS n_turns,\n    CAST(sum(length(text)) FILTER (WHERE role IN ('user', 'system')) AS BIGINT)"
+                                  " * CASE WHEN count(*) FILTER (WHERE role = 'system') > 0 THEN 100000 ELSE 1 END") \
+    .replace("SELECT conv_id, '", "SELECT DATE '2024-01-01' + CAST(n_turns AS INTEGER) AS day, conv_id, '")
+
+
+@register("llm_cost_summary", f"""WITH {_SCALED_SQL}
+SELECT day, model, purpose, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) FILTER (WHERE cost_usd IS NULL) AS rejected_calls,
+       CAST(sum(cost_usd) AS DECIMAL(18,6)) AS cost_usd
+FROM ledger GROUP BY day, model, purpose""")
 def llm_cost_summary(spark, sf_dir):
-    return use.cost_summary(_ledger(spark, sf_dir), ["model", "purpose"])
+    """A16 by day, model and purpose; a conversation's day follows from its number of turns."""
+    return use.cost_summary(_ledger(spark, sf_dir, report_scale=100000, by_day=True), ["day", "model", "purpose"])

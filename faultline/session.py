@@ -69,14 +69,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the session.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext checkpoint dir). Only
-    when neither is set -- local tests -- a private folder is created and
-    registered, so later ``checkpoint()`` calls and streaming queries use it.
+    when neither is set and the master is local (tests) a private folder is
+    created and registered, so later ``checkpoint()`` calls and streaming
+    queries use it. On a cluster a folder of the driver is of no use to the
+    executors: that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         d = jdir.get() if jdir.isDefined() else None
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="faultline-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         try:

@@ -59,9 +59,14 @@ def read_log(spark: SparkSession, root: str, schema=None, after: int | None = No
     return r.parquet(*dirs)
 
 
-def current(spark: SparkSession, root: str, key: str, base: DataFrame | None = None) -> DataFrame | None:
+def current(spark: SparkSession, root: str, key: str | list[str], base: DataFrame | None = None,
+            order: list[str] | None = None) -> DataFrame | None:
     """Last version of every key over the base and the log.
 
+    The last one is that of the latest batch, or, with ``order``, the greatest
+    by these columns whatever batch brought it. A null key is a key: logged
+    rows are the state of one key each.
+
     A compacted base (see ``compact``) replaces ``base`` and the batches it
     covers; otherwise ``base`` (batch -1) and the whole log are read.
     """
@@ -82,10 +87,20 @@ def current(spark: SparkSession, root: str, key: str, base: DataFrame | None = N
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p, allowMissingColumns=True)
-    return dedupe_last(u, key, [BATCH_COL, SEQ_COL]).drop(BATCH_COL, SEQ_COL)
-
-
-def compact(spark: SparkSession, root: str, key: str, base: DataFrame | None = None) -> int | None:
+    if base is not None and not order and log is not None:
+        # rows of the base that the log replaces need no ranking
+        keys = [key] if isinstance(key, str) else key
+        new = dedupe_last(log, key, [BATCH_COL, SEQ_COL], null_is_key=True)
+        seen = new.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & F.col(k).eqNullSafe(F.col(f"_seen_{k}"))
+        return parts[0].join(seen, cond, "left_anti").unionByName(new, allowMissingColumns=True).drop(BATCH_COL, SEQ_COL)
+    return dedupe_last(u, key, [*(order or []), BATCH_COL, SEQ_COL], null_is_key=True).drop(BATCH_COL, SEQ_COL)
+
+
+def compact(spark: SparkSession, root: str, key: str | list[str], base: DataFrame | None = None,
+            order: list[str] | None = None) -> int | None:
     """Fold base + log into ``<root>/_base/v=<last batch>``; returns that batch id.
 
     Readers keep working during compaction: the new base is a new folder,
@@ -97,6 +112,6 @@ def compact(spark: SparkSession, root: str, key: str, base: DataFrame | None = N
     if not batches:
         return None
     upto = batches[-1][0]
-    cur = current(spark, root, key, base=base)
+    cur = current(spark, root, key, base=base, order=order)
     write_version(cur, _base_root(root), upto)
     return upto

@@ -48,6 +48,17 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return p
 
 
+def create_version(df: DataFrame, root: str, version: int) -> str:
+    """Write a version that must not exist yet: a second writer of it fails."""
+    p = version_path(root, version)
+    df.write.mode("errorifexists").parquet(p)
+    return p
+
+
+def read_version(spark: SparkSession, root: str, version: int) -> DataFrame:
+    return spark.read.parquet(version_path(root, version))
+
+
 def read_current(spark: SparkSession, root: str, before: int | None = None) -> DataFrame | None:
     """The newest committed version (optionally the newest below ``before``)."""
     vs = [v for v in committed_versions(spark, root) if before is None or v < before]
@@ -68,7 +79,7 @@ def upsert_into(spark: SparkSession, root: str, source: DataFrame, key: str,
     from ..operators.upsert import upsert
 
     vs = committed_versions(spark, root)
-    cur = read_current(spark, root)
+    cur = read_version(spark, root, vs[-1]) if vs else None
     if cur is None:
         if initial is None:
             cur = spark.createDataFrame([], source.select(*[c for c in source.columns
@@ -77,5 +88,5 @@ def upsert_into(spark: SparkSession, root: str, source: DataFrame, key: str,
             cur = initial
     merged = upsert(cur, source, key, on_duplicate=on_duplicate, order=order)
     nxt = (vs[-1] + 1) if vs else 0
-    write_version(merged, root, nxt)
+    create_version(merged, root, nxt)  # a concurrent writer of the same version fails
     return nxt

@@ -52,20 +52,3 @@ def json_array_records(df: DataFrame, body_col: str, key: str = "records",
     """Explode a request body ``{"records": [...]}`` into one row per record."""
     arr = F.try_variant_get(F.try_parse_json(F.col(body_col)), f"$.{key}", "array<variant>")
     return df.select(F.explode(arr).alias("_rec")).select(F.to_json("_rec").alias(column))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a CPU-heavy row-wise stage over the cluster's cores.
-
-    Only when the input has fewer partitions than the cluster has cores (a
-    single small file, one row group) is the frame round-robin repartitioned
-    to the default parallelism; a scan of a large table already yields far
-    more splits than cores, so at scale this adds no shuffle.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
-        return df
-    return df.repartition(target)

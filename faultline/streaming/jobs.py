@@ -11,8 +11,10 @@ the last committed micro-batch ended.
 * M2 upsert: per batch, dedupe (last arrival wins), then log the rows; the
   table is base + log, last row per key.
 * M3 latest per session: stateful ``max_by`` in update mode, logged.
-* M4 usage per hour: event-time window + watermark, append mode; a window
-  is emitted once the watermark passes its end (T23).
+* M4 usage per hour: event-time windows. Without a watermark every window is
+  kept current in the change log, whatever order the files come in; with one,
+  state is bounded and a window is emitted once the watermark passes its end
+  (T23).
 """
 
 from __future__ import annotations
@@ -52,13 +54,13 @@ def run_dir(spark: SparkSession, name: str, run_id: str | None = None) -> str:
     return scratch_path(spark, "streams", name, run_id or uuid.uuid4().hex)
 
 
-def _log_sink(spark: SparkSession, log: str, key: str, compact_every: int | None, base: DataFrame | None = None,
-              prepare=None):
+def _log_sink(spark: SparkSession, log: str, key: str | list[str], compact_every: int | None, base: DataFrame | None = None,
+              prepare=None, order: list[str] | None = None):
     """foreachBatch sink: append the batch's changed rows; compact every n batches."""
     def sink(batch: DataFrame, batch_id: int):
         changelog.append_batch(prepare(batch) if prepare else batch, log, batch_id)
         if compact_every and (batch_id + 1) % compact_every == 0:
-            changelog.compact(spark, log, key, base=base)
+            changelog.compact(spark, log, key, base=base, order=order)
     return sink
 
 
@@ -75,9 +77,11 @@ def _run(query_builder, root: str, trigger_now: bool = True):
 # ------------------------------------------------------------------ M1
 
 def accuracy_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str,
-                    compact_every: int | None = None) -> DataFrame:
+                    compact_every: int | None = 20) -> DataFrame:
     """M1: per-key counters kept current as rows arrive; returns the table."""
     scored = events.select(F.col(key), verdict_expr.alias("_ok"))
+    # the handler counts rows with a diagram and a verdict only
+    scored = scored.where(F.col(key).isNotNull() & (F.col(key) != F.lit("")) & F.col("_ok").isNotNull())
     agg = scored.groupBy(key).agg(F.count(F.lit(1)).alias("total_count"),
                                   F.count_if(F.col("_ok")).alias("correct_count"))
     log = f"{root}/table"
@@ -88,7 +92,7 @@ def accuracy_stream(spark: SparkSession, events: DataFrame, key: str, verdict_ex
 
 
 def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr, root: str,
-                 out_key: str = "diagram_id", compact_every: int | None = None) -> DataFrame:
+                 out_key: str = "diagram_id", compact_every: int | None = 20) -> DataFrame:
     """K6 / M1 (trigger side): total, correct, incorrect and DECIMAL(5,2) percent per key.
 
     Null verdicts count in the total only, as in the database trigger.
@@ -111,7 +115,7 @@ def stats_stream(spark: SparkSession, events: DataFrame, key: str, verdict_expr,
 # ------------------------------------------------------------------ M2
 
 def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key: str,
-                  order: list[str], root: str, compact_every: int | None = None) -> DataFrame:
+                  order: list[str], root: str, compact_every: int | None = 20) -> DataFrame:
     """M2: streaming upsert by key; per batch the last arrival of a key wins.
 
     ``compact_every=n`` folds the log into a base snapshot every n batches.
@@ -128,7 +132,7 @@ def upsert_stream(spark: SparkSession, source: DataFrame, target: DataFrame, key
 # ------------------------------------------------------------------ M3
 
 def latest_stream(spark: SparkSession, events: DataFrame, key: str, order: list[str],
-                  columns: list[str], root: str, compact_every: int | None = None) -> DataFrame:
+                  columns: list[str], root: str, compact_every: int | None = 20) -> DataFrame:
     """M3: the latest row per key, maintained in the state store (update mode)."""
     packed = F.struct(*[F.col(c) for c in columns])
     agg = (events.where(F.col(key).isNotNull()).groupBy(key)
@@ -142,74 +146,56 @@ def latest_stream(spark: SparkSession, events: DataFrame, key: str, order: list[
 # ------------------------------------------------------------------ M4
 
 def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys: list[str],
-                          aggs: list, window: str, watermark: str, root: str) -> DataFrame:
-    """M4: event-time windows with a watermark, append mode, Parquet sink.
-
-    ``timestamp_ntz`` cannot carry a watermark, so the time column is cast
-    to ``timestamp`` (session time zone UTC). Only windows closed by the
-    watermark are emitted.
+                          aggs: list, window: str, watermark: str | None, root: str,
+                          compact_every: int | None = 20) -> DataFrame:
+    """M4: event-time windows per key.
+
+    ``watermark=None``: no row is ever late. Updated windows go to the change
+    log, so the result is the same for any number and order of files, and the
+    last windows are in it. State then holds every window.
+
+    With a watermark (append mode, Parquet sink) state is bounded; rows that
+    arrive behind it are dropped by Spark and open windows are not emitted.
+    ``timestamp_ntz`` cannot carry one, so the time column is cast to
+    ``timestamp`` (session time zone UTC). Null times belong to no window.
     """
-    x = events.withColumn("_et", F.col(ts).cast("timestamp")).withWatermark("_et", watermark)
+    x = events.withColumn("_et", F.col(ts).cast("timestamp")).where(F.col("_et").isNotNull())
+    if watermark is not None:
+        x = x.withWatermark("_et", watermark)
     g = x.groupBy(F.window("_et", window).alias("_w"), *keys).agg(*aggs)
     out = g.select(F.col("_w.start").cast("timestamp_ntz").alias("window_start"), *keys,
                    *[c for c in g.columns if c not in ("_w", *keys)])
     table = f"{root}/table"
-    _run(out.writeStream.outputMode("append").format("parquet").option("path", table), root)
-    return spark.read.parquet(table)
+    if watermark is not None:
+        _run(out.writeStream.outputMode("append").format("parquet").option("path", table), root)
+        return spark.read.parquet(table)
+    sink = _log_sink(spark, table, ["window_start", *keys], compact_every)
+    _run(out.writeStream.outputMode("update").foreachBatch(sink), root)
+    return changelog.current(spark, table, ["window_start", *keys])
 
 
 # ------------------------------------------------------------------ M3 (bounded state)
 
 def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts: str, tiebreak: str,
-                           columns: list[str], idle_timeout: str, watermark: str, root: str,
-                           compact_every: int | None = None) -> DataFrame:
-    """M3 with bounded state: the latest row per key, state dropped when idle.
-
-    ``applyInPandasWithState`` keeps one row per key; an event-time timeout
-    removes a key's state once the watermark passes its last event plus
-    ``idle_timeout`` (sessions end; the state store does not grow with every
-    key ever seen). Rows reach the Python step as Arrow batches and only the
-    newest row per batch is compared with the state, so a busy key costs one
-    small comparison per batch.
+                           columns: list[str], idle_timeout: str | None, watermark: str | None, root: str,
+                           compact_every: int | None = 20) -> DataFrame:
+    """M3 without a state store: each micro-batch adds its own latest rows to the log.
+
+    A batch is reduced to one row per key (``max_by``, combined map-side) and
+    logged; the table is the newest row per key by (``ts``, ``tiebreak``) over
+    base and log. Nothing is kept between batches, so nothing has to be
+    evicted, and late rows and files in any order give the same table.
+    Compaction keeps the log short. ``idle_timeout`` and ``watermark`` belong
+    to a state store; they are accepted and have no effect.
     """
-    import numpy as np
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    timeout_ms = _interval_ms(spark, idle_timeout)
-    src = events.where(F.col(key).isNotNull()).withColumn("_et", F.col(ts).cast("timestamp"))
-    src = src.withWatermark("_et", watermark)
-    src = src.withColumn("_ts_us", F.unix_micros(F.col("_et")))
-    keep = [key, *columns]
-    out_schema = src.select(*keep).schema
-    state_schema = "ts_us long, tb long"
-
-    def latest(key_tuple, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get if state.exists else None
-        newest = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            i = np.lexsort((pdf[tiebreak].to_numpy(), pdf["_ts_us"].to_numpy()))[-1]
-            cand = (int(pdf["_ts_us"].iat[i]), int(pdf[tiebreak].iat[i]))
-            if best is None or cand > (best[0], best[1]):
-                best, newest = cand, pdf.iloc[[i]][keep]
-        if best is not None:
-            state.update(best)
-            state.setTimeoutTimestamp(best[0] // 1000 + timeout_ms)
-        if newest is not None:
-            yield newest
-
-    out = src.groupBy(key).applyInPandasWithState(
-        latest, out_schema, state_schema, "update", GroupStateTimeout.EventTimeTimeout)
-    log = f"{root}/table"
-    _run(out.writeStream.outputMode("update").foreachBatch(_log_sink(spark, log, key, compact_every)), root)
-    return changelog.current(spark, log, key).select(*keep)
+    order = [ts, tiebreak]
+    log, keep = f"{root}/table", [key, *columns]
+    packed = F.struct(*[F.col(c) for c in keep])
 
+    def newest(batch: DataFrame) -> DataFrame:
+        rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_r"))
+        return rows.select("_r.*")
 
-def _interval_ms(spark: SparkSession, interval: str) -> int:
-    """'30 minutes' -> milliseconds (parsed by Spark's interval literal)."""
-    us = spark.sql(f"SELECT unix_micros(TIMESTAMP'1970-01-01 00:00:00' + INTERVAL {interval}) AS us").first()["us"]
-    return int(us) // 1000
+    sink = _log_sink(spark, log, key, compact_every, prepare=newest, order=order)
+    _run(events.writeStream.foreachBatch(sink), root)
+    return changelog.current(spark, log, key, order=order).select(*keep)

@@ -9,6 +9,7 @@ directly above a partial aggregate -- it then carries one row per partition.
 import pytest
 
 import __spark_entry__ as E
+from faultline.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
 FORBIDDEN = ["BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython"]
@@ -22,7 +23,7 @@ def unbounded_single_partition(plan: str) -> bool:
             if not ("HashAggregate" in below and "partial_" in below):
                 return True
     return False
-BATCH = sorted(n for n in E.queries() if not n.endswith("_stream") and not n.endswith("_stream_evicting"))
+BATCH = sorted(n for n in QUERIES if not n.endswith("_stream") and not n.endswith("_stream_evicting"))
 
 
 @pytest.mark.parametrize("name", BATCH)

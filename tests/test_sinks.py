@@ -3,7 +3,7 @@
 import random
 import uuid
 
-
+import pytest
 
 from faultline.operators import sessions as ses
 from faultline.operators import upsert as ups
@@ -171,12 +171,17 @@ def test_bucketed_tables_join_without_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
 
 
-def test_spread_only_when_fewer_partitions_than_cores(spark):
-    from faultline.sources.tables import spread
+def test_concurrent_and_repeated_deltas_are_not_lost_or_doubled(spark, monkeypatch):
+    from faultline.operators import accuracy as acc
 
-    cores = spark.sparkContext.defaultParallelism
-    many = spark.range(0, 1000, numPartitions=cores * 2)
-    assert spread(many) is many  # enough splits already: no extra shuffle
-    one = spark.range(0, 1000, numPartitions=1)
-    spread_one = spread(one)
-    assert spread_one.rdd.getNumPartitions() == cores and spread_one.count() == 1000
+    root = scratch_path(spark, "test-acc", uuid.uuid4().hex)
+    ten = spark.createDataFrame([("a", 10, 5)], "d string, total_count long, correct_count long")
+    assert acc.accuracy_merge_into(spark, root, ten, "d", batch_id=0) == 0
+    assert acc.accuracy_merge_into(spark, root, ten, "d", batch_id=1) == 1
+    assert acc.accuracy_merge_into(spark, root, ten, "d", batch_id=1) == 1  # a retry adds nothing
+    assert snapshots.read_current(spark, root).first()["total_count"] == 20
+    monkeypatch.setattr(snapshots, "committed_versions", lambda *a: [0])  # a writer that has not seen version 1
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        acc.accuracy_merge_into(spark, root, ten, "d", batch_id=2)
+    monkeypatch.undo()
+    assert snapshots.read_current(spark, root).first()["total_count"] == 20

@@ -111,3 +111,27 @@ def test_latest_stream_with_compaction(spark):
     out = jobs.latest_stream(spark, ev, "user_id", ["ts", "event_id"], ["event_id"], jobs.run_dir(spark, "t7"),
                              compact_every=2)
     assert {r["user_id"]: r["event_id"] for r in out.collect()} == {1: 2, 2: 3}
+
+
+def test_streams_do_not_depend_on_number_and_order_of_files(spark):
+    from pyspark.sql import functions as F
+
+    from faultline.operators import accuracy as acc
+
+    t0, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    rows = [(i, t0 + i * h / 4, i % 5, None if i % 7 == 0 else ("" if i % 6 == 0 else f"k{i % 2}"), None if i % 4 == 0 else float(i % 200)) for i in range(200)]
+    batches = [rows[150:], rows[100:150], rows[50:100], rows[:50]]  # newest first
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+    results = []
+    for n in (1, 1000):
+        ev = lambda: jobs.file_stream(spark, root, "events", max_files=n)  # noqa: B023, E731
+        win = jobs.windowed_usage_stream(spark, ev(), "ts", ["event_type"], [F.count(F.lit(1)).alias("n")], "1 hour", None, jobs.run_dir(spark, "o1"))
+        last = jobs.latest_stream_evicting(spark, ev(), "user_id", "ts", "event_id", ["event_id", "ts"], None, None, jobs.run_dir(spark, "o2"))
+        rate = jobs.accuracy_stream(spark, ev(), "event_type", F.col("value") <= 100, jobs.run_dir(spark, "o3"), compact_every=2)
+        results.append([sorted(map(str, x.collect())) for x in (win, last, rate)])
+    assert results[0] == results[1]
+    assert sum(r["n"] for r in win.collect()) == len(rows)
+    assert {r["user_id"]: r["event_id"] for r in last.collect()} == {u: max(r[0] for r in rows if r[2] == u) for u in range(5)}
+    df = spark.createDataFrame([(k, None if v is None else v <= 100) for _, _, _, k, v in rows], "event_type string, is_correct boolean")
+    assert sorted(map(tuple, rate.collect())) == sorted(map(tuple, acc.accuracy_by_key(df, "event_type").collect()))

@@ -592,3 +592,43 @@ def test_fault_sum_violations_flags_missing_share(spark):
     df = spark.createDataFrame([(1, 30, 70), (2, 30, 71), (3, None, 100)], "id long, a int, b int")
     assert sorted(one(rep.fault_sum_violations(df, "a", "b"), "id")) == [2, 3]
     assert rep.ratio_histogram(df, "a", "b", top_n=None).count() == 3  # 30:70, 30:71 and the null ratio
+
+
+def test_chunked_windows_do_not_depend_on_size_nulls_or_outliers(spark):
+    """W3 and J3 with null keys, null times and a date in year 9999: many chunks equal one."""
+    import datetime as dt
+
+    from faultline.functions.chunks import time_chunker
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 11 == 0 else i % 3, None if i % 13 == 0 else t0 + dt.timedelta(seconds=i), i % 2 == 0) for i in range(4000)]
+    rows.append((4000, 1, dt.datetime(9999, 1, 1), True))
+    df = spark.createDataFrame(rows, "id long, k long, ts timestamp_ntz, ok boolean")
+    many = time_chunker(df, "ts", rows_per_chunk=100)
+    sizes = [r["count"] for r in df.groupBy(many(F.col("ts")).alias("c")).count().collect()]
+    assert len(sizes) > 30 and max(s for s in sizes if s != sum(r[2] is None for r in rows)) <= 128
+    one = lambda c: F.lit(0).cast("long")
+    run = lambda f: sorted(tuple(r) for r in acc.running_accuracy(df, ["k"], ["ts", "id"], "ok", f(F.col("ts"))).select("id", "n_seen", "n_ok").collect())
+    assert run(many) == run(one) and len(run(many)) == len(rows)
+    left, right = df.where("ok"), df.where("NOT ok")
+    att = lambda f, how: sorted((r["id"], r["match_id"] if r["match_id"] is not None else -1) for r in ses.asof_attach(
+        right, left, "k", "ts", ["id"], chunk=f, tiebreak="id", how=how).collect())
+    assert att(many, "inner") == att(one, "inner") and att(many, "left") == att(one, "left")
+    assert len(att(many, "left")) == right.count()
+    bare = {r[0] for r in rows if r[1] is None or r[2] is None}
+    assert not [i for i, m in att(many, "inner") if i in bare or m in bare]
+
+
+def test_reply_with_text_behind_the_value_is_rejected(spark):
+    rows = [('{"a":1}] {"b":2}', None), ('{"a":1}] x', 1), ('{"a":1}} x', None), ('{"a":1},{"b":2}', None), ('{"a":1}', 1), ('[1] ]', None), ('x {"a":1} y', 1)]
+    out = rpl.repair(spark.createDataFrame([(t,) for t, _ in rows], "content string"), "content")
+    got = {r["content"]: r["a"] for r in out.select("content", F.try_variant_get("reply", "$.a", "int").alias("a")).collect()}
+    assert got == {'{"a":1}] {"b":2}': None, '{"a":1}] x': 1, '{"a":1}} x': None, '{"a":1},{"b":2}': None, '{"a":1}': 1, "[1] ]": None, 'x {"a":1} y': 1}
+
+
+def test_variant_response_can_be_stored_by_mark_used(spark):
+    a = spark.createDataFrame([(1,), (2,)], "id long")
+    att = spark.createDataFrame([(1, 5, '{"r":1}'), (1, 7, '{"r":2}')], "analysis_id long, at int, j string").select("analysis_id", "at", F.parse_json("j").alias("llm_response"))
+    for order in (["at"], None):
+        got = {r["id"]: (r["llm_used"], r["j"]) for r in ses.mark_used(a, att, "id", response="llm_response", order=order).select("id", "llm_used", F.to_json("llm_response").alias("j")).collect()}
+        assert got == {1: (True, '{"r":2}'), 2: (False, None)}
