@@ -71,11 +71,12 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
     confirmed = written(verify(first), "links")
     label = written(components(confirmed), "components")
 
-    todo = lists.select("key", "id").distinct()
+    # ``used``: the values that all members of a list share by its making
+    todo = lists.select("key", "id").distinct().withColumn("used", F.array("key"))
     found = None
     for split in range(MAX_SPLITS + 1):
         comp = label.select(F.col("node").alias("id"), "component")
-        todo = written(todo.join(comp, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "open-lists")
+        todo = written(todo.join(comp, "id", "left").select("key", "id", "used", F.coalesce("component", "id").alias("component")), "open-lists")
         per = todo.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         cost = (per.groupBy("key").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("square"))
                 .withColumn("pairs", (F.col("members") * F.col("members") - F.col("square")) / 2).where("pairs > 0"))
@@ -91,8 +92,9 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
         many = cost.where(F.col("pairs") > F.col("members") * PAIRS_PER_MEMBER).select("key")
         if last or many.isEmpty():
             break
-        todo = (todo.select("key", "id").join(many, "key").join(values, "id")
-                .select(F.xxhash64("key", "value").alias("key"), "id").distinct())
+        todo = (todo.select("key", "id", "used").join(many, "key").join(values, "id").where(~F.array_contains("used", F.col("value")))
+                .select("id", F.array_sort(F.array_append("used", F.col("value"))).alias("used")).distinct()
+                .select(F.xxhash64("used").alias("key"), "id", "used"))
     rest = written(found.distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
     if rest.isEmpty():
         return label
