@@ -42,6 +42,9 @@ VIDEO_FIELDS = [
 ]
 
 
+WHOLE_NUMBER = r"^-?[0-9]+([.]0+)?$"
+
+
 def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "video",
                           keep: list[str] | None = None) -> DataFrame:
     """One JSON record per row -> the 20 video columns + raw_json.
@@ -50,25 +53,34 @@ def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "
     variant read (a field of the wrong type becomes null on its own). Each
     step is a staged column, so Catalyst does not inline the parse into
     every consumer.
+
+    Code and rate columns hold whole numbers. Any other value given for one
+    (``33.5``, a word) is not cut or lost: the column is null and
+    ``odd_values`` lists ``column=value`` as given, for a reject or a repair.
     """
     source_fields = []
-    for _, keys, dtype, _ in VIDEO_FIELDS:
+    for _, keys, _, _ in VIDEO_FIELDS:
         for k in keys:
-            source_fields.append((k, dtype))
+            source_fields.append((k, "string"))
     source_fields.append(("has_mp4", "boolean"))
     x = df.withColumn("_v", jx.parse(F.col(raw)))
     x = x.withColumn("_inner", F.try_variant_get(F.col("_v"), f"$.{wrapper}", "variant"))
     x = x.withColumn("_body", F.when(jx.js_truthy(F.col("_inner")), F.col("_inner")).otherwise(F.col("_v")))
     x = x.withColumn("_rec", F.try_variant_get(F.col("_body"), "$", jx.record_struct(source_fields)))
     rec = F.col("_rec")
-    cols = [F.col(k) for k in (keep or [])]
+    cols, odd = [F.col(k) for k in (keep or [])], []
     for out, keys, dtype, rule in VIDEO_FIELDS:
         val = F.coalesce(*[rec[k] for k in keys]) if len(keys) > 1 else rec[keys[0]]
+        if dtype == "int":
+            given, whole = val, val.rlike(WHOLE_NUMBER)
+            val = F.when(whole, given.try_cast("decimal(38,6)").try_cast("int"))
+            odd.append(F.when(given.isNotNull() & val.isNull(), F.concat(F.lit(f"{out}="), given)))
         if rule == "||":
             val = js.falsy_to_null(val, StringType() if dtype == "string" else IntegerType())
         cols.append(val.alias(out))
     cols.append(F.coalesce(rec["has_mp4"], F.lit(False)).alias("has_mp4"))
     cols.append(F.col(raw).alias("raw_json"))
+    cols.append(F.nullif(F.concat_ws(";", *odd), F.lit("")).alias("odd_values"))
     return x.select(*cols)
 
 
@@ -104,6 +116,24 @@ def in_domain(c, values: list[str]) -> Column:
     return c.isNull() | c.isin(*values)
 
 
+# The declared value domains of the stored tables.
+DOMAINS = {
+    "input_type": ["text", "pdf", "ocr", "video", "mixed"],
+    "category": ["차대차", "차대사람", "차대자전거"],
+    "confidence": ["상", "중", "하"],
+}
+
+
+def analysis_rules() -> list[tuple[str, Column]]:
+    """P9/F13/F14 of an analysis row, in order: what the save handler refuses
+    (no diagram, no fault of either party), then the table's NOT NULL text and
+    its declared domains. An empty text or category is a default, not a value
+    outside the domain."""
+    rules = [("missing_diagram", required("diagram_id")), ("missing_fault_a", F.col("fault_a").isNotNull()),
+             ("missing_fault_b", F.col("fault_b").isNotNull()), ("missing_input_text", F.col("input_text").isNotNull())]
+    return rules + [(f"bad_{c}", in_domain(c, [*v, ""])) for c, v in DOMAINS.items()]
+
+
 def length_gate(text, lo: int = 5, hi: int = 10000, units: str = "code_points") -> Column:
     """P10: 'too_short' below ``lo`` (or missing), 'too_long' above ``hi``.
 

@@ -189,6 +189,31 @@ def range_check(category: Column, prefix: Column, number: Column,
     return inside, reason
 
 
+# The words of the prohibition rules 1, 2 and 4.
+BICYCLE_WORDS = ("자전거",)
+PEDESTRIAN_WORDS = ("보행자", "횡단보도")
+LOT_WORDS = ("주차장", "후진", "출차", "개문")
+
+
+def broken_rule(text: Column, diagram_id) -> Column:
+    """The first prohibition rule that the chosen diagram breaks, or null.
+
+    1. a bicycle in the text: only bicycle diagrams; 2. a pedestrian: only
+    pedestrian diagrams; 3. neither: none of the two; 4. parking, reversing,
+    leaving or a door, between cars: only 601 to 626.
+    """
+    prefix, number = split_diagram_id(diagram_id)
+    says = lambda words: F.coalesce(text.rlike("|".join(words)), F.lit(False))
+    bicycle, pedestrian = says(BICYCLE_WORDS), says(PEDESTRIAN_WORDS)
+    is_ = lambda p: F.coalesce(prefix == F.lit(p), F.lit(False))
+    lo, hi = ID_RANGES["기타"][1:]
+    lot = F.coalesce(is_("") & number.between(lo, hi), F.lit(False))
+    return (F.when(bicycle & ~is_(CATEGORY_PREFIX["차대자전거"]), 1)
+             .when(pedestrian & ~bicycle & ~is_(CATEGORY_PREFIX["차대사람"]), 2)
+             .when(~bicycle & ~pedestrian & (is_(CATEGORY_PREFIX["차대자전거"]) | is_(CATEGORY_PREFIX["차대사람"])), 3)
+             .when(~bicycle & ~pedestrian & says(LOT_WORDS) & ~lot, 4))
+
+
 def category_ranges() -> list[tuple[str, str, int, int]]:
     """Category-level ranges (the union of its sub-type ranges)."""
     out = []

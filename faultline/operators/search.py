@@ -123,6 +123,35 @@ def search_batch(df: DataFrame, requests: dict[int, SearchRequest], keywords_tex
     return ranked.where((F.col(rank_col) <= F.lit(max(limits.values()))) & (F.col(rank_col) <= lim))
 
 
+def search_table(df: DataFrame, requests: DataFrame, block: int = 200, request_col: str = "request_id", **columns) -> DataFrame:
+    """W4 with the requests in a table: ``request_id`` and the request's parameters as columns.
+
+    The requests are taken in blocks of at most ``block`` rows, and each block
+    is one scan (``search_batch``); what the driver holds at a time and the
+    size of an expression stay bounded however many requests there are.
+    """
+    names = ["keywords", "categories", "court", "fault_min", "fault_max", "limit"]
+    have = [n for n in names if n in requests.columns]
+    parts, rows = [], {}
+
+    def flush():
+        parts.append(search_batch(df, dict(rows), request_col=request_col, **columns))
+        rows.clear()
+
+    for r in requests.select(request_col, *have).orderBy(request_col).toLocalIterator():
+        rows[r[request_col]] = SearchRequest(**{n: r[n] for n in have})
+        if len(rows) == block:
+            flush()
+    if rows or not parts:
+        if not rows:
+            rows[-1] = SearchRequest(fault_min="1", fault_max="0")  # no request: no answer
+        flush()
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def keyword_filter_latest(df: DataFrame, text: str, keyword: str | None, order: str, tiebreak: str,
                           n: int = 10, literal: bool = False) -> DataFrame:
     """F3 + O3: optional substring filter, newest first (nulls first), top ``n``."""

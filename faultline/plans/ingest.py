@@ -7,10 +7,13 @@ upsert target = customer; FK child/parent = lineitem/orders.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ingest as ing
 from ..operators import upsert as ups
+from ..session import scratch_path
 from ..sources.tables import Tables
 from .registry import register
 
@@ -25,10 +28,10 @@ def video_json(spark, sf_dir):
         F.lit('","video_date":"'), F.date_format("o_orderdate", "yyyy-MM-dd"),
         F.lit('","filming_way":"'), F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(F.lit("dashcam")),
         F.lit('","video_point_of_view":'), s(ck % 3),
-        F.lit(',"accident_negligence_rateA":'), s(ck % 101),
+        F.lit(',"accident_negligence_rateA":'), s(ck % 101), F.when(F.col("o_orderstatus") == "P", F.lit(".5")).otherwise(F.lit("")),
         F.lit(',"accident_negligence_rateB":'),
         F.when(F.dayofmonth("o_orderdate") == 1, F.lit("null")).otherwise(s(F.lit(100) - ck % 101)),
-        F.lit(',"accident_place":'), F.substring("o_orderpriority", 1, 1),
+        F.lit(',"accident_place":'), F.when(F.col("o_orderpriority") == "3-MEDIUM", F.lit('"교차로"')).otherwise(F.substring("o_orderpriority", 1, 1)),
         F.lit(',"vehicle_a_progress_info":'), s(ck % 7),
         F.lit(',"'), F.when(k % 3 == 0, F.lit("traffic_accident_type")).otherwise(F.lit("accident_type")),
         F.lit('":'), s(k % 50),
@@ -50,9 +53,9 @@ src AS (
       || '","video_date":"' || strftime(o_orderdate, '%Y-%m-%d')
       || '","filming_way":"' || CASE WHEN o_orderstatus = 'P' THEN '' ELSE 'dashcam' END
       || '","video_point_of_view":' || CAST(o_custkey % 3 AS VARCHAR)
-      || ',"accident_negligence_rateA":' || CAST(o_custkey % 101 AS VARCHAR)
+      || ',"accident_negligence_rateA":' || CAST(o_custkey % 101 AS VARCHAR) || CASE WHEN o_orderstatus = 'P' THEN '.5' ELSE '' END
       || ',"accident_negligence_rateB":' || CASE WHEN day(o_orderdate) = 1 THEN 'null' ELSE CAST(100 - o_custkey % 101 AS VARCHAR) END
-      || ',"accident_place":' || substr(o_orderpriority, 1, 1)
+      || ',"accident_place":' || CASE WHEN o_orderpriority = '3-MEDIUM' THEN '"교차로"' ELSE substr(o_orderpriority, 1, 1) END
       || ',"vehicle_a_progress_info":' || CAST(o_custkey % 7 AS VARCHAR)
       || ',"' || CASE WHEN o_orderkey % 3 = 0 THEN 'traffic_accident_type' ELSE 'accident_type' END
       || '":' || CAST(o_orderkey % 50 AS VARCHAR)
@@ -70,21 +73,39 @@ b AS (
 )"""
 
 
+def _given(*keys):
+    return "coalesce(" + ", ".join(f"json_extract_string(body, '$.{k}')" for k in keys) + ")"
+
+
+def _whole(*keys):
+    t = _given(*keys)
+    return f"CASE WHEN regexp_matches({t}, '^-?[0-9]+([.]0+)?$') THEN CAST(CAST({t} AS DOUBLE) AS INTEGER) END"
+
+
+def _odd(column, *keys):
+    return f"CASE WHEN {_given(*keys)} IS NOT NULL AND {_whole(*keys)} IS NULL THEN '{column}=' || {_given(*keys)} END"
+
+
+_WHOLE = [("point_of_view", "video_point_of_view"), ("rate_a", "accident_negligence_rateA"), ("rate_b", "accident_negligence_rateB"),
+          ("accident_object", "accident_object"), ("accident_place", "accident_place"), ("place_feature", "accident_place_feature"),
+          ("vehicle_a_info", "vehicle_a_progress_info"), ("vehicle_b_info", "vehicle_b_progress_info"),
+          ("accident_type", "accident_type", "traffic_accident_type")]
+
+
 @register("video_flatten", f"""WITH {VIDEO_JSON_SQL}
 SELECT o_orderkey,
   json_extract_string(body, '$.video_name') AS video_name,
   nullif(json_extract_string(body, '$.video_date'), '') AS video_date,
   nullif(json_extract_string(body, '$.filming_way'), '') AS filming_way,
-  TRY_CAST(json_extract_string(body, '$.video_point_of_view') AS INTEGER) AS point_of_view,
-  TRY_CAST(json_extract_string(body, '$.accident_negligence_rateA') AS INTEGER) AS rate_a,
-  TRY_CAST(json_extract_string(body, '$.accident_negligence_rateB') AS INTEGER) AS rate_b,
-  TRY_CAST(json_extract_string(body, '$.accident_object') AS INTEGER) AS accident_object,
-  TRY_CAST(json_extract_string(body, '$.accident_place') AS INTEGER) AS accident_place,
-  TRY_CAST(json_extract_string(body, '$.accident_place_feature') AS INTEGER) AS place_feature,
-  TRY_CAST(json_extract_string(body, '$.vehicle_a_progress_info') AS INTEGER) AS vehicle_a_info,
-  TRY_CAST(json_extract_string(body, '$.vehicle_b_progress_info') AS INTEGER) AS vehicle_b_info,
-  coalesce(TRY_CAST(json_extract_string(body, '$.accident_type') AS INTEGER),
-           TRY_CAST(json_extract_string(body, '$.traffic_accident_type') AS INTEGER)) AS accident_type,
+  {_whole('video_point_of_view')} AS point_of_view,
+  {_whole('accident_negligence_rateA')} AS rate_a,
+  {_whole('accident_negligence_rateB')} AS rate_b,
+  {_whole('accident_object')} AS accident_object,
+  {_whole('accident_place')} AS accident_place,
+  {_whole('accident_place_feature')} AS place_feature,
+  {_whole('vehicle_a_progress_info')} AS vehicle_a_info,
+  {_whole('vehicle_b_progress_info')} AS vehicle_b_info,
+  {_whole('accident_type', 'traffic_accident_type')} AS accident_type,
   nullif(json_extract_string(body, '$.damage_location'), '') AS damage_location,
   nullif(json_extract_string(body, '$.related_laws'), '') AS related_laws,
   nullif(json_extract_string(body, '$.violation_of_law'), '') AS violation_of_law,
@@ -92,7 +113,8 @@ SELECT o_orderkey,
   nullif(json_extract_string(body, '$.violation_factor'), '') AS violation_factor,
   nullif(json_extract_string(body, '$.weather'), '') AS weather,
   coalesce(TRY_CAST(json_extract_string(body, '$.has_mp4') AS BOOLEAN), false) AS has_mp4,
-  raw_json
+  raw_json,
+  nullif(concat_ws(';', {', '.join(_odd(*x) for x in _WHOLE)}), '') AS odd_values
 FROM b""")
 def video_flatten(spark, sf_dir):
     return ing.flatten_video_records(video_json(spark, sf_dir), keep=["o_orderkey"])
@@ -146,42 +168,77 @@ def analysis_requests(spark, sf_dir):
     return d.select(
         "doc_id",
         F.col("text").alias("input_text"),
-        F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("lang")).alias("input_type"),
+        F.when(F.col("lang") == "en", F.lit("")).when(F.col("source") == "src3", F.lit("fax")).otherwise(F.lit("mixed")).alias("input_type"),
         (F.col("lang") == "fr").alias("has_pdf"),
         F.when(F.col("lang") == "de", F.col("text")).alias("pdf_text"),
-        F.col("source").alias("diagram_id"),
-        F.when(F.col("lang") == "es", F.lit("")).otherwise(F.col("lang")).alias("category"),
+        F.when(F.col("source") != "src5", F.col("source")).alias("diagram_id"),
+        F.when(F.col("lang") == "es", F.lit("")).when(F.col("source") == "src9", F.lit("기타")).otherwise(F.lit("차대차")).alias("category"),
         (F.col("n_chars") % 100).cast("int").alias("match_score"),
         F.col("source").alias("session_id"),
+        F.when(F.col("lang") != "de", (F.col("n_chars") % 101).cast("int")).alias("fault_a"),
+        F.when(F.col("source") != "src7", (100 - F.col("n_chars") % 101).cast("int")).alias("fault_b"),
     )
 
 
-@register("analyses_append", f"""
-SELECT doc_id,
-  substr(coalesce(text, ''), 1, 10000) AS input_text,
-  substr(coalesce(CASE WHEN lang = 'de' THEN text END, ''), 1, 20000) AS pdf_text,
-  '' AS ocr_text, '' AS analysis_text, '' AS user_agent,
-  CASE WHEN lang = 'en' OR lang IS NULL THEN 'text' ELSE lang END AS input_type,
-  '하' AS confidence, 'A' AS label_a, 'B' AS label_b,
-  coalesce(lang = 'fr', false) AS has_pdf, false AS has_image, false AS has_video, false AS llm_used,
-  '' AS diagram_title,
-  CASE WHEN lang = 'es' OR lang IS NULL THEN '' ELSE lang END AS category,
-  '' AS subcategory,
-  '[]' AS alt_diagrams, '[]' AS detected_mods, '[]' AS applied_mods, '[]' AS laws,
-  CAST(n_chars % 100 AS INTEGER) AS match_score,
-  nullif(source, '') AS session_id, source AS diagram_id,
-  CAST(NULL AS INTEGER) AS fault_a, CAST(NULL AS INTEGER) AS fault_b,
-  CAST(NULL AS INTEGER) AS base_fault_a, CAST(NULL AS INTEGER) AS base_fault_b,
-  substr(sha256('{SALT}'), 1, 16) AS ip_hash
-FROM documents""")
+_ANALYSES_SQL = f"""
+req AS (
+  SELECT doc_id, text, lang, source, n_chars,
+    CASE WHEN lang = 'en' THEN '' WHEN source = 'src3' THEN 'fax' ELSE 'mixed' END AS raw_type,
+    CASE WHEN lang = 'es' THEN '' WHEN source = 'src9' THEN '기타' ELSE '차대차' END AS raw_category,
+    CASE WHEN source <> 'src5' THEN source END AS diagram_id,
+    CASE WHEN lang <> 'de' THEN CAST(n_chars % 101 AS INTEGER) END AS fault_a,
+    CASE WHEN source <> 'src7' THEN CAST(100 - n_chars % 101 AS INTEGER) END AS fault_b
+  FROM documents
+),
+rec AS (
+  SELECT doc_id,
+    substr(coalesce(text, ''), 1, 10000) AS input_text,
+    substr(coalesce(CASE WHEN lang = 'de' THEN text END, ''), 1, 20000) AS pdf_text,
+    '' AS ocr_text, '' AS analysis_text, '' AS user_agent,
+    CASE WHEN raw_type = '' THEN 'text' ELSE raw_type END AS input_type,
+    '하' AS confidence, 'A' AS label_a, 'B' AS label_b,
+    coalesce(lang = 'fr', false) AS has_pdf, false AS has_image, false AS has_video, false AS llm_used,
+    '' AS diagram_title, raw_category AS category, '' AS subcategory,
+    '[]' AS alt_diagrams, '[]' AS detected_mods, '[]' AS applied_mods, '[]' AS laws,
+    CAST(n_chars % 100 AS INTEGER) AS match_score,
+    nullif(source, '') AS session_id, diagram_id, fault_a, fault_b,
+    CAST(NULL AS INTEGER) AS base_fault_a, CAST(NULL AS INTEGER) AS base_fault_b,
+    substr(sha256('{SALT}'), 1, 16) AS ip_hash,
+    CASE WHEN diagram_id IS NULL OR diagram_id = '' THEN 'missing_diagram' WHEN fault_a IS NULL THEN 'missing_fault_a'
+         WHEN fault_b IS NULL THEN 'missing_fault_b'
+         WHEN raw_type NOT IN ('', 'text', 'pdf', 'ocr', 'video', 'mixed') THEN 'bad_input_type'
+         WHEN raw_category NOT IN ('', '차대차', '차대사람', '차대자전거') THEN 'bad_category' END AS reject_reason
+  FROM req
+)"""
+
+
+def _analyses(spark, sf_dir):
+    rec = ing.shape_analysis_records(analysis_requests(spark, sf_dir), salt=SALT)
+    return ing.validate(rec, ing.analysis_rules())
+
+
+@register("analyses_append", f"WITH {_ANALYSES_SQL} SELECT * EXCLUDE (reject_reason) FROM rec WHERE reject_reason IS NULL")
 def analyses_append(spark, sf_dir):
-    """The rows an append would write (ids/timestamps are added at write time).
+    """The accepted rows are appended with a new id and time, and read back.
 
     Documents carry no client address, so every row hashes '' + salt; the
-    list columns are shown as the JSON the table stores.
+    list columns are shown as the JSON the table stores. Ids and times are
+    new in every run and left out.
     """
-    rec = ing.shape_analysis_records(analysis_requests(spark, sf_dir), salt=SALT)
-    return rec.select(*[F.to_json(c).alias(c) if c in ing.ANALYSIS_LISTS else F.col(c) for c in rec.columns])
+    rows = ing.valid_rows(_analyses(spark, sf_dir))
+    names = [c for c in rows.columns]
+    root = scratch_path(spark, "tables", "analyses", uuid.uuid4().hex)
+    stored = ing.append_returning(rows, root, returning=("id", "created_at", *names))
+    stored = stored.where(F.col("id").isNotNull() & F.col("created_at").isNotNull())
+    return stored.select(*[F.to_json(c).alias(c) if c in ing.ANALYSIS_LISTS else F.col(c) for c in names])
+
+
+@register("analyses_quarantine", f"""WITH {_ANALYSES_SQL}
+SELECT doc_id, diagram_id, fault_a, fault_b, input_type, category, reject_reason FROM rec WHERE reject_reason IS NOT NULL""")
+def analyses_quarantine(spark, sf_dir):
+    """The rows the save handler or the table refuses, with the first reason."""
+    bad = ing.quarantined_rows(_analyses(spark, sf_dir))
+    return bad.select("doc_id", "diagram_id", "fault_a", "fault_b", "input_type", "category", "reject_reason")
 
 
 # ---------------------------------------------------------------- upsert

@@ -103,6 +103,35 @@ def precedent_search_batch(spark, sf_dir):
                       F.col("rank").cast("bigint").alias("rank"), *OUT)
 
 
+# One request per nation: words by region, the court by nation, a lower bound and a limit.
+_REGION_WORDS = ["blue ring", "hot, rod", "a", "gear", "green　lime"]
+
+
+@register("precedent_search_table", f"""WITH {PRECEDENTS_SQL},
+r AS (
+  SELECT n_nationkey AS request_id, list_extract([{", ".join(f"'{w}'" for w in _REGION_WORDS)}], CAST(n_regionkey AS INTEGER) + 1) AS keywords,
+         'brand#' || CAST(n_nationkey % 5 + 1 AS VARCHAR) AS court, n_nationkey AS fault_min, 1 + n_nationkey % 7 AS lim FROM nation
+),
+w AS (SELECT *, list_filter(regexp_split_to_array(keywords, '[\\s\\p{{Z}},]+'), lambda x: length(x) > 1) AS words FROM r),
+m AS (
+  SELECT w.request_id, w.lim, p.* FROM w JOIN precedents p
+    ON (len(w.words) = 0 OR list_bool_or(list_transform(w.words, lambda x: p.keywords_text ILIKE '%' || x || '%')))
+   AND p.court ILIKE '%' || w.court || '%' AND (w.fault_min = 0 OR p.fault_a >= w.fault_min)
+  WHERE p.fault_ratio IS NOT NULL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance_score DESC NULLS FIRST, id) AS rank FROM m)
+SELECT CAST(request_id AS BIGINT) AS request_id, rank, {OUT_SQL} FROM ranked WHERE rank <= lim""")
+def precedent_search_table(spark, sf_dir):
+    """The requests are rows of a table (here derived from nation), answered block by block."""
+    n = Tables(spark, sf_dir).nation
+    words = F.element_at(F.array(*[F.lit(w) for w in _REGION_WORDS]), F.col("n_regionkey").cast("int") + 1)
+    reqs = n.select(F.col("n_nationkey").cast("long").alias("request_id"), words.alias("keywords"),
+                    F.concat(F.lit("brand#"), (F.col("n_nationkey") % 5 + 1).cast("string")).alias("court"),
+                    F.col("n_nationkey").cast("int").alias("fault_min"), (1 + F.col("n_nationkey") % 7).cast("int").alias("limit"))
+    out = srch.search_table(precedents(spark, sf_dir), reqs, block=10)
+    return out.select(F.col("request_id").cast("bigint").alias("request_id"), F.col("rank").cast("bigint").alias("rank"), *OUT)
+
+
 @register("precedent_by_keyword", """
 SELECT 'C' || CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS court, o_orderdate AS date,
        o_orderpriority AS accident_type, o_custkey % 101 AS fault_ratio_a, 100 - o_custkey % 101 AS fault_ratio_b,

@@ -197,6 +197,75 @@ def rule_subclassify(spark, sf_dir):
                      rul.id_range_text("subcategory", DOC_RANGES).alias("id_range"))
 
 
+# --------------------------------------------- the accident rules themselves
+
+# Accident descriptions by source: every sub-type, the priority words and their overlaps.
+ACCIDENTS = [
+    '교차로에서 녹색 신호에 직진', '무신호 교차로 같은폭', '중앙선 침범 역주행', '차선변경 중 추돌', '합류 지점 진입로',
+    '고속도로 본선', '주차장 후진', '유턴 중 신호 위반', '자전거 교차로 우회전', '바이크 추월',
+    '자전거도로', '보행자 횡단보도', '무단횡단 어린이', '일시정지 무신호', '골목 개문',
+    '톨게이트 가속차로', '정면충돌', '급정거 앞차', '갓길 졸음', '아무 말',
+]
+_ACCIDENT_SQL = ", ".join(f"'{x}'" for x in ACCIDENTS)
+
+
+@register("accident_rules", f"""
+WITH d AS (
+  SELECT doc_id, list_extract([{_ACCIDENT_SQL}], CAST(substr(source, 4) AS INTEGER) % 20 + 1) || ' ' || coalesce(text, '') AS body,
+         CASE lang WHEN 'en' THEN '101' WHEN 'fr' THEN '거3' WHEN 'de' THEN '보2' ELSE '610' END AS diagram_id
+  FROM documents
+),
+k(cat, label, level, word) AS (VALUES
+  ('', '차대자전거', 1, '자전거'), ('', '차대자전거', 1, '자전거도로'), ('', '차대자전거', 1, '바이크'), ('', '차대자전거', 1, '이륜'), ('', '차대사람', 2, '보행자'),
+  ('', '차대사람', 2, '횡단보도'), ('', '차대사람', 2, '보행'), ('', '차대사람', 2, '무단횡단'), ('', '차대사람', 2, '어린이'), ('', '차대사람', 2, '보행중'),
+  ('차대차', '교차로신호', 3, '교차로'), ('차대차', '교차로신호', 2, '녹색'), ('차대차', '교차로신호', 2, '적색'), ('차대차', '교차로신호', 2, '황색'), ('차대차', '교차로신호', 2, '신호'),
+  ('차대차', '교차로신호', 3, '좌회전'), ('차대차', '교차로신호', 3, '우회전'), ('차대차', '교차로신호', 3, '비보호'), ('차대차', '교차로무신호', 2, '무신호'), ('차대차', '교차로무신호', 3, '같은폭'),
+  ('차대차', '교차로무신호', 3, '넓은도로'), ('차대차', '교차로무신호', 3, '좁은도로'), ('차대차', '교차로무신호', 3, '일시정지'), ('차대차', '대향', 3, '중앙선'), ('차대차', '대향', 3, '대향'),
+  ('차대차', '대향', 3, '역주행'), ('차대차', '대향', 3, '정면충돌'), ('차대차', '동행', 3, '차선변경'), ('차대차', '동행', 3, '추월'), ('차대차', '동행', 3, '같은방향'),
+  ('차대차', '동행', 3, '앞차'), ('차대차', '동행', 3, '뒤차'), ('차대차', '동행', 3, '추돌'), ('차대차', '동행', 3, '급정거'), ('차대차', '합류', 3, '합류'),
+  ('차대차', '합류', 3, '진입로'), ('차대차', '합류', 3, '톨게이트'), ('차대차', '합류', 3, '가속차로'), ('차대차', '고속도로', 3, '고속도로'), ('차대차', '고속도로', 3, '본선'),
+  ('차대차', '고속도로', 3, '갓길'), ('차대차', '고속도로', 3, '졸음'), ('차대차', '기타', 1, '주차장'), ('차대차', '기타', 3, '주차'), ('차대차', '기타', 1, '후진'),
+  ('차대차', '기타', 1, '출차'), ('차대차', '기타', 1, '개문'), ('차대차', '기타', 1, '유턴'), ('차대차', '기타', 3, '도로외'), ('차대차', '기타', 3, '골목'),
+  ('차대자전거', '교차로자전거', 1, '교차로'), ('차대자전거', '교차로자전거', 1, '우회전'), ('차대자전거', '교차로자전거', 1, '좌회전'), ('차대자전거', '동행자전거', 2, '같은방향'), ('차대자전거', '동행자전거', 2, '추월'),
+  ('차대사람', '횡단보도', 1, '횡단보도')),
+r(cat, label, prefix, lo, hi) AS (VALUES
+  ('차대차', '교차로신호', '', 101, 126), ('차대차', '교차로무신호', '', 201, 223), ('차대차', '대향', '', 301, 317), ('차대차', '동행', '', 401, 428),
+  ('차대차', '합류', '', 501, 510), ('차대차', '고속도로', '', 551, 561), ('차대차', '기타', '', 601, 626), ('차대자전거', '교차로자전거', '거', 1, 7),
+  ('차대자전거', '동행자전거', '거', 2, 21), ('차대자전거', '기타자전거', '거', 4, 26), ('차대사람', '횡단보도', '보', 1, 10), ('차대사람', '기타보행', '보', 11, 33)),
+ko AS (SELECT *, row_number() OVER () AS i FROM k),
+c AS (
+  SELECT d.*, coalesce(w.label, '차대차') AS category, w.word AS matched_keyword FROM d LEFT JOIN (
+    SELECT doc_id, label, word, row_number() OVER (PARTITION BY doc_id ORDER BY level, length(word) DESC, i) AS n
+    FROM d JOIN ko ON cat = '' AND instr(body, word) > 0) w ON w.doc_id = d.doc_id AND w.n = 1
+),
+s AS (
+  SELECT c.*, coalesce(w.label, CASE c.category WHEN '차대자전거' THEN '기타자전거' WHEN '차대사람' THEN '기타보행' END) AS subcategory
+  FROM c LEFT JOIN (
+    SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY level, length(word) DESC, i) AS n
+    FROM c JOIN ko ON ko.cat = c.category AND instr(body, word) > 0) w ON w.doc_id = c.doc_id AND w.n = 1
+),
+x AS (SELECT *, regexp_extract(diagram_id, '^(\\D*)(\\d+)$', 1) AS pre, CAST(regexp_extract(diagram_id, '^(\\D*)(\\d+)$', 2) AS INTEGER) AS num,
+             instr(body, '자전거') > 0 AS bike, instr(body, '보행자') > 0 OR instr(body, '횡단보도') > 0 AS foot,
+             instr(body, '주차장') > 0 OR instr(body, '후진') > 0 OR instr(body, '출차') > 0 OR instr(body, '개문') > 0 AS lot FROM s)
+SELECT doc_id, category, matched_keyword, subcategory,
+  (SELECT r.prefix || r.lo || '~' || r.prefix || r.hi FROM r WHERE r.cat = x.category AND r.label = x.subcategory) AS id_range, diagram_id,
+  EXISTS (SELECT 1 FROM r WHERE r.cat = x.category AND r.prefix = pre AND num BETWEEN r.lo AND r.hi) AS in_range,
+  CASE WHEN bike AND pre <> '거' THEN 1 WHEN foot AND NOT bike AND pre <> '보' THEN 2 WHEN NOT bike AND NOT foot AND pre <> '' THEN 3
+       WHEN NOT bike AND NOT foot AND lot AND NOT (pre = '' AND num BETWEEN 601 AND 626) THEN 4 END AS broken_rule
+FROM x""")
+def accident_rules(spark, sf_dir):
+    """L3-L5 with the rule tables themselves: party type, sub-type, permitted ids and prohibitions."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
+    which = F.substring("source", 4, 9).cast("int") % len(ACCIDENTS) + 1
+    d = d.select("doc_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ACCIDENTS]), which), F.coalesce("text", F.lit(""))).alias("body"),
+                 F.when(F.col("lang") == "en", "101").when(F.col("lang") == "fr", "거3").when(F.col("lang") == "de", "보2").otherwise("610").alias("diagram_id"))
+    c = rul.subclassify(rul.classify(d, "body"), "body", "category")
+    pre, num = rul.split_diagram_id("diagram_id")
+    ok, _ = rul.range_check(F.col("category"), pre, num, rul.category_ranges())
+    return c.select("doc_id", "category", "matched_keyword", "subcategory", rul.id_range_text("subcategory").alias("id_range"),
+                    "diagram_id", ok.alias("in_range"), rul.broken_rule(F.col("body"), "diagram_id").alias("broken_rule"))
+
+
 # ---------------------------------------------------------- diagram ids/titles
 
 PART_RANGES = [("ECONOMY", "", 1, 20), ("SMALL", "", 5, 30), ("SMALL", "", 40, 50), ("LARGE", "", 10, 50),
