@@ -36,13 +36,13 @@ def main():
     out_dir = args[1] if len(args) > 1 else "/tmp/faultline-plans"
     rows, trees = [], {}
     os.makedirs(out_dir, exist_ok=True)
-    import __spark_entry__ as E
+    from faultline.plans import QUERIES
     from faultline.session import local_session
 
     spark = local_session()
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # static plan: what Catalyst chose
-    for name, fn in E.queries().items():
-        if name.endswith("_stream"):
+    for name, fn in QUERIES.items():
+        if "_stream" in name:
             continue
         df = fn(spark, sf_dir)
         plan = df._jdf.queryExecution().explainString(
