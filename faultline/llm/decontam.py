@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import null_safe, written
+from .shared import null_safe, release, written
 
 WINDOW = 10
 GAP = 64  # free positions between documents of a segment: no match reaches over
@@ -289,8 +289,10 @@ def judge_documents(index: DataFrame, matches: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       window: int = WINDOW) -> DataFrame:
     """``docs`` without the rows that hold a window of an item; its columns unchanged."""
-    found = find_phrases(build_index(docs, id_col, text_col), items, window=window)
-    bad = found.select(F.col("id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
+    index = build_index(docs, id_col, text_col)
+    found = find_phrases(index, items, window=window)
+    bad = written(found.select(F.col("id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct(), "contaminated")
+    release(index)
     return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (_text_hash(text_col) == bad["_bad_th"]), "left_anti")
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import bounded_batches
+
 UNDETERMINED = "und"
 BUCKETS = 1 << 15  # per kind of n-gram
 KINDS = 2
@@ -275,4 +277,4 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: st
     Reads the text only. Repeated rows are labelled alike; an empty table gives an empty
     result.
     """
-    return docs.withColumn(out, language(F.col(text_col), model))
+    return bounded_batches(docs).withColumn(out, language(F.col(text_col), model))

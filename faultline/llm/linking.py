@@ -3,20 +3,41 @@
 The number of pairs is kept near the number of list entries: a list first compares all
 its members with its smallest one; only members that are still in different components
 after that meet each other, and a list where these would be many pairs is split by a
-second shared value.
+second shared value. Each entry carries a tag of a few bytes, so that most pairs of
+unlike members are dropped where they arise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import release, written
 
-PAIRS_PER_MEMBER = 100
-MAX_SPLITS = 3
+PAIRS_PER_MEMBER = 1000  # compared by their tags where they arise
+MAX_SPLITS = 2
+FIELDS_PER_WORD = 31
+
+
+def tag(size: Column, *words: Column) -> Column:
+    """What an entry says of its row: the size of its set, and 2-bit MinHash values packed into longs."""
+    return F.struct(size.cast("int").alias("size"), *[w.alias(f"w{i}") for i, w in enumerate(words)])
+
+
+def alike(a: Column, b: Column, percent: int, words: int, fields: int, equal: int) -> Column:
+    """Whether two tags allow a similarity of ``percent`` (80 or more).
+
+    The sizes must allow it, and ``equal`` of the ``fields`` 2-bit values must agree. A
+    pair at 0.8 agrees in each with a chance of 0.85, one at 0.3 of 0.475.
+    """
+    differ = F.lit(0)
+    for i in range(words):
+        x = a[f"w{i}"].bitwiseXOR(b[f"w{i}"])
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1555555555555555)))
+    return ((a["size"] * 100 >= b["size"] * percent) & (b["size"] * 100 >= a["size"] * percent)
+            & (differ <= fields - equal))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,18 +48,25 @@ def components(edges: DataFrame) -> DataFrame:
     minima on edges, written after each round; nothing is gathered per node. Nodes
     without an edge to another node are not in the result.
     """
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    old, now = [], written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        # the minima are written, so that a join can split the neighbours of one node over many tasks
+        old.append(now)
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "minima")
         large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        old.append(low)
         large = written(large, "stars")
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        old.append(large)
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "minima")
         small = large.join(low, large["a"] == low["u"])
         small = (small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        old.append(low)
         now = written(small, "stars")
+        release(*old)
+        old = []
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -48,17 +76,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_lists(entries: DataFrame) -> DataFrame:
-    """The written entries (``key, id``) of lists with two different ids or more, and their ``hub``."""
-    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top")
-    return written(entries.join(hubs.select("key", "hub"), "key"), "lists")
+    """The written entries ``key, id, tag`` of lists with two different ids or more, with their ``hub``, the smallest id."""
+    hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    hubs = written(hubs, "hubs")
+    lists = written(entries.join(hubs, "key"), "lists")
+    release(hubs)
+    return lists
 
 
-def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], DataFrame],
+         near: Callable[[Column, Column], Column]) -> DataFrame:
     """``node, component`` over the links that ``verify`` confirms among members of a list.
 
-    ``lists``: ``key, id, hub`` of ``shared_lists``. ``values``: ``id, value``, the
-    values by which a large list can be split: members that are to be linked share many of them. ``verify``
-    gets candidate pairs ``a, b`` (a < b, distinct) and returns those that are linked.
+    ``lists``: the result of ``shared_lists``. ``values``: ``id, value``, the values by
+    which a large list can be split: members that are to be linked share many of them.
+    ``near`` says of two tags whether their rows can be linked. ``verify`` gets candidate
+    pairs ``a, b`` (a < b, distinct, their tags near) and returns those that are linked.
 
     1. Each member of a list is compared with the list's hub.
     2. Lists whose members all lie in one component are done, a large group of near
@@ -67,38 +100,43 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
        members that share another value form a list of their own, up to ``MAX_SPLITS``
        times; what is then left is compared in full.
     """
-    first = lists.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    hub = lists.where("id = hub").select("key", "hub", F.col("tag").alias("hub_tag")).distinct()
+    first = (lists.where("id != hub").join(hub, ["key", "hub"]).where(near(F.col("tag"), F.col("hub_tag")))
+             .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    first = written(first, "hub-pairs")
     confirmed = written(verify(first), "links")
     label = written(components(confirmed), "components")
 
     # ``used``: the values that all members of a list share by its making
-    todo = lists.select("key", "id").distinct().withColumn("used", F.array("key"))
+    todo = lists.select("key", "id", "tag").distinct().withColumn("used", F.array("key"))
+    comp = label.select(F.col("node").alias("id"), "component")
     found = None
     for split in range(MAX_SPLITS + 1):
-        comp = label.select(F.col("node").alias("id"), "component")
-        todo = written(todo.join(comp, "id", "left").select("key", "id", "used", F.coalesce("component", "id").alias("component")), "open-lists")
+        todo = written(todo.join(comp, "id", "left").select("key", "id", "tag", "used", F.coalesce("component", "id").alias("component")), "open-lists")
         per = todo.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         cost = (per.groupBy("key").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("square"))
-                .withColumn("pairs", (F.col("members") * F.col("members") - F.col("square")) / 2).where("pairs > 0"))
-        # a list of two was compared by its hub; so was all of one with a pair per member
-        cost = written(cost, "list-costs")
+                .withColumn("pairs", (F.col("members") * F.col("members") - F.col("square")) / 2)
+                .where("pairs > 0 AND members > 2"))  # the hub has compared both of two
+        cost = written(cost.select("key", "members", "pairs"), "list-costs")
         last = split == MAX_SPLITS
         few = cost if last else cost.where(F.col("pairs") <= F.col("members") * PAIRS_PER_MEMBER)
         part = todo.join(few.select("key"), "key")
-        a = part.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = part.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = a.join(b, "key").where("a < b AND ca != cb").select("a", "b").distinct()
+        a = part.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("tag").alias("ta"))
+        b = part.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("tag").alias("tb"))
+        pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near(F.col("ta"), F.col("tb")))
+        pairs = pairs.select("a", "b").distinct()
         found = pairs if found is None else found.unionByName(pairs)
         many = cost.where(F.col("pairs") > F.col("members") * PAIRS_PER_MEMBER).select("key")
         if last or many.isEmpty():
             break
-        todo = (todo.select("key", "id", "used").join(many, "key").join(values, "id").where(~F.array_contains("used", F.col("value")))
-                .select("id", F.array_sort(F.array_append("used", F.col("value"))).alias("used")).distinct()
-                .select(F.xxhash64("used").alias("key"), "id", "used"))
+        todo = (todo.select("key", "id", "tag", "used").join(many, "key").join(values, "id").where(~F.array_contains("used", F.col("value")))
+                .select("id", "tag", F.array_sort(F.array_append("used", F.col("value"))).alias("used")).distinct()
+                .select(F.xxhash64("used").alias("key"), "id", "tag", "used"))
     rest = written(found.distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")
     if rest.isEmpty():
         return label
     more = written(verify(rest), "links")
     if more.isEmpty():
         return label
-    return written(components(confirmed.unionByName(more)), "components")
+    stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return written(components(stars.unionByName(more)), "components")

@@ -75,6 +75,7 @@ def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """
     p = passages(messages, conv, turn, text)
     own = _units(p.where("level = 0")).groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
+    own = written(own, "own-passages")  # so that the join can split the quotes of one passage over many tasks
     quoted = _units(p.where("level > 0"))
     hit = quoted.join(own, ["conv", "hash"], "left")
     good = F.when(F.col("origin") < F.col("turn"), F.struct("line", "origin"))

@@ -19,7 +19,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that the driver has forgotten
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more, so that long jobs do not pile them up."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._written)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded_batches(df: DataFrame, size: str = "16m") -> DataFrame:
+    """``df``; from now on Arrow batches of its session end at ``size`` bytes, whatever their rows hold."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
 
 
 def fresh(df: DataFrame, name: str) -> str:

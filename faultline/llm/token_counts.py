@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 BATCH_BYTES = 16 << 20
 CALL_PIECES = 20_000
 
@@ -83,7 +85,7 @@ def with_token_counts(docs: DataFrame, tokenizer_file: str, text_col: str = "tex
     A null text counts as empty. Every row is counted by itself, repeated rows too; an
     empty table gives an empty result. Columns of the three names are replaced.
     """
-    out = docs.drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c in docs.columns])
+    out = bounded_batches(docs).drop(*[c for c in ("n_bytes", "n_tokens", "over_limit") if c in docs.columns])
     out = out.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"),
                            "n_tokens": token_count(F.col(text_col), tokenizer_file)})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -344,7 +344,7 @@ def test_union_find_on_long_chains(spark):
 def test_large_lists_are_split_and_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(linking, "PAIRS_PER_MEMBER", 1)
     values = [(i, v) for i in range(60) for v in {0, 100 + i // 2, 200 + i // 2, 300 + i % 7}]  # all share 0; pairs share more
-    entries = spark.createDataFrame([(v, i) for i, v in values if v == 0], "key long, id long")
+    entries = spark.createDataFrame([(v, i) for i, v in values if v == 0], "key long, id long").withColumn("tag", linking.tag(F.lit(1), F.lit(0).cast("long")))
     seen = []
 
     def verify(pairs):
@@ -352,7 +352,8 @@ def test_large_lists_are_split_and_lose_no_link(spark, monkeypatch):
         seen.append(len(rows))
         return pairs.where("floor(a / 2) = floor(b / 2)")
 
-    out = linking.link(linking.shared_lists(entries), spark.createDataFrame(values, "id long, value long"), verify)
+    out = linking.link(linking.shared_lists(entries), spark.createDataFrame(values, "id long, value long"), verify,
+                       lambda a, b: F.lit(True))
     assert {r.node: r.component for r in out.collect()} == {i: i - i % 2 for i in range(60)}
     assert sum(seen) < 60 * 59 / 2
 
