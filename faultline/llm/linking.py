@@ -48,23 +48,23 @@ def components(edges: DataFrame) -> DataFrame:
     minima on edges, written after each round; nothing is gathered per node. Nodes
     without an edge to another node are not in the result.
     """
-    old, now = [], written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
+    old, now = [], written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars", free=False)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # the minima are written, so that a join can split the neighbours of one node over many tasks
         old.append(now)
-        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "minima")
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "minima", free=False)
         large = both.join(low, both["a"] == low["u"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         old.append(low)
-        large = written(large, "stars")
+        large = written(large, "stars", free=False)
         old.append(large)
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "minima")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), "minima", free=False)
         small = large.join(low, large["a"] == low["u"])
         small = (small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
         old.append(low)
-        now = written(small, "stars")
+        now = written(small, "stars", free=False)
         release(*old)
         old = []
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -78,7 +78,7 @@ def components(edges: DataFrame) -> DataFrame:
 def shared_lists(entries: DataFrame) -> DataFrame:
     """The written entries ``key, id, tag`` of lists with two different ids or more, with their ``hub``, the smallest id."""
     hubs = entries.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
-    hubs = written(hubs, "hubs")
+    hubs = written(hubs, "hubs", free=False)
     lists = written(entries.join(hubs, "key"), "lists")
     release(hubs)
     return lists
@@ -105,7 +105,7 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
              .select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     first = written(first, "hub-pairs")
     confirmed = written(verify(first), "links")
-    label = written(components(confirmed), "components")
+    label = written(components(confirmed), "components", free=False)
 
     # ``used``: the values that all members of a list share by its making
     todo = lists.select("key", "id", "tag").distinct().withColumn("used", F.array("key"))
@@ -117,7 +117,7 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
         cost = (per.groupBy("key").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("square"))
                 .withColumn("pairs", (F.col("members") * F.col("members") - F.col("square")) / 2)
                 .where("pairs > 0 AND members > 2"))  # the hub has compared both of two
-        cost = written(cost.select("key", "members", "pairs"), "list-costs")
+        cost = written(cost.select("key", "members", "pairs"), "list-costs", free=False)
         last = split == MAX_SPLITS
         few = cost if last else cost.where(F.col("pairs") <= F.col("members") * PAIRS_PER_MEMBER)
         part = todo.join(few.select("key"), "key")
@@ -139,4 +139,4 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
     if more.isEmpty():
         return label
     stars = label.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return written(components(stars.unionByName(more)), "components")
+    return written(components(stars.unionByName(more)), "components", free=False)

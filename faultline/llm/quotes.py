@@ -90,14 +90,14 @@ def reply_roots(parents: DataFrame) -> DataFrame:
     logarithm of the longest chain. Every round is a written table.
     """
     now = parents.select("conv", "turn", "parent", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
-    now = written(now, "reply-roots")
+    now = written(now, "reply-roots", free=False)
     while True:
         up = now.select(F.col("conv").alias("u_conv"), F.col("turn").alias("u_turn"), F.col("up").alias("u_up"), F.col("depth").alias("u_depth"))
         step = now.join(up, (now["conv"] == up["u_conv"]) & (now["up"] == up["u_turn"]), "left")
         if step.where("u_up IS NOT NULL").isEmpty():
             return now.withColumnRenamed("up", "root")
         now = written(step.select("conv", "turn", "parent", F.coalesce("u_up", "up").alias("up"),
-                                  (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth")), "reply-roots")
+                                  (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth")), "reply-roots", free=False)
 
 
 def reply_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -118,11 +118,11 @@ def reply_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     """
     added = ("body", "n_quotes", "n_linked", "parent_turn", "thread_turn", "depth")
     kept = [c for c in messages.columns if c not in added]
-    links = written(quote_links(messages, conv, turn, text), "quote-links")
+    links = written(quote_links(messages, conv, turn, text), "quote-links", free=False)
     per = links.groupBy("conv", "turn").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("origin").alias("n_linked"),
         F.min(F.when(F.col("origin").isNotNull(), F.struct("level", "passage", "origin"))).alias("first"))
-    per = written(per.select("conv", "turn", "n_quotes", "n_linked", F.col("first.origin").alias("parent")), "quote-parents")
+    per = written(per.select("conv", "turn", "n_quotes", "n_linked", F.col("first.origin").alias("parent")), "quote-parents", free=False)
     roots = reply_roots(per.where("parent IS NOT NULL").select("conv", "turn", "parent"))
     known = (per.join(roots.select("conv", "turn", "root", "depth"), ["conv", "turn"], "left")
              .select(F.col("conv").alias("k_conv"), F.col("turn").alias("k_turn"), "n_quotes", "n_linked",

@@ -100,7 +100,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
               .withColumn("middle", F.col("size_before") + F.col("upto") - F.col("unit_size") / 2)
               .withColumn("shard", F.least(F.floor(F.col("middle") * n_shards / F.lit(max(total, 1))), F.lit(n_shards - 1)).cast("int"))
               .select("doc_id", "size", "text_crc32", "shard", (F.col("rows_before") + F.col("at") - 1).alias("rank")))
-    placed = written(placed, "shard-places")
+    placed = written(placed, "shard-places", free=False)
     first = placed.groupBy("shard").agg(F.min("rank").alias("first"))
     return (placed.join(F.broadcast(first), "shard")  # n_shards rows
             .select("doc_id", "size", "text_crc32", "shard", (F.col("rank") - F.col("first")).alias("slot")))

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from faultline.session import scratch_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, free: bool = True) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs the tasks of the current stage, never
-    the stages before the table. Every call takes a folder of its own.
+    the stages before the table. Every call takes a folder of its own. ``free``: let
+    Spark drop the shuffle files of plans that the driver has forgotten; not worth it
+    after a small step.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
-    spark.sparkContext._jvm.System.gc()  # Spark drops the shuffle files of plans that the driver has forgotten
+    if free:
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -92,7 +92,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", defaul
              .join(entries.select("key", F.col("verdict").alias("said")), "key")
              .groupBy("url").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key"), F.col("said"))).alias("best"))
              .select(F.col("url").alias("found_url"), "best"))
-    found = written(found, "url-verdicts")  # so that the join can split the pages of one URL over many tasks
+    found = written(found, "url-verdicts", free=False)  # so that the join can split the pages of one URL over many tasks
     u, b = fresh(out, "found_url"), fresh(out, "best")
     found = found.select(F.col("found_url").alias(u), F.col("best").alias(b))
     return (out.join(found, out[url_col] == found[u], "left")
