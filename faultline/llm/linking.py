@@ -116,7 +116,7 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
         per = todo.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         cost = (per.groupBy("key").agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("square"))
                 .withColumn("pairs", (F.col("members") * F.col("members") - F.col("square")) / 2)
-                .where("pairs > 0 AND members > 2"))  # the hub has compared both of two
+                .where("pairs > 0" if split else "pairs > 0 AND members > 2"))  # at first the hub has compared both of two
         cost = written(cost.select("key", "members", "pairs"), "list-costs", free=False)
         last = split == MAX_SPLITS
         few = cost if last else cost.where(F.col("pairs") <= F.col("members") * PAIRS_PER_MEMBER)
