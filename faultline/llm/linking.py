@@ -84,12 +84,13 @@ def shared_lists(entries: DataFrame) -> DataFrame:
     return lists
 
 
-def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], DataFrame],
+def link(lists: DataFrame, values: DataFrame | Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame],
          near: Callable[[Column, Column], Column]) -> DataFrame:
     """``node, component`` over the links that ``verify`` confirms among members of a list.
 
     ``lists``: the result of ``shared_lists``. ``values``: ``id, value``, the values by
-    which a large list can be split: members that are to be linked share many of them.
+    which a large list can be split, or what makes them of the ``id`` of its members:
+    members that are to be linked share ``MAX_SPLITS`` of them besides the list's own.
     ``near`` says of two tags whether their rows can be linked. ``verify`` gets candidate
     pairs ``a, b`` (a < b, distinct, their tags near) and returns those that are linked.
 
@@ -129,7 +130,10 @@ def link(lists: DataFrame, values: DataFrame, verify: Callable[[DataFrame], Data
         many = cost.where(F.col("pairs") > F.col("members") * PAIRS_PER_MEMBER).select("key")
         if last or many.isEmpty():
             break
-        todo = (todo.select("key", "id", "tag", "used").join(many, "key").join(values, "id").where(~F.array_contains("used", F.col("value")))
+        todo = todo.select("key", "id", "tag", "used").join(many, "key")
+        if callable(values):  # the members of later lists are members of these
+            values = values(todo.select("id").distinct())
+        todo = (todo.join(values, "id").where(~F.array_contains("used", F.col("value")))
                 .select("id", "tag", F.array_sort(F.array_append("used", F.col("value"))).alias("used")).distinct()
                 .select(F.xxhash64("used").alias("key"), "id", "tag", "used"))
     rest = written(found.distinct().join(first, ["a", "b"], "left_anti"), "rest-pairs")

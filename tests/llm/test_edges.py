@@ -227,6 +227,28 @@ def test_line_dedup_finds_near_pairs_of_any_kind_of_line(spark):
         assert len(wrong) <= 0.015 * len(rows), (name, len(wrong))  # 0.3 % at 0.8
 
 
+def test_line_dedup_splits_a_hot_band_without_loss(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(1500):  # a template of which each pair has its own end, and its twins another last character or two
+        a = f"all rights reserved by the owners of the web site {letters(28)}"
+        lines += [a, a[:-8] + letters(8)]
+    lines += ["aaaaaa", "aaaaaaaa", "bbbbbb", "bbbbbbbbb"]
+    # all lines share one band; what else a pair shares says nothing
+    monkeypatch.setattr(line_dedup, "BANDS", 1)
+    monkeypatch.setattr(line_dedup, "ROWS", 0)
+    monkeypatch.setattr(line_dedup, "TAG_EQUAL", 0)
+    monkeypatch.setattr(linking, "PAIRS_PER_MEMBER", 20)
+    rows = list(enumerate(lines))
+    got = {(r.id, r.i): r.kept for r in line_dedup.judged_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, 0): True for i in range(len(lines))}
+    for i in range(0, len(lines), 2):
+        x, y = brute.char_shingles(lines[i]), brute.char_shingles(lines[i + 1])
+        want[i + 1, 0] = 100 * len(x & y) < 80 * len(x | y)
+    assert sum(not v for v in want.values()) > 1000 and got == want
+
+
 # 6 decontamination
 
 def brute_hits(text, items, window=10):
