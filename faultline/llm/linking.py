@@ -36,8 +36,23 @@ def alike(a: Column, b: Column, percent: int, words: int, fields: int, equal: in
     for i in range(words):
         x = a[f"w{i}"].bitwiseXOR(b[f"w{i}"])
         differ = differ + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x1555555555555555)))
-    return ((a["size"] * 100 >= b["size"] * percent) & (b["size"] * 100 >= a["size"] * percent)
-            & (differ <= fields - equal))
+    return sizes_allow(a, b, percent) & (differ <= fields - equal)
+
+
+def sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    return (a["size"] * 100 >= b["size"] * percent) & (b["size"] * 100 >= a["size"] * percent)
+
+
+def parities_allow(a: Column, b: Column, percent: int, words: list[str]) -> Column:
+    """Whether two tags allow a similarity of ``percent``, by bits that each member of a set flips one of.
+
+    No chance is in it: sets differ in as many members as bits at least, and linked ones
+    in no more than (|a| + |b|) * (100 - percent) / (100 + percent).
+    """
+    differ = F.lit(0)
+    for w in words:
+        differ = differ + F.bit_count(a[w].bitwiseXOR(b[w]))
+    return sizes_allow(a, b, percent) & (differ * (100 + percent) <= (a["size"] + b["size"]) * (100 - percent))
 
 
 def components(edges: DataFrame) -> DataFrame:

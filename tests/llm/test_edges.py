@@ -384,6 +384,18 @@ def test_near_dedup_edges(docs, empty):
     assert near_dedup.near_components(empty).count() == 0
 
 
+def test_near_dedup_links_every_small_pair_right_at_the_threshold(spark):
+    rows = []
+    for g in range(4000):
+        both = 4 * (1 + g % 6)  # shingles shared, of both / 0.8
+        words = [f"g{g}w{j}" for j in range(both * 5 // 4)]
+        cut = both // 4 if g % 2 else 0  # all that differs in one of the two, or a part in each
+        rows += [(2 * g, " ".join(words[cut // 2:])), (2 * g + 1, " ".join(words[:both + cut // 2]))]
+    got = {r.id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    want = {i: c for i, (_, c) in brute.near_components(rows, 1, 80).items()}
+    assert got == want and sum(i != c for i, c in want.items()) == 4000
+
+
 def test_union_find_on_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
