@@ -160,7 +160,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest id of its component of near copies."""
     out = near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("first").alias("kept"))
 
 
 @register("op10_exact_dedup", """

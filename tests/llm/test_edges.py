@@ -396,6 +396,21 @@ def test_near_dedup_links_every_small_pair_right_at_the_threshold(spark):
     assert got == want and sum(i != c for i, c in want.items()) == 4000
 
 
+def test_near_dedup_keeps_apart_the_texts_of_one_id(spark):
+    text = lambda k, n=30: " ".join(f"{k}{j}" for j in range(n))
+    rows = [(1, text("a")), (2, text("a") + " end"), (2, text("b")),  # one text of id 2 is a near copy
+            (None, text("c")), (None, text("c") + " end"), (None, text("d")), (None, None),  # near copies without an id
+            (None, text("e")), (7, text("e") + " end"),  # a null id is not the name
+            (3, text("f")), (3, text("f") + " end"), (8, text("g")), (8, text("g"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), str(r.text)) for r in near_dedup.drop_near_copies(docs, shingle=2).collect())
+    assert [g for g in got if g[1][0] not in "cf"] == sorted((str(i), str(t)) for i, t in rows if (i, t) in [
+        (1, text("a")), (2, text("b")), (None, text("d")), (None, None), (7, text("e") + " end"), (8, text("g"))])
+    assert [g[0] for g in got if g[1][0] == "c"] == ["None"] and [g[0] for g in got if g[1][0] == "f"] == ["3"]
+    marks = {(r.id, r.th): r.component_id for r in near_dedup.near_components(docs, shingle=2).collect()}
+    assert sorted(str(c) for (i, _), c in marks.items() if i == 2) == ["1", "2"]
+
+
 def test_union_find_on_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
