@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, quotes, sharding, token_counts, url_filter
+from . import (byte_bpe, decontam, exact_dedup, hard_negatives, langid, line_dedup, near_dedup, quotes, runs, sharding, token_counts,
+               url_filter)
 from .shared import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +174,45 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the id that stays of its group of equal texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.mark_copies(docs, keep="max").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op12_hard_negatives")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth row of ``embeddings``, with noise in the labels of every seventh."""
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vec = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("long"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.cast("int").alias("label"), vec.alias("vec"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document; the contract makes the words of some documents periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))  # a null doc_id leaves the text as it is
+    docs = docs.withColumn("text", F.when(h % 10 == 0, _made_periodic(F.col("text"), F.floor(h / 10))).otherwise(F.col("text")))
+    r = F.col("periodic.runs")
+    longest = F.array_max(F.transform(r, lambda x: F.struct(x["length"].alias("length"), (-x["start"]).alias("s"), (-x["period"]).alias("p"))))
+    lines = F.transform(r, lambda x: F.concat_ws(",", *[x[c].cast("string") for c in ("start", "length", "period")]))
+    out = runs.with_runs(docs).select("doc_id", F.col("periodic.n_words").alias("n_words"), F.size(r).cast("long").alias("n_runs"), longest.alias("longest"),
+                                      lines.alias("lines"), F.sha2(F.col("periodic.collapsed"), 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_words", "n_runs", (-F.col("longest.s")).alias("start"), F.col("longest.length").alias("length"), (-F.col("longest.p")).alias("period"),
+                      F.expr("1000 * longest.length div -longest.p").alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), "collapsed_sha256")
+
+
+def _made_periodic(text: Column, g: Column) -> Column:
+    """The text whose words from number g % n on repeat the first 1 + (n - a) / (3 + g % 8) of them."""
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        tail = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a), F.slice(tail, 1, n - a)), " ")).otherwise("")
+
+    # an array of one, so that the words are split once
+    return F.element_at(F.transform(F.array(words), repeated), 1)
