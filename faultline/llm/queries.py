@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (byte_bpe, decontam, exact_dedup, hard_negatives, langid, line_dedup, near_dedup, quotes, runs, sharding, token_counts,
+from . import (byte_bpe, decontam, exact_dedup, hard_negatives, langid, line_dedup, near_dedup, quotes, runs, sharding, substring_dedup, token_counts,
                url_filter)
 from .shared import table, written
 
@@ -216,3 +216,11 @@ def _made_periodic(text: Column, g: Column) -> Column:
 
     # an array of one, so that the words are split once
     return F.element_at(F.transform(F.array(words), repeated), 1)
+
+
+@register("op11_substring_dedup")
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that occur again anywhere."""
+    out = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
