@@ -2,8 +2,8 @@
 
 A string of ``length`` bytes (a window) is named by the smallest hash of the grams in it, so
 equal windows have equal names wherever they stand. Windows side by side with one name make
-a segment. Segments whose name occurs twice or more go, each distinct one once with its
-number of places, to the task of their name. There their suffixes are sorted as far as
+a segment. Segments whose name occurs twice or more, or that may hold a window twice, go,
+each distinct one once with its number of places, to the task of their name. There their suffixes are sorted as far as
 windows reach; breadth-first backward extension on the transform derives the common prefixes
 by increasing value and stops at ``length``; the boundaries not found by then lie between
 equal windows.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, fresh, null_safe, release, written
+from .shared import bounded_batches, fresh, release, written
 
 LENGTH = 200
 #: Lengths of the grams that name windows, as shares of a window: the next one is used where
@@ -43,23 +43,43 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def window_names(data: np.ndarray, gram: int, length: int) -> np.ndarray:
-    """Of every window of ``data``: the smallest hash of its grams."""
+def _sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The least (or greatest) of every ``width`` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        x = least(x[:-size], x[size:])
+        size *= 2
+    return least(x[:len(x) - (width - size)], x[width - size:])
+
+
+def window_names(data: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest hash of the grams of every window of ``data``, and the ties before each gram.
+
+    A tie is a smallest gram of some window that another one with the same hash follows within a window.
+    """
     up, down = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[:-1], dtype=np.uint64)])
     h = (sums[gram:] - sums[:-gram]) * down[:len(data) - gram + 1]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    size, grams = 1, length - gram + 1
-    while size * 2 <= grams:
-        h = np.minimum(h[:-size], h[size:])
-        size *= 2
-    return np.minimum(h[:len(h) - (grams - size)], h[grams - size:])
+    grams = length - gram + 1
+    name = _sliding(np.minimum, h, grams)
+    smallest = np.flatnonzero(_sliding(np.maximum, np.pad(name, grams - 1), grams) == h)
+    tie = (h[smallest[1:]] == h[smallest[:-1]]) & (smallest[1:] - smallest[:-1] <= grams)
+    ties = np.zeros(len(h) + 1, np.int64)
+    ties[smallest[:-1][tie] + 1] = 1
+    return name, np.cumsum(ties)
+
+
+Segment = tuple[int, int, int, int, bool, bytes]
 
 
-def segments(texts: list[bytes], gram: int, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """``text, start, windows, name, bytes``: the windows of every text, those side by side with one name together."""
+def segments(texts: list[bytes], gram: int, length: int) -> Iterator[Segment]:
+    """``text, start, windows, name, tie, bytes``: the windows of every text, those side by side with one name together.
+
+    Only a segment with a tie can hold one window twice.
+    """
     batch: list[tuple[int, int, bytes]] = []
     size = 0
     for k, t in enumerate(texts):
@@ -74,13 +94,13 @@ def segments(texts: list[bytes], gram: int, length: int) -> Iterator[tuple[int,
         yield from _batch_segments(batch, gram, length)
 
 
-def _batch_segments(batch: list[tuple[int, int, bytes]], gram: int, length: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def _batch_segments(batch: list[tuple[int, int, bytes]], gram: int, length: int) -> Iterator[Segment]:
     joined = b"".join(t for _, _, t in batch)
     size = np.fromiter((len(t) for _, _, t in batch), np.int64, len(batch))
     begin = np.cumsum(size) - size
     of = np.repeat(np.arange(len(batch)), size)
     with np.errstate(over="ignore"):
-        name = window_names(np.frombuffer(joined, np.uint8), gram, length)
+        name, ties = window_names(np.frombuffer(joined, np.uint8), gram, length)
     inside = of[:len(name)] == of[length - 1:]
     new = np.ones(len(name), bool)
     new[1:] = (name[1:] != name[:-1]) | ~inside[:-1] | (of[1:len(name)] != of[:len(name) - 1])
@@ -88,8 +108,10 @@ def _batch_segments(batch: list[tuple[int, int, bytes]], gram: int, length: int)
     windows = np.diff(np.append(first, len(name)))
     keep = inside[first]
     first, windows = first[keep], windows[keep]
-    for k, a, n, x in zip(of[first].tolist(), first.tolist(), windows.tolist(), name[first].view(np.int64).tolist(), strict=True):
-        yield batch[k][0], batch[k][1] + a - int(begin[k]), n, x, joined[a:a + n + length - 1]
+    tie = ties[first + windows + length - gram] > ties[first]
+    columns = (of[first], first, windows, name[first].view(np.int64), tie)
+    for k, a, n, x, again in zip(*[c.tolist() for c in columns], strict=True):
+        yield batch[k][0], batch[k][1] + a - int(begin[k]), n, x, again, joined[a:a + n + length - 1]
 
 
 def content(segment: bytes) -> int:
@@ -203,15 +225,15 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[dic
 
 
 def _name(gram: int, length: int, with_bytes: bool):
-    """Of rows ``owner columns…, data``: ``owner columns…, at, n, key, s`` of all segments, and their bytes if asked for."""
+    """Of rows ``owner columns…, data``: ``owner columns…, at, n, key, s, tie`` of all segments, and their bytes if asked for."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for owner, texts in _texts(batches, "data"):
-            rows, n = {c: [] for c in [*owner, "at", "n", "key", "s", "data"]}, 0
-            for k, at, windows, key, data in segments(texts, gram, length):
+            rows, n = {c: [] for c in [*owner, "at", "n", "key", "s", "tie", "data"]}, 0
+            for k, at, windows, key, tie, data in segments(texts, gram, length):
                 for c, values in owner.items():
                     rows[c].append(values[k])
-                for c, x in zip(("at", "n", "key", "s"), (at, windows, key, content(data)), strict=True):
+                for c, x in zip(("at", "n", "key", "s", "tie"), (at, windows, key, content(data), tie), strict=True):
                     rows[c].append(x)
                 if with_bytes:
                     rows["data"].append(data)
@@ -225,7 +247,7 @@ def _name(gram: int, length: int, with_bytes: bool):
 
 
 def _segment_rows(rows: dict[str, list], with_bytes: bool) -> pa.RecordBatch:
-    kinds = {"data": pa.binary(), "n": pa.int32()}
+    kinds = {"data": pa.binary(), "n": pa.int32(), "tie": pa.bool_()}
     return pa.RecordBatch.from_pydict({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in rows.items() if with_bytes or c != "data"})
 
 
@@ -272,7 +294,7 @@ def _judge(segs: DataFrame, level: int, length: int, bucket: int) -> DataFrame:
         return out
     gram = round(GRAMS[level + 1] * length)
     large = segs.join(many, "key").select(F.col("seg").alias("parent"), F.col("w").alias("times"), "data")
-    inner = written(bounded_batches(large).mapInArrow(_name(gram, length, True), "parent long, times long, at long, n int, key long, s long, data binary"), "inner-places")
+    inner = written(bounded_batches(large).mapInArrow(_name(gram, length, True), "parent long, times long, at long, n int, key long, s long, tie boolean, data binary"), "inner-places")
     per = inner.groupBy("key", "s").agg(F.sum("times").alias("w"), F.min("data").alias("data"))
     per = written(per.withColumn("seg", F.monotonically_increasing_id()), "inner-segments")
     again = _judge(per, level + 1, length, bucket)
@@ -289,9 +311,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("data"))
     gram = round(GRAMS[0] * length)
-    places = written(bounded_batches(rows).mapInArrow(_name(gram, length, False), "id long, th long, at long, n int, key long, s long"), "places")
-    names = written(places.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "names")
-    live = written(places.join(names, "key"), "live-places")
+    places = written(bounded_batches(rows).mapInArrow(_name(gram, length, False), "id long, th long, at long, n int, key long, s long, tie boolean"), "places")
+    names = written(places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("tie").alias("tie")).where("n > 1 OR tie").select("key"), "names")
+    live = written(places.drop("tie").join(names, "key"), "live-places")
     release(places, names)
     place = F.struct("id", "th", "at", "n")
     segs = live.groupBy("key", "s").agg(F.count(F.lit(1)).alias("w"), F.min(place).alias("p"))
