@@ -124,10 +124,10 @@ def content(segment: bytes) -> int:
 def rotation_order(t: np.ndarray, depth: int) -> np.ndarray:
     """The rotations of ``t`` (numbers below 512) in the order of their first ``depth`` numbers, or more."""
     n, h = len(t), 7
-    key = np.zeros(n, np.int64)
-    for i in range(h):
-        key = key << 9 | np.roll(t, -i)
-    order = np.argsort(key, kind="stable")
+    two = t << 9 | np.roll(t, -1)
+    four = two << 18 | np.roll(two, -2)
+    key = four << 27 | np.roll(four, -4) >> 9
+    order = np.argsort(key)
     key = key[order]
     first = np.ones(n, bool)
     first[1:] = key[1:] != key[:-1]
@@ -138,7 +138,7 @@ def rotation_order(t: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(slots):
         u = order[slots]
         key = rank[u] * n + rank[(u + h) % n]
-        sort = np.argsort(key, kind="stable")
+        sort = np.argsort(key)
         u, key = u[sort], key[sort]
         order[slots] = u
         first = np.ones(len(u), bool)
@@ -158,14 +158,14 @@ def short_prefixes(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     prefix of the string's length less one; only such intervals are extended further.
     """
     n = len(t)
-    last = t[order - 1]  # the transform
-    numbers, last = np.unique(last, return_inverse=True)
+    used = np.bincount(t) > 0
+    last = (np.cumsum(used) - 1).astype(np.uint16)[t[order - 1]]  # the transform, its numbers side by side
     by = np.argsort(last, kind="stable")
     step = np.empty(n, np.int32)  # from a rotation to the one that begins one number earlier
     step[by] = np.arange(n, dtype=np.int32)
     # a wavelet matrix of the transform: of every bit, the zeros before each place
     zeros, at = [], np.arange(n)
-    for bit in range(max(len(numbers) - 1, 0).bit_length() - 1, -1, -1):
+    for bit in range((int(used.sum()) - 1).bit_length() - 1, -1, -1):
         one = (last[at] >> bit & 1).astype(bool)
         zeros.append(np.concatenate([np.zeros(1, np.int32), np.cumsum(~one, dtype=np.int32)]))
         at = np.concatenate([at[~one], at[one]])
