@@ -9,6 +9,9 @@ and no row-pair blow-up), those ids are exploded, and the per-request top-k
 is a ``row_number() <= k`` filter, which Spark plans as a partial
 WindowGroupLimit before the shuffle -- so a request matching a third of the
 table still ships at most k rows per map task.
+
+A table of requests is joined to the precedents by an index of character
+grams (``search_table``); nothing of it passes through the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ilike_contains, split_words_py
+from ..functions.text import ilike_contains, pattern_grams, search_words, split_words_py, text_grams
 
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 50
@@ -123,33 +126,93 @@ def search_batch(df: DataFrame, requests: dict[int, SearchRequest], keywords_tex
     return ranked.where((F.col(rank_col) <= F.lit(max(limits.values()))) & (F.col(rank_col) <= lim))
 
 
-def search_table(df: DataFrame, requests: DataFrame, block: int = 200, request_col: str = "request_id", **columns) -> DataFrame:
-    """W4 with the requests in a table: ``request_id`` and the request's parameters as columns.
+def limit_column(c: Column) -> Column:
+    """``resolve_limit`` of a column, numeric or text."""
+    n = F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("decimal(38,0)")
+    n = F.when(n.isNull() | (n == 0), F.lit(DEFAULT_LIMIT)).otherwise(n)
+    return F.least(F.greatest(n, F.lit(1)), F.lit(MAX_LIMIT)).cast("int")
+
+
+def bound_column(c: Column, kind: str) -> Column:
+    """``_bound`` of a column of the type ``kind``: a numeric 0 sets no bound, the text '0' does."""
+    if kind in ("string", "void"):
+        return F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)", 1).try_cast("bigint")
+    return F.when(c != 0, c.try_cast("bigint"))
+
 
-    The requests are taken in blocks of at most ``block`` rows, and each block
-    is one scan (``search_batch``); what the driver holds at a time and the
-    size of an expression stay bounded however many requests there are.
+def search_table(df: DataFrame, requests: DataFrame, keywords_text: str = "keywords_text", categories: str = "categories",
+                 court: str = "court", fault: str = "fault_a", relevance: str = "relevance_score", tiebreak: str = "id",
+                 required: str | None = "fault_ratio", request_col: str = "request_id", rank_col: str = "rank", literal: bool = False) -> DataFrame:
+    """W4 with the requests in a table: ``request_id`` (unique) and the request's parameters as columns.
+
+    A join by a gram index, in one plan whatever the number of requests:
+
+    1. Requests with the same words, category and court are one set of terms.
+    2. The distinct texts are exploded into (field, gram) postings, of the grams
+       that some term holds. Each term is looked up by its rarest gram (three
+       characters, or fewer in a shorter term); a set of terms by the field with
+       the fewest postings, all words of ``keywords`` counting together. A set
+       without such a field (no term, or wildcards only) meets every distinct
+       text, dealt over ``ALL_BUCKETS`` keys.
+    3. ``ILIKE`` decides on each text met.
+    4. As no request returns more than ``MAX_LIMIT`` rows, the first ``MAX_LIMIT``
+       of each set of terms and fault value are enough to answer all bounds;
+       then each request takes its first ``limit``.
+
+    Parameters that ``requests`` lacks are not used.
     """
-    names = ["keywords", "categories", "court", "fault_min", "fault_max", "limit"]
-    have = [n for n in names if n in requests.columns]
-    parts, rows = [], {}
-
-    def flush():
-        parts.append(search_batch(df, dict(rows), request_col=request_col, **columns))
-        rows.clear()
-
-    for r in requests.select(request_col, *have).orderBy(request_col).toLocalIterator():
-        rows[r[request_col]] = SearchRequest(**{n: r[n] for n in have})
-        if len(rows) == block:
-            flush()
-    if rows or not parts:
-        if not rows:
-            rows[-1] = SearchRequest(fault_min="1", fault_max="0")  # no request: no answer
-        flush()
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    have = set(requests.columns)
+    par = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
+    kind = lambda n: requests.schema[n].dataType.simpleString() if n in have else "void"
+    filled = lambda n: F.nullif(par(n).cast("string"), F.lit(""))
+    asked = requests.select(F.col(request_col), search_words(par("keywords").cast("string")).alias("_words"), filled("categories").alias("_category"),
+                            filled("court").alias("_court"), bound_column(par("fault_min"), kind("fault_min")).alias("_lo"),
+                            bound_column(par("fault_max"), kind("fault_max")).alias("_hi"), limit_column(par("limit")).alias("_limit"))
+    asked = asked.withColumn("_terms", F.md5(F.to_json(F.struct("_words", "_category", "_court"))))
+    terms = asked.select("_terms", "_words", "_category", "_court").distinct()
+    found = _term_texts(df.where(F.col(required).isNotNull()) if required else df, terms, keywords_text, categories, court, literal)
+    few = Window.partitionBy("_terms", fault).orderBy(F.desc_nulls_first(relevance), F.asc(tiebreak))
+    found = found.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= MAX_LIMIT).drop("_n")
+    met = found.join(asked.select(request_col, "_terms", "_lo", "_hi", "_limit"), "_terms")
+    met = met.where((F.col("_lo").isNull() | (F.col(fault) >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col(fault) <= F.col("_hi"))))
+    w = Window.partitionBy(request_col).orderBy(F.desc_nulls_first(relevance), F.asc(tiebreak))
+    ranked = met.withColumn(rank_col, F.row_number().over(w))
+    return ranked.where((F.col(rank_col) <= MAX_LIMIT) & (F.col(rank_col) <= F.col("_limit"))).select(*df.columns, request_col, rank_col)
+
+
+ALL_BUCKETS = 64
+
+
+def _term_texts(df: DataFrame, terms: DataFrame, keywords_text: str, categories: str, court: str, literal: bool) -> DataFrame:
+    """``df`` with ``_terms``: every row once for each set of terms that it matches."""
+    texts = {"k": keywords_text, "c": categories, "o": court}
+    text = F.xxhash64(*[F.coalesce(F.lower(F.col(c)), F.lit("")) for c in texts.values()])  # a shared key costs a look, ILIKE decides
+    rows = df.withColumn("_text", text)
+
+    one = lambda field, i, c: F.struct(F.lit(field).alias("field"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), c.alias("term"))
+    each = F.concat(F.transform("_words", lambda w, i: one("k", i, w)), F.array(one("c", 0, F.col("_category")), one("o", 0, F.col("_court"))))
+    each = terms.select("_terms", F.explode(each).alias("t")).select("_terms", "t.*").where("term IS NOT NULL")
+    each = each.withColumn("grams", pattern_grams("term", literal))
+    wanted = each.select("field", F.explode("grams").alias("gram")).distinct()
+    of = F.array(*[F.struct(F.lit(f).alias("field"), text_grams(c).alias("grams")) for f, c in texts.items()])
+    postings = rows.select("_text", F.explode(of).alias("f")).select("_text", "f.field", F.explode("f.grams").alias("gram")).distinct()
+    postings = postings.join(wanted, ["field", "gram"])
+
+    often = postings.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
+    costs = each.select("_terms", "field", "i", F.explode_outer("grams").alias("gram")).join(often, ["field", "gram"], "left")
+    n = F.when(F.col("gram").isNotNull(), F.coalesce("n", F.lit(0)))  # null: the term has no gram
+    best = costs.groupBy("_terms", "field", "i").agg(F.min_by("gram", F.struct(n, "gram")).alias("gram"), F.min(n).alias("n"))
+    fields = best.groupBy("_terms", "field").agg(F.sum("n").alias("n"), F.collect_set("gram").alias("grams"), F.count_if(F.col("gram").isNull()).alias("open"))
+    way = fields.where("open = 0").groupBy("_terms").agg(F.min_by(F.struct("field", "grams"), F.struct("n", "field")).alias("way"))
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(ALL_BUCKETS - 1)), lambda i: i.cast("string"))
+    ways = terms.join(way, "_terms", "left").select("_terms", F.coalesce("way.field", F.lit("*")).alias("field"), F.explode(F.coalesce("way.grams", buckets)).alias("gram"))
+
+    every = rows.select(F.lit("*").alias("field"), F.pmod("_text", F.lit(ALL_BUCKETS)).cast("string").alias("gram"), "_text").distinct()
+    met = ways.join(postings.unionByName(every), ["field", "gram"]).select("_terms", "_text").distinct()
+    any_word = (F.size("_words") == 0) | F.exists("_words", lambda w: ilike_contains(keywords_text, w, literal))
+    fits = lambda c, term: F.col(term).isNull() | ilike_contains(c, F.col(term), literal)
+    return (met.join(terms, "_terms").join(rows, "_text")
+            .where(any_word & fits(categories, "_category") & fits(court, "_court")).select(*df.columns, "_terms"))
 
 
 def keyword_filter_latest(df: DataFrame, text: str, keyword: str | None, order: str, tiebreak: str,

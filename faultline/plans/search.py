@@ -122,16 +122,51 @@ m AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance_score DESC NULLS FIRST, id) AS rank FROM m)
 SELECT CAST(request_id AS BIGINT) AS request_id, rank, {OUT_SQL} FROM ranked WHERE rank <= lim""")
 def precedent_search_table(spark, sf_dir):
-    """The requests are rows of a table (here derived from nation), answered block by block."""
+    """The requests are rows of a table (here derived from nation)."""
     n = Tables(spark, sf_dir).nation
     words = F.element_at(F.array(*[F.lit(w) for w in _REGION_WORDS]), F.col("n_regionkey").cast("int") + 1)
     reqs = n.select(F.col("n_nationkey").cast("long").alias("request_id"), words.alias("keywords"),
                     F.concat(F.lit("brand#"), (F.col("n_nationkey") % 5 + 1).cast("string")).alias("court"),
                     F.col("n_nationkey").cast("int").alias("fault_min"), (1 + F.col("n_nationkey") % 7).cast("int").alias("limit"))
-    out = srch.search_table(precedents(spark, sf_dir), reqs, block=10)
+    out = srch.search_table(precedents(spark, sf_dir), reqs)
     return out.select(F.col("request_id").cast("bigint").alias("request_id"), F.col("rank").cast("bigint").alias("rank"), *OUT)
 
 
+# One request per part: a piece of its name or two words (one of them a wildcard word for some), a piece of its
+# kind, its brand, bounds around its size; every kind of request comes many times.
+@register("precedent_search_requests", f"""WITH {PRECEDENTS_SQL},
+r AS (
+  SELECT p_partkey AS request_id,
+         CASE p_partkey % 6 WHEN 0 THEN substr(p_name, 2, 5) WHEN 1 THEN p_name WHEN 2 THEN substr(p_name, 1, 2) || ', zz'
+                            WHEN 3 THEN 'r_n' WHEN 4 THEN '%%' || ' ' || substr(p_name, 1, 3) ELSE '' END AS keywords,
+         CASE WHEN p_partkey % 4 = 1 THEN lower(substr(p_type, 2, 3)) WHEN p_partkey % 4 = 2 THEN '' END AS categories,
+         CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS court,
+         CASE WHEN p_partkey % 5 < 3 THEN p_size - 5 END AS fault_min, CASE WHEN p_partkey % 7 < 4 THEN CAST(p_size + 3 AS VARCHAR) END AS fault_max,
+         1 + p_partkey % 12 AS lim FROM part
+),
+w AS (SELECT *, list_filter(regexp_split_to_array(keywords, '[\\s\\p{{Z}},]+'), lambda x: length(x) > 1) AS words FROM r),
+m AS (
+  SELECT w.request_id, w.lim, p.* FROM w JOIN precedents p
+    ON (len(w.words) = 0 OR list_bool_or(list_transform(w.words, lambda x: p.keywords_text ILIKE '%' || x || '%')))
+   AND (coalesce(w.categories, '') = '' OR p.categories ILIKE '%' || w.categories || '%') AND (w.court IS NULL OR p.court ILIKE '%' || w.court || '%')
+   AND (coalesce(w.fault_min, 0) = 0 OR p.fault_a >= w.fault_min) AND (w.fault_max IS NULL OR p.fault_a <= CAST(w.fault_max AS INTEGER))
+  WHERE p.fault_ratio IS NOT NULL
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY relevance_score DESC NULLS FIRST, id) AS rank FROM m)
+SELECT request_id, rank, {OUT_SQL} FROM ranked WHERE rank <= lim""")
+def precedent_search_requests(spark, sf_dir):
+    """As many requests as there are parts, joined to the precedents by the gram index."""
+    p, k = Tables(spark, sf_dir).part, F.col("p_partkey")
+    words = (F.when(k % 6 == 0, F.substring("p_name", 2, 5)).when(k % 6 == 1, F.col("p_name")).when(k % 6 == 2, F.concat(F.substring("p_name", 1, 2), F.lit(", zz")))
+             .when(k % 6 == 3, "r_n").when(k % 6 == 4, F.concat(F.lit("%% "), F.substring("p_name", 1, 3))).otherwise(""))
+    reqs = p.select(k.alias("request_id"), words.alias("keywords"),
+                    F.when(k % 4 == 1, F.lower(F.substring("p_type", 2, 3))).when(k % 4 == 2, "").alias("categories"),
+                    F.when(k % 3 == 0, F.col("p_brand")).alias("court"), F.when(k % 5 < 3, F.col("p_size") - 5).alias("fault_min"),
+                    F.when(k % 7 < 4, (F.col("p_size") + 3).cast("string")).alias("fault_max"), (1 + k % 12).alias("limit"))
+    out = srch.search_table(precedents(spark, sf_dir), reqs)
+    return out.select("request_id", F.col("rank").cast("bigint").alias("rank"), *OUT)
+
+
 @register("precedent_by_keyword", """
 SELECT 'C' || CAST(o_orderkey AS VARCHAR) AS case_number, o_orderstatus AS court, o_orderdate AS date,
        o_orderpriority AS accident_type, o_custkey % 101 AS fault_ratio_a, 100 - o_custkey % 101 AS fault_ratio_b,
