@@ -5,7 +5,8 @@ Keyword rules compile to one projected expression per row: every rule
 contributes ``(level, -len(keyword), rule_index, label)`` when its keyword
 occurs, and ``array_min`` picks the winner -- lowest level, then the longest
 keyword (so '무신호' beats the '신호' it contains), then table order. No join
-and no row blow-up; the rule table is a bounded, driver-side literal.
+and no row blow-up; the rule table is a bounded, driver-side literal. Rules that
+come from tables, in any number, are in ``rule_tables``.
 """
 
 from __future__ import annotations
@@ -108,8 +109,8 @@ CATEGORY_PREFIX = {"차대차": "", "차대자전거": "거", "차대사람": "
 
 def _contains(text: Column, kw: str, ignore_case: bool) -> Column:
     if ignore_case:
-        return F.instr(F.lower(text), kw.lower()) > 0
-    return F.instr(text, kw) > 0
+        return F.contains(F.lower(text), F.lit(kw.lower()))
+    return F.contains(text, F.lit(kw))
 
 
 def keyword_winner(text, rules: list[KeywordRule], ignore_case: bool = False) -> Column:

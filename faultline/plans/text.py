@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import render as rnd
 from ..operators import replies as rpl
+from ..operators import rule_tables as tbl
 from ..operators import rules as rul
 from ..operators import usage as use
 from ..sources.tables import Tables
@@ -209,7 +210,7 @@ ACCIDENTS = [
 _ACCIDENT_SQL = ", ".join(f"'{x}'" for x in ACCIDENTS)
 
 
-@register("accident_rules", f"""
+_ACCIDENT_RULES_SQL = f"""
 WITH d AS (
   SELECT doc_id, list_extract([{_ACCIDENT_SQL}], CAST(substr(source, 4) AS INTEGER) % 20 + 1) || ' ' || coalesce(text, '') AS body,
          CASE lang WHEN 'en' THEN '101' WHEN 'fr' THEN '거3' WHEN 'de' THEN '보2' ELSE '610' END AS diagram_id
@@ -252,13 +253,13 @@ SELECT doc_id, category, matched_keyword, subcategory,
   EXISTS (SELECT 1 FROM r WHERE r.cat = x.category AND r.prefix = pre AND num BETWEEN r.lo AND r.hi) AS in_range,
   CASE WHEN bike AND pre <> '거' THEN 1 WHEN foot AND NOT bike AND pre <> '보' THEN 2 WHEN NOT bike AND NOT foot AND pre <> '' THEN 3
        WHEN NOT bike AND NOT foot AND lot AND NOT (pre = '' AND num BETWEEN 601 AND 626) THEN 4 END AS broken_rule
-FROM x""")
+FROM x"""
+
+
+@register("accident_rules", _ACCIDENT_RULES_SQL)
 def accident_rules(spark, sf_dir):
     """L3-L5 with the rule tables themselves: party type, sub-type, permitted ids and prohibitions."""
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
-    which = F.substring("source", 4, 9).cast("int") % len(ACCIDENTS) + 1
-    d = d.select("doc_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ACCIDENTS]), which), F.coalesce("text", F.lit(""))).alias("body"),
-                 F.when(F.col("lang") == "en", "101").when(F.col("lang") == "fr", "거3").when(F.col("lang") == "de", "보2").otherwise("610").alias("diagram_id"))
+    d = accidents(spark, sf_dir)
     c = rul.subclassify(rul.classify(d, "body"), "body", "category")
     pre, num = rul.split_diagram_id("diagram_id")
     ok, _ = rul.range_check(F.col("category"), pre, num, rul.category_ranges())
@@ -266,6 +267,89 @@ def accident_rules(spark, sf_dir):
                     "diagram_id", ok.alias("in_range"), rul.broken_rule(F.col("body"), "diagram_id").alias("broken_rule"))
 
 
+def accidents(spark, sf_dir):
+    """An accident before each document's text, by its source, and a diagram id by its language."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
+    which = F.substring("source", 4, 9).cast("int") % len(ACCIDENTS) + 1
+    return d.select("doc_id", F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ACCIDENTS]), which), F.coalesce("text", F.lit(""))).alias("body"),
+                 F.when(F.col("lang") == "en", "101").when(F.col("lang") == "fr", "거3").when(F.col("lang") == "de", "보2").otherwise("610").alias("diagram_id"))
+
+
+def rule_rows(spark):
+    """The fixed keyword tables as one rule table: party types without a scope, sub-types under their party type."""
+    tables = [(None, rul.CATEGORY_RULES), *[(c, r) for c, (r, _) in rul.SUBCATEGORY_RULES.items()]]
+    rows = [(c, r.label, r.level, w) for c, rules in tables for r in rules for w in r.keywords]
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "scope string, label string, level int, keyword string, position int")
+
+
+@register("accident_rules_table", _ACCIDENT_RULES_SQL)
+def accident_rules_table(spark, sf_dir):
+    """L3-L5, J7, J8 as joins: the keywords and the permitted ranges come from tables; each text is read once for all of them."""
+    hit = tbl.with_keyword_hits(accidents(spark, sf_dir), "doc_id", "body", rule_rows(spark))
+    first = tbl.winner("hits")
+    c = hit.select("doc_id", "body", "diagram_id", "hits", F.coalesce(first["label"], F.lit(rul.CATEGORY_DEFAULT)).alias("category"), first["keyword"].alias("matched_keyword"))
+    defaults = spark.createDataFrame([(k, d) for k, (_, d) in rul.SUBCATEGORY_RULES.items()], "category string, fallback string")
+    ranges = spark.createDataFrame([(sub, *r) for sub, r in rul.ID_RANGES.items()], "subcategory string, prefix string, lo int, hi int")
+    permitted = spark.createDataFrame(rul.category_ranges(), "category string, prefix string, lo int, hi int")
+    c = c.join(defaults, "category", "left").withColumn("subcategory", F.coalesce(tbl.winner("hits", "category")["label"], F.col("fallback")))
+    pre, num = rul.split_diagram_id("diagram_id")
+    c = tbl.range_check_table(c, "category", pre, num, permitted).join(ranges, "subcategory", "left")
+    named = F.concat(F.col("prefix"), F.col("lo").cast("string"), F.lit("~"), F.col("prefix"), F.col("hi").cast("string"))
+    return c.select("doc_id", "category", "matched_keyword", "subcategory", named.alias("id_range"), "diagram_id", "in_range",
+                    rul.broken_rule(F.col("body"), "diagram_id").alias("broken_rule"))
+
+
+# Rules and texts in numbers: a keyword for every pair of brand and kind and every kind with a size; an order's text names its parts.
+@register("keyword_rules_many", """
+WITH r AS (
+  SELECT DISTINCT p_brand || ' ' || p_type AS keyword, p_brand AS label, 2 AS level FROM part
+  UNION ALL SELECT DISTINCT p_type || ' ' || CAST(p_size AS VARCHAR), p_type, 1 + p_size % 3 FROM part
+  UNION ALL SELECT DISTINCT p_name, 'named', 3 FROM part
+),
+n AS (SELECT *, row_number() OVER (ORDER BY keyword, label, level) AS position FROM r),
+t AS (SELECT l_orderkey, string_agg(p_name || ', ' || p_brand || ' ' || p_type || ' ' || CAST(p_size AS VARCHAR), '; ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS body
+      FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+h AS (SELECT l_orderkey, label, keyword, count(*) OVER (PARTITION BY l_orderkey) AS n_hits,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY level, length(keyword) DESC, position) AS rn FROM t JOIN n ON contains(body, keyword))
+SELECT t.l_orderkey, coalesce(label, 'none') AS label, keyword AS matched_keyword, coalesce(n_hits, 0) AS n_hits FROM t LEFT JOIN h ON h.l_orderkey = t.l_orderkey AND rn = 1""")
+def keyword_rules_many(spark, sf_dir):
+    """J8 with some hundred keywords from a table: the winner and the number of keywords in each text."""
+    t = Tables(spark, sf_dir)
+    p = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    rules = (p.select(F.concat_ws(" ", "p_brand", "p_type").alias("keyword"), F.col("p_brand").alias("label"), F.lit(2).alias("level")).distinct()
+             .unionByName(p.select(F.concat_ws(" ", "p_type", s(F.col("p_size"))).alias("keyword"), F.col("p_type").alias("label"), (1 + F.col("p_size") % 3).alias("level")).distinct())
+             .unionByName(p.select(F.col("p_name").alias("keyword"), F.lit("named").alias("label"), F.lit(3).alias("level")).distinct()))
+    rules = rules.withColumn("position", F.struct("keyword", "label", "level"))  # the table's order, by its values
+    names = F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(" "), F.col("p_type"), F.lit(" "), s(F.col("p_size")))
+    texts = t.lineitem.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", names.alias("name")))), lambda x: x["name"]), "; ").alias("body"))
+    hit = tbl.with_keyword_hits(texts, "l_orderkey", "body", rules)
+    first = tbl.winner("hits")
+    return hit.select("l_orderkey", F.coalesce(first["label"], F.lit("none")).alias("label"), first["keyword"].alias("matched_keyword"), F.size("hits").cast("long").alias("n_hits"))
+
+
+# A range for every order (by its customer, of widths from one to thousands), a number for every line.
+@register("range_rules_table", """
+WITH r AS (SELECT o_orderkey AS rule_id, o_orderpriority AS category, CASE WHEN o_orderkey % 3 = 0 THEN '보' ELSE '' END AS prefix, o_custkey AS lo,
+                  o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN o_orderkey % 4096 WHEN o_orderkey % 7 = 0 THEN -1 ELSE o_orderkey % 9 END AS hi FROM orders),
+p AS (SELECT DISTINCT o_orderpriority AS category, CASE WHEN l_linenumber = 1 THEN '보' ELSE '' END AS prefix, l_partkey + l_suppkey AS number
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT category, prefix, number, count(rule_id) AS n_ranges, min(rule_id) AS first_rule, max(hi - lo) AS widest
+FROM p LEFT JOIN r USING (category, prefix) WHERE number BETWEEN lo AND hi GROUP BY ALL""")
+def range_rules_table(spark, sf_dir):
+    """All numbers against as many ranges as there are orders; overlapping ranges all count."""
+    t = Tables(spark, sf_dir)
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+    k = F.col("o_orderkey")
+    width = F.when(k % 50 == 0, k % 4096).when(k % 7 == 0, -1).otherwise(k % 9)
+    ranges = o.select(k.alias("rule_id"), F.col("o_orderpriority").alias("category"), F.when(k % 3 == 0, "보").otherwise("").alias("prefix"),
+                      F.col("o_custkey").alias("lo"), (F.col("o_custkey") + width).alias("hi"))
+    points = t.lineitem.join(o, F.col("l_orderkey") == k).select(
+        F.col("o_orderpriority").alias("category"), F.when(F.col("l_linenumber") == 1, "보").otherwise("").alias("prefix"), (F.col("l_partkey") + F.col("l_suppkey")).alias("number")).distinct()
+    met = tbl.matching_ranges(points, ranges, ["category", "prefix"], "number")
+    return met.groupBy("category", "prefix", "number").agg(F.count(F.lit(1)).alias("n_ranges"), F.min("rule_id").alias("first_rule"), F.max(F.col("hi") - F.col("lo")).alias("widest"))
+
+
 # ---------------------------------------------------------- diagram ids/titles
 
 PART_RANGES = [("ECONOMY", "", 1, 20), ("SMALL", "", 5, 30), ("SMALL", "", 40, 50), ("LARGE", "", 10, 50),
