@@ -80,7 +80,7 @@ SELECT user_id, event_id, ts, event_type, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events
   WHERE user_id IS NOT NULL) WHERE rn = 1""")
 def latest_session_stream_evicting(spark, sf_dir):
-    """M3 without a state store: per-batch latest rows, newest by time in the log."""
+    """M3 with bounded state: sessions idle for a day leave it, the table keeps them."""
     ev = jobs.file_stream(spark, sf_dir, "events")
     out = jobs.latest_stream_evicting(spark, ev, "user_id", "ts", "event_id",
                                       ["event_id", "ts", "event_type", "value"], "1 day", "1 hour",
@@ -88,6 +88,33 @@ def latest_session_stream_evicting(spark, sf_dir):
     return out.select("user_id", "event_id", "ts", "event_type", "value")
 
 
+# Three files by time; every twentieth event comes in the last one, so many of them are late. A batch drops what lies behind
+# the watermark that the batch before it went by, which the file before that one has set.
+@register("llm_usage_closed_stream", """
+WITH s AS (SELECT *, min(ts) OVER () AS t0, max(ts) OVER () AS t1 FROM events WHERE ts IS NOT NULL),
+f AS (SELECT *, CASE WHEN event_id % 20 = 7 OR ts >= t0 + (t1 - t0) * 2 / 3 THEN 2 WHEN ts >= t0 + (t1 - t0) / 3 THEN 1 ELSE 0 END AS file,
+             time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM s),
+w AS (SELECT file, max(max(ts)) OVER (ORDER BY file) - INTERVAL 2 HOUR AS mark FROM f GROUP BY file),
+ok AS (SELECT f.* FROM f LEFT JOIN w ON w.file = f.file - 2 WHERE w.mark IS NULL OR window_start + INTERVAL 1 HOUR > w.mark)
+SELECT window_start, event_type, count(*) AS calls, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS output_tokens
+FROM ok WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(mark) FROM w) GROUP BY 1, 2""")
+def llm_usage_closed_stream(spark, sf_dir):
+    """Windows that the watermark has closed, each emitted once; late rows do not reopen them."""
+    ev = Tables(spark, sf_dir).events.where("ts IS NOT NULL")
+    t0, t1 = ev.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    t0, t1 = t0 or 0, t1 or 0
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    file = F.when((F.col("event_id") % 20 == 7) | (us >= t0 + (t1 - t0) * 2 / 3), 2).when(us >= t0 + (t1 - t0) / 3, 1).otherwise(0)
+    folder = jobs.run_dir(spark, "usage-files")
+    for n in range(3):  # one after the other, as they arrive
+        ev.where(file == n).coalesce(1).write.parquet(f"{folder}/events.parquet/arrival={n}")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events.parquet/*")
+    src = src.withColumn("output_tokens", F.floor("value"))
+    out = jobs.windowed_usage_stream(spark, src, "ts", ["event_type"], [F.count(F.lit(1)).alias("calls"), F.sum("output_tokens").alias("output_tokens")],
+                                     "1 hour", "2 hours", jobs.run_dir(spark, "usage-closed"))
+    return out.select("window_start", "event_type", "calls", "output_tokens")
+
+
 @register("diagram_stats_stream", """
 SELECT event_type AS diagram_id,
        CAST(count(*) AS INTEGER) AS total_matches,

@@ -10,7 +10,8 @@ the last committed micro-batch ended.
   counters go to a change log (idempotent per batch id).
 * M2 upsert: per batch, dedupe (last arrival wins), then log the rows; the
   table is base + log, last row per key.
-* M3 latest per session: stateful ``max_by`` in update mode, logged.
+* M3 latest per session: stateful ``max_by`` in update mode, logged; or a
+  stateful processor whose timers drop the sessions that are idle.
 * M4 usage per hour: event-time windows. Without a watermark every window is
   kept current in the change log, whatever order the files come in; with one,
   state is bounded and a window is emitted once the watermark passes its end
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.js import percent_half_up
 from ..operators.upsert import dedupe_last
@@ -147,7 +150,7 @@ def latest_stream(spark: SparkSession, events: DataFrame, key: str, order: list[
 
 def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys: list[str],
                           aggs: list, window: str, watermark: str | None, root: str,
-                          compact_every: int | None = 20) -> DataFrame:
+                          compact_every: int | None = 20, progress: list | None = None) -> DataFrame:
     """M4: event-time windows per key.
 
     ``watermark=None``: no row is ever late. Updated windows go to the change
@@ -156,6 +159,8 @@ def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys:
 
     With a watermark (append mode, Parquet sink) state is bounded; rows that
     arrive behind it are dropped by Spark and open windows are not emitted.
+    ``progress`` receives the progress of the query; its state operators count
+    the rows dropped.
     ``timestamp_ntz`` cannot carry one, so the time column is cast to
     ``timestamp`` (session time zone UTC). Null times belong to no window.
     """
@@ -167,8 +172,10 @@ def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys:
                    *[c for c in g.columns if c not in ("_w", *keys)])
     table = f"{root}/table"
     if watermark is not None:
-        _run(out.writeStream.outputMode("append").format("parquet").option("path", table), root)
-        return spark.read.parquet(table)
+        handle = _run(out.writeStream.outputMode("append").format("parquet").option("path", table), root)
+        if progress is not None:
+            progress.extend(handle.recentProgress)
+        return spark.read.schema(out.schema).parquet(table)
     sink = _log_sink(spark, table, ["window_start", *keys], compact_every)
     _run(out.writeStream.outputMode("update").foreachBatch(sink), root)
     return changelog.current(spark, table, ["window_start", *keys])
@@ -176,26 +183,77 @@ def windowed_usage_stream(spark: SparkSession, events: DataFrame, ts: str, keys:
 
 # ------------------------------------------------------------------ M3 (bounded state)
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class LatestRow(StatefulProcessor):
+    """The newest row of each key, kept until the watermark has passed it by the idle time."""
+
+    def __init__(self, columns: list[str], state: StructType, idle_ms: int):
+        self.columns, self.state, self.idle_ms = columns, state, idle_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.last = handle.getValueState("last", self.state)  # the rank (time in ms, tiebreak), then the row
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        best = self.last.get() if self.last.exists() else None
+        newer = max((((r["_ms"], r["_tie"]), tuple(r[c] for c in self.columns)) for r in rows), key=lambda x: x[0])
+        if best is not None and tuple(best[:2]) >= newer[0]:
+            return
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.last.update((*newer[0], *newer[1]))
+        self.handle.registerTimer(newer[0][0] + self.idle_ms)
+        yield Row(**dict(zip(self.columns, newer[1], strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        self.last.clear()
+        return iter(())
+
+
 def latest_stream_evicting(spark: SparkSession, events: DataFrame, key: str, ts: str, tiebreak: str,
                            columns: list[str], idle_timeout: str | None, watermark: str | None, root: str,
-                           compact_every: int | None = 20) -> DataFrame:
-    """M3 without a state store: each micro-batch adds its own latest rows to the log.
-
-    A batch is reduced to one row per key (``max_by``, combined map-side) and
-    logged; the table is the newest row per key by (``ts``, ``tiebreak``) over
-    base and log. Nothing is kept between batches, so nothing has to be
-    evicted, and late rows and files in any order give the same table.
-    Compaction keeps the log short. ``idle_timeout`` and ``watermark`` belong
-    to a state store; they are accepted and have no effect.
+                           compact_every: int | None = 20, progress: list | None = None) -> DataFrame:
+    """M3 with bounded state: the newest row per key by (``ts``, ``tiebreak``).
+
+    With both ``idle_timeout`` and ``watermark`` a stateful processor keeps the
+    newest row of each key; a timer drops it once the watermark has passed its
+    time by ``idle_timeout``, so state holds the keys that were active lately. The
+    table keeps every key: it is the newest row per key over base and log, so a
+    row that comes after its key was dropped is stored again and an older one
+    changes nothing. Rows behind the watermark when they arrive are late and are
+    dropped, as are rows without a key, a time or a ``tiebreak`` (an integer).
+    ``progress`` receives the progress of the query, its state rows among it.
+
+    Without them nothing is kept between batches: each batch is reduced to one row
+    per key (``max_by``, combined map-side) and logged; late rows and files in
+    any order give the same table, and rows without a time rank below the others.
     """
     order = [ts, tiebreak]
     log, keep = f"{root}/table", [key, *columns]
-    packed = F.struct(*[F.col(c) for c in keep])
-
-    def newest(batch: DataFrame) -> DataFrame:
-        rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_r"))
-        return rows.select("_r.*")
-
-    sink = _log_sink(spark, log, key, compact_every, prepare=newest, order=order)
-    _run(events.writeStream.foreachBatch(sink), root)
+    if idle_timeout is None or watermark is None:
+        packed = F.struct(*[F.col(c) for c in keep])
+
+        def newest(batch: DataFrame) -> DataFrame:
+            rows = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_r"))
+            return rows.select("_r.*")
+
+        handle = _run(events.writeStream.foreachBatch(_log_sink(spark, log, key, compact_every, prepare=newest, order=order)), root)
+    else:
+        x = events.withColumn("_et", F.col(ts).cast("timestamp")).where(F.col(key).isNotNull() & F.col("_et").isNotNull() & F.col(tiebreak).isNotNull())
+        x = x.withWatermark("_et", watermark).select("_et", F.unix_millis("_et").alias("_ms"), F.col(tiebreak).cast("long").alias("_tie"), *keep)
+        out = StructType([x.schema[c] for c in keep])
+        state = StructType([StructField("_ms", LongType()), StructField("_tie", LongType()), *[StructField(f"c{i}", f.dataType) for i, f in enumerate(out)]])
+        idle_ms = spark.sql(f"SELECT CAST(1000 * extract(SECOND FROM x) + 60000 * extract(MINUTE FROM x) + 3600000 * extract(HOUR FROM x) + 86400000 * extract(DAY FROM x) AS BIGINT) "
+                            f"FROM (SELECT CAST(INTERVAL {idle_timeout} AS INTERVAL DAY TO SECOND) AS x)").first()[0]
+        latest = x.groupBy(key).transformWithState(LatestRow(keep, state, idle_ms), out, "update", "EventTime")
+        before = spark.conf.get(STATE_PROVIDER)
+        spark.conf.set(STATE_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        try:
+            handle = _run(latest.writeStream.outputMode("update").foreachBatch(_log_sink(spark, log, key, compact_every, order=order)), root)
+        finally:
+            spark.conf.set(STATE_PROVIDER, before)
+    if progress is not None:
+        progress.extend(handle.recentProgress)
     return changelog.current(spark, log, key, order=order).select(*keep)

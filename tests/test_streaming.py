@@ -135,3 +135,41 @@ def test_streams_do_not_depend_on_number_and_order_of_files(spark):
     assert {r["user_id"]: r["event_id"] for r in last.collect()} == {u: max(r[0] for r in rows if r[2] == u) for u in range(5)}
     df = spark.createDataFrame([(k, None if v is None else v <= 100) for _, _, _, k, v in rows], "event_type string, is_correct boolean")
     assert sorted(map(tuple, rate.collect())) == sorted(map(tuple, acc.accuracy_by_key(df, "event_type").collect()))
+
+
+def test_idle_sessions_leave_the_state_and_late_rows_are_dropped(spark):
+    t0, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    batches = [
+        [(i, t0 + i * h / 100, i, "view", 1.0) for i in range(1, 41)],       # forty sessions
+        [(100, t0 + 48 * h, 1, "view", 2.0)],                                 # two days on: the others are idle
+        [(101, t0 + 48 * h + h / 2, 2, "view", 3.0), (103, t0 + 48 * h, 50, "view", 5.0)],
+        [(104, t0 + 49 * h, 1, "view", 6.0), (102, t0 + 2 * h, 3, "late", 4.0), (99, t0 + 49 * h, 1, "tie", 7.0), (105, None, 1, "no time", 8.0)],
+    ]
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+    seen = []
+    ev = jobs.file_stream(spark, root, "events", max_files=1)
+    out = jobs.latest_stream_evicting(spark, ev, "user_id", "ts", "event_id", ["event_id", "ts", "event_type"], "1 day", "1 hour",
+                                      jobs.run_dir(spark, "idle"), compact_every=2, progress=seen)
+    got = {r["user_id"]: r["event_id"] for r in out.collect()}
+    # the table keeps every session; the row that came two days late is not in it
+    assert got == {**{i: i for i in range(4, 41)}, 1: 104, 2: 101, 3: 3, 50: 103}
+    rows = [p.stateOperators[0].numRowsTotal for p in seen if p.stateOperators]
+    assert max(rows) >= 40 and rows[-1] <= 3  # sessions 1, 2 and 50
+    assert sum(p.stateOperators[0].numRowsDroppedByWatermark for p in seen if p.stateOperators) == 1
+
+
+def test_closed_windows_count_late_rows_and_are_emitted_once(spark):
+    from pyspark.sql import functions as F
+
+    t0, h = dt.datetime(2024, 1, 1), dt.timedelta(hours=1)
+    batches = [[(1, t0, 1, "view", 1.0), (2, t0 + 5 * h, 1, "view", 1.0)], [(3, t0 + 10 * h, 1, "view", 1.0), (4, t0 + 4.5 * h, 1, "view", 1.0)],
+               [(5, t0 + h / 2, 1, "view", 1.0), (6, t0 + 20 * h, 1, "view", 1.0)], [(7, t0 + 30 * h, 1, "view", 1.0)]]
+    root = tempfile.mkdtemp(prefix="faultline-stream-test-")
+    _write_batches(root, batches)
+    seen = []
+    win = jobs.windowed_usage_stream(spark, jobs.file_stream(spark, root, "events", max_files=1), "ts", ["event_type"], [F.count(F.lit(1)).alias("n")],
+                                     "1 hour", "1 hour", jobs.run_dir(spark, "closed"), progress=seen)
+    # row 5 is late for the window of midnight, row 4 is not for its own
+    assert sorted((r["window_start"].hour, r["n"]) for r in win.collect()) == [(0, 1), (4, 1), (5, 1), (10, 1), (20, 1)]
+    assert sum(p.stateOperators[0].numRowsDroppedByWatermark for p in seen if p.stateOperators) == 1
