@@ -25,9 +25,9 @@ LENGTH = 200
 #: Lengths of the grams that name windows, as shares of a window: the next one is used where
 #: a name has more than ``BUCKET`` distinct segments; at the last a name is one content.
 GRAMS = (0.2, 0.5, 0.8, 1.0)
-BUCKET = 200
+BUCKET = 4096
 PIECE = 1 << 20  # bytes of text that are named at a time, whatever the lengths of texts
-CHUNK = 2 << 20  # bytes of segments of one transform, about
+CHUNK = 1 << 20  # bytes of segments of one transform, about
 
 _BYTE = np.random.default_rng(111).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0xD1342543DE82EF95
@@ -122,28 +122,34 @@ def content(segment: bytes) -> int:
 
 
 def rotation_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """The rotations of ``t`` (numbers below 512) in the order of their first ``depth`` numbers, or more."""
-    n, h = len(t), 7
-    two = t << 9 | np.roll(t, -1)
-    four = two << 18 | np.roll(two, -2)
-    key = four << 27 | np.roll(four, -4) >> 9
+    """The rotations of ``t`` in the order of their first ``depth`` numbers, or more."""
+    n, bits, h = len(t), max(int(t.max()).bit_length(), 1), 1
+    key = t
+    while 2 * h * bits <= 63:
+        key = key << (h * bits) | np.roll(key, -h)
+        h *= 2
+    more = 63 // bits - h  # numbers that the key still has room for
+    key = key << (more * bits) | np.roll(key, -h) >> ((h - more) * bits)
+    h += more
     order = np.argsort(key)
     key = key[order]
     first = np.ones(n, bool)
     first[1:] = key[1:] != key[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(first)[np.cumsum(first) - 1]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n, dtype=np.int32), 0))
     single = first & np.append(first[1:], True)
     slots = np.flatnonzero(~single)
     while h < depth and len(slots):
         u = order[slots]
-        key = rank[u] * n + rank[(u + h) % n]
+        after = u + h
+        after[after >= n] -= n
+        key = rank[u].astype(np.int64) << 32 | rank[after]
         sort = np.argsort(key)
         u, key = u[sort], key[sort]
         order[slots] = u
         first = np.ones(len(u), bool)
         first[1:] = key[1:] != key[:-1]
-        rank[u] = slots[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        rank[u] = np.maximum.accumulate(np.where(first, slots, 0))
         slots = slots[~(first & np.append(first[1:], True))]
         h *= 2
     return order
@@ -158,14 +164,13 @@ def short_prefixes(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     prefix of the string's length less one; only such intervals are extended further.
     """
     n = len(t)
-    used = np.bincount(t) > 0
-    last = (np.cumsum(used) - 1).astype(np.uint16)[t[order - 1]]  # the transform, its numbers side by side
+    last = t[order - 1].astype(np.uint16)  # the transform
     by = np.argsort(last, kind="stable")
     step = np.empty(n, np.int32)  # from a rotation to the one that begins one number earlier
     step[by] = np.arange(n, dtype=np.int32)
     # a wavelet matrix of the transform: of every bit, the zeros before each place
-    zeros, at = [], np.arange(n)
-    for bit in range((int(used.sum()) - 1).bit_length() - 1, -1, -1):
+    zeros, at = [], np.arange(n, dtype=np.int32)
+    for bit in range(int(t.max()).bit_length() - 1, -1, -1):
         one = (last[at] >> bit & 1).astype(bool)
         zeros.append(np.concatenate([np.zeros(1, np.int32), np.cumsum(~one, dtype=np.int32)]))
         at = np.concatenate([at[~one], at[one]])
@@ -201,7 +206,8 @@ def repeated_windows(parts: list[bytes], weight: list[int], length: int) -> Iter
     of = np.repeat(np.arange(len(parts)), size + 1)
     letter = np.ones(len(t), bool)
     letter[end] = False
-    t[letter] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64) + 1
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    t[letter] = np.cumsum(np.bincount(data, minlength=256) > 0)[data]  # 1 and up, without gaps
     order = rotation_order(t, length)
     group = np.cumsum(short_prefixes(t, order, length))
     often = np.bincount(group, np.asarray(weight, np.float64)[of[order]]) >= 2
