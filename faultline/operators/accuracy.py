@@ -183,6 +183,6 @@ def accuracy_merge_into(spark, root: str, delta: DataFrame, key: str,
         merged = accuracy_merge(cur, delta, key, total, correct, rate)
     if batch_id is not None:
         merged = merged.withColumn("_last_batch", F.lit(batch_id).cast("long"))
-    nxt = (vs[-1] + 1) if vs else 0
+    nxt = snapshots.free_version(spark, root, vs[-1] if vs else -1)
     snapshots.create_version(merged, root, nxt)
     return nxt

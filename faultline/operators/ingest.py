@@ -72,8 +72,11 @@ def flatten_video_records(df: DataFrame, raw: str = "raw_json", wrapper: str = "
     for out, keys, dtype, rule in VIDEO_FIELDS:
         val = F.coalesce(*[rec[k] for k in keys]) if len(keys) > 1 else rec[keys[0]]
         if dtype == "int":
-            given, whole = val, val.rlike(WHOLE_NUMBER)
-            val = F.when(whole, given.try_cast("decimal(38,6)").try_cast("int"))
+            # nearly all are plain digits, which a cast tells; the pattern is tried on what it refuses
+            given, plain = val, val.try_cast("int")
+            as_given = plain.cast("string") == given
+            whole = F.when(given.rlike(WHOLE_NUMBER), given.try_cast("decimal(38,6)").try_cast("int"))
+            val = F.when(given.isNull() | as_given, plain).otherwise(whole)
             odd.append(F.when(given.isNotNull() & val.isNull(), F.concat(F.lit(f"{out}="), given)))
         if rule == "||":
             val = js.falsy_to_null(val, StringType() if dtype == "string" else IntegerType())
@@ -122,6 +125,14 @@ DOMAINS = {
     "category": ["차대차", "차대사람", "차대자전거"],
     "confidence": ["상", "중", "하"],
 }
+FEEDBACK_DOMAINS = {"expert_level": ["user", "adjuster", "lawyer", "expert"]}
+PRECEDENT_DOMAINS = {"accident_type": ["차대차", "차대사람", "차대자전거"], "source": ["user", "crawl", "expert"]}
+USAGE_DOMAINS = {"purpose": ["match", "analyze", "report"]}
+
+
+def domain_rules(domains: dict[str, list[str]]) -> list[tuple[str, Column]]:
+    """a rule for each column with a declared domain; null passes."""
+    return [(f"bad_{c}", in_domain(c, v)) for c, v in domains.items()]
 
 
 def analysis_rules() -> list[tuple[str, Column]]:

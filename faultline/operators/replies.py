@@ -5,8 +5,9 @@ strip ```json fences -> trim -> strict parse -> else parse the greedy
 ``{...}`` span -> else an error record carrying the raw text.
 
 Strictness: ``JSON.parse`` rejects trailing text, Spark's variant parser does
-not. The text is therefore parsed inside an array and inside an object: text
-after the value that closes one of them early is an error in the other.
+not. The text is therefore parsed inside an array, before an end mark: text
+that closes the array early keeps the mark out of it. Only a text that could
+hold the mark itself is parsed a second time, inside an object.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..functions.text import JS_SPACE
 # The error text the handler stores for an unparsable reply.
 PARSE_ERROR = "JSON 파싱 실패"
 
+END = "~~reply-end~~"
+
 # Reply fields and their types (the response format of the prompt).
 REPLY_FIELDS = [
     ("step1_category", "string"),
@@ -51,10 +54,12 @@ def _c(c) -> Column:
 
 def strict_parse(text: Column) -> Column:
     """``JSON.parse``: the whole text must be exactly one JSON value."""
-    arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    one = F.try_variant_get(arr, "$", "array<variant>")
+    arr = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{END}"]')))
+    ended = F.try_variant_get(arr, "$[1]", "string") == F.lit(END)
+    doubt = F.contains(text, F.lit(END)) | F.contains(text, F.lit("\\u"))  # spelt out or in escapes
     inside = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when((F.size(one) == 1) & inside.isNotNull(), F.element_at(one, 1))
+    more = F.try_variant_get(arr, "$[2]", "variant").isNotNull()
+    return F.when(ended & (~doubt | (inside.isNotNull() & ~more)), F.try_variant_get(arr, "$[0]", "variant"))
 
 
 def strip_fences(content) -> Column:

@@ -9,7 +9,7 @@ being sorted in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,26 @@ def upsert_summary(target: DataFrame, source: DataFrame, key: str, written: Data
                           "uploaded", "inserted", "updated")
 
 
+def upsert_counted(target: DataFrame, source: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """K5 + K10 in one join: the merged rows with the columns that the counts of the batch need, and these counts.
+
+    The last arrival of a key by ``order`` replaces the row of the target (whose
+    keys are unique) or is added; null keys match nothing and are all kept. To be
+    aggregated over the merged rows: ``total_sent``, ``uploaded``, ``inserted``, ``updated``.
+    """
+    cols = target.columns
+    alone = F.when(F.col(key).isNull(), F.expr("uuid()"))
+    new = source.groupBy(key, alone.alias("_alone")).agg(
+        F.max_by(F.struct(*cols), F.struct(*order)).alias("_new"), F.count(F.lit(1)).alias("_sent"))
+    old = target.select(F.col(key).alias("_key"), F.struct(*cols).alias("_old"))
+    both = old.join(new, F.col("_key") == F.col(key), "full")
+    row = F.coalesce("_new", "_old")
+    merged = both.select(*[row[c].alias(c) for c in cols], "_sent", F.col("_old").isNotNull().alias("_had"))
+    sent = F.col("_sent").isNotNull()
+    return merged, {"total_sent": F.sum("_sent"), "uploaded": F.count_if(sent), "inserted": F.count_if(sent & ~F.col("_had")),
+                    "updated": F.count_if(sent & F.col("_had"))}
+
+
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Child rows whose (non-null) foreign key has no parent row."""
     keys = parent.select(F.col(pk).alias("_pk"))

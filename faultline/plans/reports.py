@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports as rep
-from ..sources.tables import Tables
+from ..sources.tables import Tables, footer_scan, table_path
 from .registry import register
 
 # ---------------------------------------------------------------- overview
@@ -18,9 +18,9 @@ from .registry import register
 SELECT (SELECT count(*) FROM events) AS total_analyses,
        (SELECT count(*) FROM lineitem) AS total_feedback""")
 def overview_counts(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    return rep.row_counts(total_analyses=t.events.select("event_id"),
-                          total_feedback=t.lineitem.select("l_orderkey"))
+    """Counts from the file footers."""
+    return rep.row_counts(total_analyses=footer_scan(spark, table_path(sf_dir, "events")),
+                          total_feedback=footer_scan(spark, table_path(sf_dir, "lineitem")))
 
 
 @register("recent_analyses", """
@@ -219,6 +219,16 @@ def category_lookup(spark, sf_dir):
     return rep.lookup_sorted(p, "tier", "SMALL", "code", "p_partkey", default="1st")
 
 
+@register("category_lookup_default", """
+SELECT p_partkey, CASE p_type WHEN 'SMALL' THEN '1st' WHEN 'PROMO' THEN '' ELSE p_type END AS tier, p_name AS code FROM part WHERE p_type = 'SMALL'
+ORDER BY code ASC NULLS LAST, p_partkey""")
+def category_lookup_default(spark, sf_dir):
+    """the lookup without its argument takes the default."""
+    tier = F.when(F.col("p_type") == "SMALL", "1st").when(F.col("p_type") == "PROMO", "").otherwise(F.col("p_type"))
+    p = Tables(spark, sf_dir).part.select("p_partkey", tier.alias("tier"), F.col("p_name").alias("code"))
+    return rep.lookup_sorted(p, "tier", None, "code", "p_partkey", default="1st")
+
+
 # ------------------------------------------------------------ fault ratios
 
 def _ratios(spark, sf_dir):

@@ -3,8 +3,11 @@
 A plain Parquet directory cannot be updated in place, and overwriting the
 path being read is unsafe. Each write therefore goes to a new version
 directory ``<root>/v=<n>``; a version is current once its ``_SUCCESS``
-marker exists. Writes are idempotent per version number, which is what a
-``foreachBatch`` sink needs when a micro-batch is replayed after a failure.
+marker exists. ``write_version`` is idempotent per version number, which is
+what a ``foreachBatch`` sink needs when a micro-batch is replayed after a
+failure. ``create_version`` writes elsewhere and takes the version's name by one
+rename that fails if the name is taken: of two writers of a version one
+gets an error, and what a dead writer leaves behind is in nobody's way.
 Readers take the highest committed version. Old versions can be removed by
 a retention job; nothing here deletes data.
 
@@ -14,6 +17,9 @@ cluster, ``DataFrame.mergeInto`` replaces this.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -48,10 +54,30 @@ def write_version(df: DataFrame, root: str, version: int) -> str:
     return p
 
 
+def free_version(spark: SparkSession, root: str, after: int) -> int:
+    """The first number above ``after`` that is not taken by a folder without ``_SUCCESS`` (a dead writer's)."""
+    fs, _, jvm = _fs(spark, root)
+    at = lambda n, *f: jvm.org.apache.hadoop.fs.Path("/".join([version_path(root, n), *f]))
+    n = after + 1
+    while fs.exists(at(n)) and not fs.exists(at(n, "_SUCCESS")):
+        n += 1
+    return n
+
+
 def create_version(df: DataFrame, root: str, version: int) -> str:
-    """Write a version that must not exist yet: a second writer of it fails."""
-    p = version_path(root, version)
-    df.write.mode("errorifexists").parquet(p)
+    """Write a version that must not exist yet: a second writer of it fails, and leaves nothing under its name."""
+    spark, p = df.sparkSession, version_path(root, version)
+    own = f"{root.rstrip('/')}/new-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(own)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.FileContext.getFileContext(hadoop.Path(own).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        files.rename(hadoop.Path(own), hadoop.Path(p), options)  # fails where the target exists
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise FileExistsError(f"[PATH_ALREADY_EXISTS] another writer has written {p}") from e
+        raise
     return p
 
 
@@ -87,6 +113,29 @@ def upsert_into(spark: SparkSession, root: str, source: DataFrame, key: str,
         else:
             cur = initial
     merged = upsert(cur, source, key, on_duplicate=on_duplicate, order=order)
-    nxt = (vs[-1] + 1) if vs else 0
+    nxt = free_version(spark, root, vs[-1] if vs else -1)
     create_version(merged, root, nxt)  # a concurrent writer of the same version fails
     return nxt
+
+
+def upsert_into_observed(spark: SparkSession, root: str, source: DataFrame, key: str, order: list[str],
+                         initial: DataFrame | None = None) -> tuple[int, dict[str, int]]:
+    """K5 + K10: ``upsert_into`` that counts while it writes; the source is read once.
+
+    Returns the new version and ``total_sent``, ``uploaded`` (keys written),
+    ``inserted`` and ``updated``. The counts are taken by an ``Observation`` in the
+    stage that writes, whose tasks count once however often earlier stages run.
+    """
+    from pyspark.sql import Observation
+
+    from ..operators.upsert import upsert_counted
+
+    vs = committed_versions(spark, root)
+    cur = read_version(spark, root, vs[-1]) if vs else initial
+    if cur is None:
+        cur = spark.createDataFrame([], source.select(*[c for c in source.columns if c not in order]).schema)
+    seen = Observation()
+    merged, counts = upsert_counted(cur, source, key, order)
+    nxt = free_version(spark, root, vs[-1] if vs else -1)
+    create_version(merged.observe(seen, *[c.alias(n) for n, c in counts.items()]).select(*cur.columns), root, nxt)
+    return nxt, {n: seen.get[n] or 0 for n in counts}

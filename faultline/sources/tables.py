@@ -52,3 +52,29 @@ def json_array_records(df: DataFrame, body_col: str, key: str = "records",
     """Explode a request body ``{"records": [...]}`` into one row per record."""
     arr = F.try_variant_get(F.try_parse_json(F.col(body_col)), f"$.{key}", "array<variant>")
     return df.select(F.explode(arr).alias("_rec")).select(F.to_json("_rec").alias(column))
+
+
+def read_json_bodies(spark: SparkSession, path: str, column: str = "body") -> DataFrame:
+    """S3: request bodies as files, one JSON document each, whole as one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias(column))
+
+
+V1_SOURCES = "spark.sql.sources.useV1SourceList"
+FOOTER_COUNTS = "spark.sql.parquet.aggregatePushdown"
+
+
+def footer_scan(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table whose row count comes from the file footers.
+
+    The table is opened through the DataSource V2 reader, into which an ungrouped
+    count (also min and max) is pushed: the scan then shows
+    ``PushedAggregation`` and reads no row group. Filters, other aggregates and
+    grouped ones read the rows as usual.
+    """
+    before = spark.conf.get(V1_SOURCES)
+    spark.conf.set(FOOTER_COUNTS, "true")
+    spark.conf.set(V1_SOURCES, ",".join(x for x in before.split(",") if x.strip() != "parquet"))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(V1_SOURCES, before)
