@@ -44,9 +44,9 @@ SCRIPT_NAMES = ["other", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
 
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: whether it is a letter or a mark, its lower case, its script."""
+    """By code point: 2 for a letter, 1 for a mark, else 0; its lower case, its script."""
     chars = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter((unicodedata.category(c)[0] in "LM" for c in chars), bool, len(chars))
+    letter = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(c)[0], 0) for c in chars), np.int8, len(chars))
     lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.int32, len(chars))
     script = np.zeros(len(chars), np.int8)
     for name, a, b in SCRIPTS:
@@ -56,7 +56,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Words:
-    """The words of a batch of texts: runs of letters of one script."""
+    """The words of a batch of texts: runs of letters and marks of one script, with a letter at least."""
 
     doc: np.ndarray  # text of each word
     start: np.ndarray  # first and last + 1 character in the text
@@ -72,15 +72,23 @@ def words_of(texts: list[str]) -> Words:
     size = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
     begin = np.cumsum(size) - size
-    is_letter = letter[cp]
-    at = np.flatnonzero(is_letter)
+
+    def runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = script[cp[at]]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (s[1:] != s[:-1])
+        return new, np.flatnonzero(new)
+
+    kind = letter[cp]
+    at = np.flatnonzero(kind)
+    new, first = runs(at)
+    if len(at):  # marks alone are no word
+        at = at[(np.maximum.reduceat(kind[at], first) == 2)[np.cumsum(new) - 1]]
+        new, first = runs(at)
     if not len(at):
         none = np.zeros(0, np.int64)
         return Words(none, none, none, none, [none] * KINDS, none, np.zeros(len(texts) + 1, np.int64))
     s = script[cp[at]]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (s[1:] != s[:-1])
-    first = np.flatnonzero(new)
     last = np.append(first[1:], len(at)) - 1
     word = np.cumsum(new) - 1
     # one zero before and behind every word, so that n-grams know its ends

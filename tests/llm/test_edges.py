@@ -411,6 +411,57 @@ def test_near_dedup_keeps_apart_the_texts_of_one_id(spark):
     assert sorted(str(c) for (i, _), c in marks.items() if i == 2) == ["1", "2"]
 
 
+@pytest.mark.parametrize("alike", [0.6, 0.75])
+def test_a_template_that_links_nothing_makes_few_candidates(spark, monkeypatch, alike):
+    rng = random.Random(10)
+    own = round(150 * (1 - alike) / (1 + alike))  # words of each document, the others are the template's
+    template = [f"t{j}" for j in range(150 - own)]
+    rows = []
+    for i in range(1500):
+        w = [*template, *[f"d{i}x{j}" for j in range(own)]]
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, rows[i][1] + " end") for i in range(0, 1500, 100)]
+    seen, link = [], linking.link
+
+    def counted(lists, values, verify, near, percent=80):
+        def verified(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+        return link(lists, values, verified, near, percent)
+
+    monkeypatch.setattr(near_dedup, "link", counted)
+    got = {r.id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    assert got == {i: i % 5000 for i, _ in rows}
+    assert sum(seen) <= 8 * len(rows)  # all pairs are 1,147,000
+
+
+def test_dense_lists_keep_every_link_near_the_threshold(spark):
+    rng = random.Random(11)
+    base = [f"b{j}" for j in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.randint(0, 40)):  # some are linked to many, some to few, some to none
+            w[rng.randrange(150)] = f"v{rng.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    got = {r.id: r.component_id for r in near_dedup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()}
+    want = {i: c for i, (_, c) in brute.near_components(rows, 1, 80).items()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_prefix_pairs_hold_every_pair_of_the_similarity(spark):
+    rng = random.Random(12)
+    sets = {i: set(rng.sample(range(40), rng.randint(1, 30))) | ({99} if i % 3 else set()) for i in range(120)}
+    sets.update({200 + i: set(sets[i]) - {rng.choice(sorted(sets[i]))} | {500 + i} for i in range(0, 120, 2) if len(sets[i]) > 1})
+    values = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s], "id long, value long")
+    members = spark.createDataFrame([(i, i) for i in sets], "id long, component long").withColumn("tag", linking.tag(F.lit(1), F.lit(0).cast("long")))
+    for percent in (50, 80, 100):
+        got = {(r.a, r.b) for r in linking.prefix_pairs(members, values, percent, lambda a, b: F.lit(True)).collect()}
+        want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        assert want <= got and want
+
+
 def test_union_find_on_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(1, 200)] + [(5000, 5000)]
     got = {r.node: r.component for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,6 +1,7 @@
 """The registered training-data queries against their SQL or plain Python, on small tables."""
 
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -10,11 +11,12 @@ import pytest
 import __spark_entry__ as E
 import brute
 from check_oracle import rows_key, type_mismatches
+from faultline.llm.queries import language_model
 
 SF = "/root/testdata/sf0.001"
-TABLES = "documents benchmark pages conversations labels".split()
+TABLES = "documents benchmark pages conversations labels embeddings".split()
 ORACLES = E.oracle_sql()
-LLM = [f"op{n}_" for n in range(1, 11)]
+LLM = [f"op{n}_" for n in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +33,7 @@ def docs(con):
 
 
 def test_one_query_for_each_operator():
-    assert [sum(q.startswith(x) for q in E.queries()) for x in LLM] == [1] * 10
+    assert [sum(q.startswith(x) for q in E.queries()) for x in LLM] == [1] * 13
     assert "pipeline" in E.queries()
 
 
@@ -56,6 +58,22 @@ def test_language_id_on_held_out_documents(spark, docs):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_language_id_equals_plain_python(spark, docs):
+    model = language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = {r.doc_id: r for r in E.queries()["op2_language_id"](spark, SF).collect()}
+    for i, x, _ in docs:
+        lang, share = brute.main_language(x, model)
+        assert (rows[i].lang_pred, round(rows[i].score, 9)) == (lang, round(share, 9))
+
+
+def test_pipeline_without_labels_keeps_texts_with_letters(spark):
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(1, "text", None, "s", 4), (2, "1 2 3", None, "s", 5), (3, None, None, "s", 0), (4, "日本", None, "s", 2), (2, "\u0301", None, "s", 1)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.language_id(spark, docs, SF).collect()) == [1, 4]
+
+
 def test_token_counts_equal_the_library(spark, docs):
     from tokenizers import Tokenizer
 
@@ -122,7 +140,9 @@ def test_pipeline_stages_keep_what_they_should(spark, docs):
         if name != "byte_bpe":
             assert now.columns == columns
     text = {i: x for i, x, _ in docs}
-    # language ID: only texts without letters or without a main language go
+    # language ID: texts without letters or without a main language go
+    model = language_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert set(seen["language_id"]) == {i for i, x in text.items() if brute.main_language(x, model)[1] >= P.MIN_SHARE}
     assert {i for i, x in text.items() if x and any(c.isalpha() for c in x)} >= set(seen["language_id"])
     assert len(seen["language_id"]) >= 0.97 * len(text)
     kept = brute.kept_lines([(i, r.text) for i, r in seen["language_id"].items()])
@@ -131,6 +151,11 @@ def test_pipeline_stages_keep_what_they_should(spark, docs):
     assert {i: r.text for i, r in seen["line_dedup"].items()} == want
     near = brute.near_components(list(want.items()), 5, 80)
     assert set(seen["near_dedup"]) == {i for i, (_, c) in near.items() if i == c}
-    assert set(seen["decontamination"]) <= set(seen["near_dedup"])
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(brute.ASCII_LOWER))
+    windows = lambda w, n=10: {tuple(w[i:i + n]) for i in range(max(len(w) - n + 1, 1))} if w else set()
+    items = set().union(*[windows(words(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    sizes = {len(x) for x in items}
+    clean = {i for i, r in seen["near_dedup"].items() if not any(windows(words(r.text), n) & items for n in sizes)}
+    assert set(seen["decontamination"]) == clean < set(seen["near_dedup"])
     assert set(seen["byte_bpe"]) == set(seen["decontamination"])
     assert all(r.decoded_sha256 == hashlib.sha256(seen["decontamination"][i].text.encode()).hexdigest() for i, r in seen["byte_bpe"].items())
