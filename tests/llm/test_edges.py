@@ -454,6 +454,7 @@ def test_prefix_pairs_hold_every_pair_of_the_similarity(spark):
     rng = random.Random(12)
     sets = {i: set(rng.sample(range(40), rng.randint(1, 30))) | ({99} if i % 3 else set()) for i in range(120)}
     sets.update({200 + i: set(sets[i]) - {rng.choice(sorted(sets[i]))} | {500 + i} for i in range(0, 120, 2) if len(sets[i]) > 1})
+    sets.update({400 + i: set(sets[i]) for i in range(0, 120, 10)})
     values = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s], "id long, value long")
     members = spark.createDataFrame([(i, i) for i in sets], "id long, component long").withColumn("tag", linking.tag(F.lit(1), F.lit(0).cast("long")))
     for percent in (50, 80, 100):
