@@ -18,6 +18,7 @@ from .shared import release, written
 
 PAIRS_PER_MEMBER = 16  # that a list may leave over after its tags; with more of them, its members go to the prefix filter
 MEMBERS = 2000  # of a list whose tags are compared all with all
+RECENT = 16  # values before one in a prefix that are looked at, so that a pair is made for its first shared value
 PROBES = 3  # members of a list that all its members are compared with, to tell how many pairs it would leave
 FIELDS_PER_WORD = 31
 
@@ -184,7 +185,8 @@ def prefix_pairs(members: DataFrame, values: DataFrame, percent: int, near: Call
     percent * (x + y) / (100 + percent) values or more, so the larger one holds a shared value among its
     first y - percent * y / 100 + 1 and the smaller one among its first x - 2 * percent * x / (100 + percent) + 1;
     and where they stand must leave enough values after the first shared one. What all
-    members have in common comes last, so a group alike in less than that makes hardly a pair.
+    members have in common comes last, so a group alike in less than that makes hardly a pair. A
+    pair is made for its first shared value; only where that lies further back than ``RECENT`` values, again.
     """
     each = written(values.distinct().select("id", "value"), "set-values")
     often = written(each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "set-frequencies")
@@ -193,13 +195,15 @@ def prefix_pairs(members: DataFrame, values: DataFrame, percent: int, near: Call
     at = each.join(often, "value").withColumn("others", F.count(F.lit(1)).over(one)).withColumn("at", F.row_number().over(one.orderBy("df", "value")))
     at = at.join(n, "id").withColumn("at", F.col("at") + F.col("n") - F.col("others"))  # values of one set only come first
     at = at.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).join(members, "id")
-    at = written(at.select("value", "id", "n", "at", "tag", "component"), "prefixes")
+    recent = F.collect_list("value").over(one.orderBy("at").rowsBetween(-RECENT, -1))
+    at = written(at.select("value", "id", "n", "at", "tag", "component", recent.alias("recent")), "prefixes")
     short = at.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1)
-    x = short.select("value", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "tag", "component")])
-    y = at.select("value", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "tag", "component")])
+    x = short.select("value", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "at", "tag", "component", "recent")])
+    y = at.select("value", *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "at", "tag", "component", "recent")])
     after = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
     fits = ((F.struct("x_n", "x_id") < F.struct("y_n", "y_id")) & (F.col("x_n") * 100 >= F.col("y_n") * percent) & (F.col("x_component") != F.col("y_component"))
-            & (after * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent) & near(F.col("x_tag"), F.col("y_tag")))
+            & (after * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent) & near(F.col("x_tag"), F.col("y_tag"))
+            & ~F.arrays_overlap("x_recent", "y_recent"))
     out = x.join(y, "value").where(fits).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
     out = written(out, "prefix-pairs")
     release(each, often, at)
