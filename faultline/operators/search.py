@@ -239,12 +239,18 @@ def array_keyword_match(df: DataFrame, array_col: str, keywords: list[str], mode
 def keyword_index(df: DataFrame, id_col: str, array_col: str, keyword_col: str = "keyword") -> DataFrame:
     """The GIN index as a table: one (keyword, id) row per distinct keyword of a row.
 
-    Written with ``sources.layout``-style clustering (sorted by keyword) it
-    serves repeated lookups with row-group skipping instead of full scans.
+    Stored sorted by keyword (``write_keyword_index``) it serves repeated
+    lookups with row-group skipping instead of full scans.
     """
     return df.select(F.explode(F.array_distinct(F.col(array_col))).alias(keyword_col), F.col(id_col))
 
 
+def write_keyword_index(index: DataFrame, path: str, id_col: str, keyword_col: str = "keyword") -> DataFrame:
+    """Store the index, ranges of (keyword, id) a file and sorted inside it; returns the stored table."""
+    index.repartitionByRange(keyword_col, id_col).sortWithinPartitions(keyword_col, id_col).write.mode("errorifexists").parquet(path)
+    return index.sparkSession.read.parquet(path)
+
+
 def index_lookup(index: DataFrame, keywords: list[str], id_col: str, mode: str = "any",
                  keyword_col: str = "keyword") -> DataFrame:
     """Ids whose keyword set overlaps (``any``) or contains (``all``) ``keywords``.

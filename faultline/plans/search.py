@@ -7,9 +7,12 @@ relevance = p_retailprice. precedent_cases = orders (dated).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import search as srch
+from ..session import scratch_path
 from ..sources.tables import Tables
 from .registry import register
 
@@ -196,7 +199,8 @@ def keyword_array_match(spark, sf_dir):
 SELECT p_partkey AS id, array_to_string(string_split(p_name, ' '), ' ') AS keywords_text FROM part
 WHERE list_contains(string_split(p_name, ' '), 'ring') OR list_contains(string_split(p_name, ' '), 'hot')""")
 def keyword_index_match(spark, sf_dir):
-    """F12 through the keyword index: exploded (keyword, id) rows, filter, semi join back."""
+    """F12 through the stored keyword index: (keyword, id) rows sorted by keyword, a filter pushed into them, semi join back."""
     p = precedents(spark, sf_dir).select("id", "keywords", "keywords_text")
-    ids = srch.index_lookup(srch.keyword_index(p, "id", "keywords"), ["ring", "hot"], "id")
+    index = srch.write_keyword_index(srch.keyword_index(p, "id", "keywords"), scratch_path(spark, "indexes", uuid.uuid4().hex), "id")
+    ids = srch.index_lookup(index, ["ring", "hot"], "id")
     return p.join(ids, "id", "left_semi").select("id", "keywords_text")
