@@ -19,7 +19,7 @@ from .shared import release, written
 PAIRS_PER_MEMBER = 16  # that a list may leave over after its tags; with more of them, its members go to the prefix filter
 MEMBERS = 2000  # of a list whose tags are compared all with all
 RECENT = 16  # values before one in a prefix that are looked at, so that a pair is made for its first shared value
-PROBES = 8  # members of a list that all its members are compared with, to tell how many pairs it would leave
+PROBES = 5  # members of a list that all its members are compared with, to tell how many pairs it would leave
 FIELDS_PER_WORD = 31
 
 
