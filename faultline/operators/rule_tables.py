@@ -1,6 +1,6 @@
 """Rules that come from tables (J7, J8, L3, L4; T21, T22).
 
-Keyword rules: the distinct character pairs of a text are joined to one pair of
+Keyword rules: the distinct grams of a text are joined to one gram of
 each keyword, the one that fewest keywords share; only keywords met that way are
 looked for in the text. The cost follows the texts and the hits, not the
 number of keywords. Ranges: a range lies in one or two bins of its own power of two,
@@ -9,19 +9,25 @@ a number in one bin of each size in use, so containment is an equi-join.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import grams
+from ..session import scratch_path
+
+ANCHOR = 8  # characters of a keyword by which it is looked up; a shorter one is looked up whole
+BROADCAST_RULES = 100_000  # up to so many rules are broadcast to the texts
 
 
-def _anchors(rules: DataFrame, columns: list[str]) -> DataFrame:
-    """``gram, rule`` of each rule: the pair of characters of its keyword (the character of a shorter one) that fewest rules share."""
-    k = rules.where(F.length("keyword") > 0).select(F.struct(*columns).alias("rule"))
-    word = F.col("rule.keyword")
-    each = k.withColumn("gram", F.explode(F.array_distinct(F.when(F.length(word) > 1, grams(word, 2)).otherwise(F.array(word)))))
+def _anchors(rules: DataFrame, name: str) -> DataFrame:
+    """``gram, name`` of each row of ``keyword, name``: the gram of its keyword, ``ANCHOR`` characters or the whole of a shorter one, that fewest rules share."""
+    word = F.col("keyword")
+    each = rules.select(name, F.explode(F.array_distinct(F.when(F.length(word) > ANCHOR, grams(word, ANCHOR)).otherwise(F.array(word)))).alias("gram"))
     often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    return each.join(often, "gram").groupBy("rule").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return each.join(often, "gram").groupBy(name).agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
 
 
 def with_keyword_hits(df: DataFrame, key: str, text: str, rules: DataFrame, out: str = "hits", ignore_case: bool = False) -> DataFrame:
@@ -31,22 +37,44 @@ def with_keyword_hits(df: DataFrame, key: str, text: str, rules: DataFrame, out:
     number of them. The array holds (level, neg_len, position, label, keyword, scope):
     the lowest level first, then the longest keyword, then the table's order.
     ``key`` tells the texts apart; rows may share one. Null and empty keywords
-    match nothing, a null text holds none. One-character keywords meet the
-    characters of a text, which are joined only if there are such keywords.
+    match nothing, a null text holds none.
+
+    Up to ``BROADCAST_RULES`` rules go to the texts: a keyword is looked for where its gram
+    is met, and only the numbers of the rules that a text holds are put together by key, which
+    moves nothing of a ``df`` that is dealt by its key. More rules are joined by shuffled grams.
     """
     kw = F.lower("keyword") if ignore_case else F.col("keyword")
     scope = F.col("scope") if "scope" in rules.columns else F.lit(None).cast("string")
     r = rules.select("level", (-F.length("keyword")).alias("neg_len"), "position", "label", kw.alias("keyword"), scope.alias("scope"))
-    anchors = _anchors(r, ["level", "neg_len", "position", "label", "keyword", "scope"])
+    r = r.where(F.length("keyword") > 0).select(F.struct(*r.columns).alias("rule")).distinct()
     t = F.lower(text) if ignore_case else F.col(text)
-    pairs = grams(t, 2)
-    if not r.where(F.length("keyword") == 1).isEmpty():
-        pairs = F.concat(pairs, F.split(t, ""))
-    met = df.select(F.col(key).alias("_key"), F.explode(F.array_distinct(pairs)).alias("gram")).join(anchors, "gram")
-    met = met.groupBy("_key").agg(F.collect_set("rule").alias("_met"))  # the rules that one text meets
-    held = F.filter("_met", lambda x: F.contains(t, x["keyword"]))
-    none = F.array().cast(met.schema["_met"].dataType)
-    return df.join(met, df[key].eqNullSafe(met["_key"]), "left").withColumn(out, F.coalesce(F.array_sort(held), none)).drop("_key", "_met")
+    sizes = r.select(F.least(F.length("rule.keyword"), F.lit(ANCHOR)).alias("size")).groupBy("size").count().collect()  # ANCHOR rows at most
+    if not sizes:
+        return df.withColumn(out, F.array().cast(T.ArrayType(r.schema["rule"].dataType)))
+    pairs = F.array_distinct(F.concat(*[grams(t, x["size"]) for x in sorted(sizes)]))
+    if sum(x["count"] for x in sizes) > BROADCAST_RULES:
+        anchors = _anchors(r.select("rule.keyword", "rule"), "rule")
+        met = df.select(F.col(key).alias("_key"), F.explode(pairs).alias("gram")).join(anchors, "gram")
+        met = met.groupBy("_key").agg(F.collect_set("rule").alias("_met"))  # the rules that one text meets
+        held = F.filter("_met", lambda x: F.contains(t, x["keyword"]))
+        none = F.array().cast(met.schema["_met"].dataType)
+        return df.join(met, df[key].eqNullSafe(met["_key"]), "left").withColumn(out, F.coalesce(F.array_sort(held), none)).drop("_key", "_met")
+
+    path = scratch_path(df.sparkSession, "rules", uuid.uuid4().hex)
+    r.agg(F.array_sort(F.collect_list("rule")).alias("_rules")).write.parquet(path)  # once, for a number to mean one rule
+    table = df.sparkSession.read.parquet(path)
+    numbers = table.select(F.posexplode("_rules").alias("number", "rule")).select("number", "rule.keyword")
+    anchors = F.broadcast(_anchors(numbers, "number").join(numbers, "number").select("gram", "number", "keyword"))
+
+    def held_by(rows: DataFrame, by: Column) -> DataFrame:
+        met = rows.select(by.alias("_key"), t.alias("_text"), F.explode(pairs).alias("gram")).join(anchors, "gram").where(F.contains("_text", "keyword"))
+        met = met.groupBy("_key").agg(F.array_sort(F.collect_set("number")).alias("_met"))
+        return rows.join(met, by == met["_key"], "left").crossJoin(F.broadcast(table))
+
+    # a plain comparison keeps the rows where they are; those without a key go by their text
+    both = held_by(df.where(F.col(key).isNotNull()), df[key]).unionByName(held_by(df.where(F.col(key).isNull()), t))
+    held = F.filter(F.coalesce("_met", F.array().cast("array<int>")), lambda i: F.contains(t, F.get("_rules", i)["keyword"]))
+    return both.withColumn(out, F.transform(held, lambda i: F.get("_rules", i))).drop("_key", "_met", "_rules")
 
 
 def winner(hits, scope=None) -> Column:

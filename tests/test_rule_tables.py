@@ -94,6 +94,29 @@ def test_keyword_hits_equal_a_loop(spark):
             assert got[i][1] == next((x[3] for x in want if x[5] is None), None)
 
 
+def test_keyword_hits_move_no_text_that_is_dealt_by_its_key(spark):
+    rules = spark.createDataFrame([(f"L{i}", 1, f"STANDARD KIND {i}", i, None) for i in range(200)] + [("short", 2, "KI", 900, None)], RULES)
+    df = spark.createDataFrame([(i, f"a STANDARD KIND {i}; ") for i in range(50)] * 2 + [(None, "STANDARD KIND 7"), (None, "KI"), (None, None)], "i int, t string")
+    texts = df.groupBy("i").agg(F.array_join(F.sort_array(F.collect_list("t")), "").alias("t"))
+    hit = tbl.with_keyword_hits(texts, "i", "t", rules)
+    plan = hit._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(coalesce(i#" not in plan and plan.count("hashpartitioning(_key#") == 1  # of the rows without a key
+    got = {x.i: [h.position for h in x.hits] for x in hit.collect()}
+    for i in range(50):
+        assert got[i] == sorted(range(200), key=lambda k: (-len(str(k)), k) if str(i).startswith(str(k)) else (9, 9))[:sum(str(i).startswith(str(k)) for k in range(200))] + [900]
+    each = sorted([h.position for h in x.hits] for x in tbl.with_keyword_hits(df.where("i IS NULL"), "i", "t", rules).collect())
+    assert each == [[], [7, 900], [900]]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_keyword_hits_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch, few):
+    monkeypatch.setattr(tbl, "BROADCAST_RULES", few)
+    rules = [("a", 1, "long keyword one", 0, None), ("b", 1, "keyword", 1, "s"), ("c", 0, "k", 2, None), ("c", 0, "k", 2, None), ("d", 0, None, 3, None)]
+    df = spark.createDataFrame([(1, "a long keyword one"), (1, "k"), (2, "keyword keyword"), (3, None), (None, "one k")], "i int, t string")
+    got = sorted([h.label for h in x.hits] for x in tbl.with_keyword_hits(df, "i", "t", spark.createDataFrame(rules, RULES)).collect())
+    assert got == sorted([["c", "a", "b"], ["c"], ["c", "b"], [], ["c"]])
+
+
 def test_rule_table_equals_the_literal_rules(spark):
     from faultline.plans.text import ACCIDENTS, rule_rows
 
