@@ -16,12 +16,14 @@ grams (``search_table``); nothing of it passes through the driver.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ilike_contains, pattern_grams, search_words, split_words_py, text_grams
+from ..session import scratch_path
 
 DEFAULT_LIMIT = 10
 MAX_LIMIT = 50
@@ -147,17 +149,19 @@ def search_table(df: DataFrame, requests: DataFrame, keywords_text: str = "keywo
 
     A join by a gram index, in one plan whatever the number of requests:
 
-    1. Requests with the same words, category and court are one set of terms.
+    1. A set of terms is one word of ``keywords`` (or none), a category and a court.
+       Requests with the same words, category, court and bounds are one question, whose
+       words each name a set.
     2. The distinct texts are exploded into (field, gram) postings, of the grams
        that some term holds. Each term is looked up by its rarest gram (three
        characters, or fewer in a shorter term); a set of terms by the field with
-       the fewest postings, all words of ``keywords`` counting together. A set
-       without such a field (no term, or wildcards only) meets every distinct
-       text, dealt over ``ALL_BUCKETS`` keys.
-    3. ``ILIKE`` decides on each text met.
-    4. As no request returns more than ``MAX_LIMIT`` rows, the first ``MAX_LIMIT``
-       of each set of terms and fault value are enough to answer all bounds;
-       then each request takes its first ``limit``.
+       the fewest postings. A set without such a field (no term, or wildcards only)
+       meets every distinct text, dealt over ``ALL_BUCKETS`` keys.
+    3. ``ILIKE`` decides on each distinct text met.
+    4. As no request returns more rows than the largest limit asked, that many of each
+       text and fault value are enough, then of each set and fault value, of each set
+       and bounds, and of each question over its sets; the rows are carried as their
+       relevance, tiebreak and number, and fetched in the end.
 
     Parameters that ``requests`` lacks are not used.
     """
@@ -168,51 +172,87 @@ def search_table(df: DataFrame, requests: DataFrame, keywords_text: str = "keywo
     asked = requests.select(F.col(request_col), search_words(par("keywords").cast("string")).alias("_words"), filled("categories").alias("_category"),
                             filled("court").alias("_court"), bound_column(par("fault_min"), kind("fault_min")).alias("_lo"),
                             bound_column(par("fault_max"), kind("fault_max")).alias("_hi"), limit_column(par("limit")).alias("_limit"))
-    asked = asked.withColumn("_terms", F.md5(F.to_json(F.struct("_words", "_category", "_court"))))
-    terms = asked.select("_terms", "_words", "_category", "_court").distinct()
-    found = _term_texts(df.where(F.col(required).isNotNull()) if required else df, terms, keywords_text, categories, court, literal)
-    few = Window.partitionBy("_terms", fault).orderBy(F.desc_nulls_first(relevance), F.asc(tiebreak))
-    found = found.withColumn("_n", F.row_number().over(few)).where(F.col("_n") <= MAX_LIMIT).drop("_n")
-    met = found.join(asked.select(request_col, "_terms", "_lo", "_hi", "_limit"), "_terms")
-    met = met.where((F.col("_lo").isNull() | (F.col(fault) >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col(fault) <= F.col("_hi"))))
-    w = Window.partitionBy(request_col).orderBy(F.desc_nulls_first(relevance), F.asc(tiebreak))
-    ranked = met.withColumn(rank_col, F.row_number().over(w))
-    return ranked.where((F.col(rank_col) <= MAX_LIMIT) & (F.col(rank_col) <= F.col("_limit"))).select(*df.columns, request_col, rank_col)
+    asked = asked.withColumn("_words", F.array_sort(F.array_distinct("_words")))
+    asked = asked.withColumn("_question", F.md5(F.to_json(F.struct("_words", "_category", "_court", "_lo", "_hi"))))
+    questions = asked.groupBy("_question").agg(*[F.first(c).alias(c) for c in ("_words", "_category", "_court", "_lo", "_hi")], F.max("_limit").alias("_most"))
+    questions = questions.withColumn("_word", F.explode_outer("_words")).drop("_words")
+    questions = questions.withColumn("_terms", F.md5(F.to_json(F.struct("_word", "_category", "_court"))))
+    questions = _kept(questions.select("_question", "_terms", "_word", "_category", "_court", "_lo", "_hi", "_most"))
+    terms = questions.groupBy("_terms").agg(*[F.first(c).alias(c) for c in ("_word", "_category", "_court")], F.max("_most").alias("_most"))
+    every = _kept((df.where(F.col(required).isNotNull()) if required else df).withColumn("_row", F.monotonically_increasing_id()))
+
+    parts = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc_nulls_first("_relevance"), F.asc("_tie"), F.asc("_row")]
+
+    def first_of(rows: DataFrame, keys: list[str], most) -> DataFrame:
+        """The first ``most`` rows of each of the ``keys``."""
+        ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+        return ranked.where((F.col("_n") <= MAX_LIMIT) & (F.col("_n") <= most)).drop("_n")
+
+    most = F.lit(questions.agg(F.max("_most")).first()[0] or 0)
+    texts = [keywords_text, categories, court]
+    rows = every.select("_row", F.col(fault).alias("_fault"), F.col(relevance).alias("_relevance"), F.col(tiebreak).alias("_tie"),
+                        *[F.col(c).alias(f"_t{i}") for i, c in enumerate(texts)])
+    rows = first_of(rows, ["_t0", "_t1", "_t2", "_fault"], most).withColumn("_text", F.xxhash64(*[F.coalesce(f"_t{i}", F.lit("")) for i in range(3)]))
+    rows = _kept(rows)
+    found = _term_texts(rows, terms, "_t0", "_t1", "_t2", literal)  # _terms, _text and the texts
+    found = found.select("_terms", "_most", F.col("_text").alias("_held"), *[F.col(f"_t{i}").alias(f"_h{i}") for i in range(3)])
+    on = [F.col("_held") == F.col("_text"), *[F.col(f"_h{i}").eqNullSafe(F.col(f"_t{i}")) for i in range(3)]]
+    found = found.repartition(parts, "_held").join(rows, on).select("_terms", "_most", "_fault", "_relevance", "_tie", "_row")
+    found = _kept(first_of(found, ["_terms", "_fault"], F.col("_most")))
+
+    fits = (F.col("_lo").isNull() | (F.col("_fault") >= F.col("_lo"))) & (F.col("_hi").isNull() | (F.col("_fault") <= F.col("_hi")))
+    bounds = questions.groupBy("_terms", "_lo", "_hi").agg(F.max("_most").alias("_most"))
+    met = found.drop("_most").repartition(parts, "_terms").join(bounds, "_terms").where(fits).drop("_fault")
+    met = _kept(first_of(met, ["_terms", "_lo", "_hi"], F.col("_most")).drop("_most"))
+    met = met.withColumnsRenamed({"_terms": "_set", "_lo": "_from", "_hi": "_upto"})
+    same = [F.col("_terms") == F.col("_set"), F.col("_lo").eqNullSafe(F.col("_from")), F.col("_hi").eqNullSafe(F.col("_upto"))]
+    met = questions.join(met, same).select("_question", "_most", "_relevance", "_tie", "_row").distinct()  # a row can hold several words
+    met = first_of(met, ["_question"], F.col("_most")).drop("_most")
+    best = Window.partitionBy("_question").orderBy(*order)
+    met = met.withColumn("_n", F.row_number().over(best))
+    met = asked.select(request_col, "_question", "_limit").join(met, "_question").where(F.col("_n") <= F.col("_limit"))
+    w = Window.partitionBy(request_col).orderBy(*order)
+    ranked = met.withColumn(rank_col, F.row_number().over(w)).where((F.col(rank_col) <= MAX_LIMIT) & (F.col(rank_col) <= F.col("_limit")))
+    return ranked.select(request_col, rank_col, "_row").join(every, "_row").select(*df.columns, request_col, rank_col)
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder, so that it is made once."""
+    path = scratch_path(df.sparkSession, "searches", uuid.uuid4().hex)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 ALL_BUCKETS = 64
+SPREAD = 2  # times the usual number of tasks for tables that a join makes many times larger, which the planner would deal over few
 
 
-def _term_texts(df: DataFrame, terms: DataFrame, keywords_text: str, categories: str, court: str, literal: bool) -> DataFrame:
-    """``df`` with ``_terms``: every row once for each set of terms that it matches."""
+def _term_texts(rows: DataFrame, terms: DataFrame, keywords_text: str, categories: str, court: str, literal: bool) -> DataFrame:
+    """``terms`` with the distinct texts (and ``_text``, their hash) that match them: ``_terms, _most, _text`` and the texts."""
     texts = {"k": keywords_text, "c": categories, "o": court}
-    text = F.xxhash64(*[F.coalesce(F.lower(F.col(c)), F.lit("")) for c in texts.values()])  # a shared key costs a look, ILIKE decides
-    rows = df.withColumn("_text", text)
+    held = rows.select("_text", *texts.values()).distinct()  # a shared hash costs a look, ILIKE decides
 
-    one = lambda field, i, c: F.struct(F.lit(field).alias("field"), F.lit(i).alias("i") if isinstance(i, int) else i.alias("i"), c.alias("term"))
-    each = F.concat(F.transform("_words", lambda w, i: one("k", i, w)), F.array(one("c", 0, F.col("_category")), one("o", 0, F.col("_court"))))
-    each = terms.select("_terms", F.explode(each).alias("t")).select("_terms", "t.*").where("term IS NOT NULL")
-    each = each.withColumn("grams", pattern_grams("term", literal))
+    one = lambda field, c: F.struct(F.lit(field).alias("field"), F.col(c).alias("term"))
+    each = terms.select("_terms", F.explode(F.array(one("k", "_word"), one("c", "_category"), one("o", "_court"))).alias("t"))
+    each = each.select("_terms", "t.*").where("term IS NOT NULL").withColumn("grams", pattern_grams("term", literal))
     wanted = each.select("field", F.explode("grams").alias("gram")).distinct()
     of = F.array(*[F.struct(F.lit(f).alias("field"), text_grams(c).alias("grams")) for f, c in texts.items()])
-    postings = rows.select("_text", F.explode(of).alias("f")).select("_text", "f.field", F.explode("f.grams").alias("gram")).distinct()
-    postings = postings.join(wanted, ["field", "gram"])
+    postings = held.select("_text", F.explode(of).alias("f")).select("_text", "f.field", F.explode("f.grams").alias("gram")).distinct()
+    postings = _kept(postings.join(wanted, ["field", "gram"]))
 
     often = postings.groupBy("field", "gram").agg(F.count(F.lit(1)).alias("n"))
-    costs = each.select("_terms", "field", "i", F.explode_outer("grams").alias("gram")).join(often, ["field", "gram"], "left")
-    n = F.when(F.col("gram").isNotNull(), F.coalesce("n", F.lit(0)))  # null: the term has no gram
-    best = costs.groupBy("_terms", "field", "i").agg(F.min_by("gram", F.struct(n, "gram")).alias("gram"), F.min(n).alias("n"))
-    fields = best.groupBy("_terms", "field").agg(F.sum("n").alias("n"), F.collect_set("gram").alias("grams"), F.count_if(F.col("gram").isNull()).alias("open"))
-    way = fields.where("open = 0").groupBy("_terms").agg(F.min_by(F.struct("field", "grams"), F.struct("n", "field")).alias("way"))
+    costs = each.select("_terms", "field", F.explode("grams").alias("gram")).join(often, ["field", "gram"], "left")
+    way = costs.groupBy("_terms").agg(F.min_by(F.struct("field", "gram"), F.struct(F.coalesce("n", F.lit(0)), "field", "gram")).alias("way"))
     buckets = F.transform(F.sequence(F.lit(0), F.lit(ALL_BUCKETS - 1)), lambda i: i.cast("string"))
-    ways = terms.join(way, "_terms", "left").select("_terms", F.coalesce("way.field", F.lit("*")).alias("field"), F.explode(F.coalesce("way.grams", buckets)).alias("gram"))
+    ways = terms.join(way, "_terms", "left").select("_terms", F.coalesce("way.field", F.lit("*")).alias("field"),
+                                                    F.explode(F.when(F.col("way").isNotNull(), F.array("way.gram")).otherwise(buckets)).alias("gram"))
 
-    every = rows.select(F.lit("*").alias("field"), F.pmod("_text", F.lit(ALL_BUCKETS)).cast("string").alias("gram"), "_text").distinct()
-    met = ways.join(postings.unionByName(every), ["field", "gram"]).select("_terms", "_text").distinct()
-    any_word = (F.size("_words") == 0) | F.exists("_words", lambda w: ilike_contains(keywords_text, w, literal))
+    every = held.select(F.lit("*").alias("field"), F.pmod("_text", F.lit(ALL_BUCKETS)).cast("string").alias("gram"), "_text").distinct()
+    met = ways.join(postings.unionByName(every, allowMissingColumns=False), ["field", "gram"]).select("_terms", "_text")
     fits = lambda c, term: F.col(term).isNull() | ilike_contains(c, F.col(term), literal)
-    return (met.join(terms, "_terms").join(rows, "_text")
-            .where(any_word & fits(categories, "_category") & fits(court, "_court")).select(*df.columns, "_terms"))
+    return (met.join(terms, "_terms").join(held, "_text").where(fits(keywords_text, "_word") & fits(categories, "_category") & fits(court, "_court"))
+            .select("_terms", "_most", "_text", *texts.values()))
 
 
 def keyword_filter_latest(df: DataFrame, text: str, keyword: str | None, order: str, tiebreak: str,

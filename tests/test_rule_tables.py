@@ -76,6 +76,21 @@ def test_the_plan_does_not_grow_with_the_requests(spark):
     assert srch.search_table(cases, reqs).select("request_id").distinct().count() == 10_000
 
 
+def test_sets_of_words_are_not_met_row_by_row(spark, monkeypatch):
+    """2,000 copies of each of 8 texts, and 2,000 requests whose two words all of them hold: the tables between are far smaller than texts times requests."""
+    kept = []
+    write = srch._kept
+    monkeypatch.setattr(srch, "_kept", lambda df: kept.append(write(df)) or kept[-1])
+    cases = [(i, f"all same w{i % 8}", "kind", "court", i % 3, float(i // 3 % 5), "1:1") for i in range(16_000)] + [(5, "all same w5", "kind", "court", 2, 1.0, "1:1")] * 2
+    reqs = spark.range(2000).selectExpr("id AS request_id", "concat('all same w', id) AS keywords", "id % 2 AS fault_min", "3 AS limit")
+    out = srch.search_table(spark.createDataFrame(cases, CASES), reqs).select("request_id", "rank", "relevance_score", "id", "fault_a").collect()
+    assert len(out) == 6000 and len({(x.request_id, x.rank) for x in out}) == 6000
+    for k in range(2):
+        want = [(c[5], c[0]) for c in sorted((c for c in cases if c[4] >= k or k == 0), key=lambda c: (-c[5], c[0]))[:3]]
+        assert all([(x.relevance_score, x.id) for x in sorted((y for y in out if y.request_id == n), key=lambda x: x.rank)] == want for n in (k, k + 1000))
+    assert sorted(x.count() for x in kept)[-2] < 20_000 and len(kept) >= 4  # the requests' words and the cases themselves are the largest
+
+
 def test_keyword_hits_equal_a_loop(spark):
     r = random.Random(3)
     letters = "ab신호c"
