@@ -45,10 +45,11 @@ SCRIPT_NAMES = ["other", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
 @functools.cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By code point: 2 for a letter, 1 for a mark, else 0; its lower case, its script."""
-    chars = [chr(i) for i in range(0x110000)]
-    letter = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(c)[0], 0) for c in chars), np.int8, len(chars))
-    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars), np.int32, len(chars))
-    script = np.zeros(len(chars), np.int8)
+    n = 0x110000
+    chars = lambda: map(chr, range(n))  # noqa: E731 - made one by one: a list of them stays in the memory of every worker
+    letter = np.fromiter(({"L": 2, "M": 1}.get(unicodedata.category(c)[0], 0) for c in chars()), np.int8, n)
+    lower = np.fromiter((ord(x) if len(x := c.lower()) == 1 else ord(c) for c in chars()), np.int32, n)
+    script = np.zeros(n, np.int8)
     for name, a, b in SCRIPTS:
         script[a:b + 1] = SCRIPT_NAMES.index(name)
     return letter, lower, script
@@ -181,6 +182,19 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
     return label[row, col]
 
 
+def _blocks(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in blocks of ``BATCH_CHARS`` characters, the last text of each whole: an array of words takes a hundred bytes a character."""
+    part, chars = [], 0
+    for t in texts:
+        part.append(t)
+        chars += len(t)
+        if chars >= BATCH_CHARS:
+            yield part
+            part, chars = [], 0
+    if part:
+        yield part
+
+
 def _fit_counts(buckets: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per task and language: the counts of n-grams (kind >= 0) and of letters per script (kind -1)."""
@@ -188,11 +202,12 @@ def _fit_counts(buckets: int):
         for batch in batches:
             langs, texts = (batch.column(i).to_pylist() for i in (0, 1))
             for lang in set(langs):
-                w = words_of([t or "" for t, x in zip(texts, langs, strict=True) if x == lang])
                 got = sums.setdefault(lang, np.zeros(KINDS * buckets + len(SCRIPT_NAMES), np.int64))
-                for k in range(KINDS):
-                    got[k * buckets:(k + 1) * buckets] += np.bincount(w.grams[k], minlength=buckets)
-                got[KINDS * buckets:] += np.bincount(w.script, w.end - w.start, len(SCRIPT_NAMES)).astype(np.int64)
+                for part in _blocks([t or "" for t, x in zip(texts, langs, strict=True) if x == lang]):
+                    w = words_of(part)
+                    for k in range(KINDS):
+                        got[k * buckets:(k + 1) * buckets] += np.bincount(w.grams[k], minlength=buckets)
+                    got[KINDS * buckets:] += np.bincount(w.script, w.end - w.start, len(SCRIPT_NAMES)).astype(np.int64)
         for lang, got in sums.items():
             at = np.flatnonzero(got)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(got[at], pa.int64())],
@@ -208,7 +223,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ke
     table and a retry takes the same rows. Counting is distributed; the driver gets sums
     per label and bucket only.
     """
-    rows = labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = bounded_batches(labelled).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = dict(rows.groupBy(label_col).count().collect())  # one row per label
     if not sizes:
         return Model([], np.zeros((KINDS, BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), penalty)

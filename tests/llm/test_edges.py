@@ -504,3 +504,21 @@ def test_colliding_hashes_are_split_by_the_bytes(spark, docs, monkeypatch):
     finally:
         monkeypatch.undo()
     assert (1, 3) in got and (5, 1) in got and (3, 2) in got
+
+
+def test_language_fit_counts_in_bounded_blocks(monkeypatch):
+    """A batch of one language is not taken whole: its arrays hold a hundred bytes a character."""
+    import pyarrow as pa
+
+    from faultline.llm import langid
+
+    texts = [f"some words of text {i} " * (i % 7) for i in range(200)] + [None, "x" * 5000]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 101), pa.array(texts)], names=["lang", "text"])
+
+    def counted():
+        return sorted((r["lang"], r["feature"], r["n"]) for b in langid._fit_counts(langid.BUCKETS)(iter([batch])) for r in b.to_pylist())
+
+    whole, sizes, words = counted(), [], langid.words_of
+    monkeypatch.setattr(langid, "BATCH_CHARS", 1000)
+    monkeypatch.setattr(langid, "words_of", lambda x: sizes.append(sum(map(len, x[:-1]))) or words(x))
+    assert counted() == whole and len(sizes) > 10 and max(sizes) < 1000
