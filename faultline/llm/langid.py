@@ -25,7 +25,7 @@ UNDETERMINED = "und"
 BUCKETS = 1 << 15  # per kind of n-gram
 KINDS = 2
 BLOCK = 64  # words that are decoded in one lockstep
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18  # texts taken at once; their arrays hold about 150 bytes a character
 NOT_WRITTEN_SO = -1e4  # score of a language that does not use the word's script
 
 # First and last code point of the main scripts' blocks.
@@ -183,7 +183,7 @@ def viterbi(scores: np.ndarray, ptr: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in blocks of ``BATCH_CHARS`` characters, the last text of each whole: an array of words takes a hundred bytes a character."""
+    """The texts in blocks of ``BATCH_CHARS`` characters, the last text of each whole."""
     part, chars = [], 0
     for t in texts:
         part.append(t)
