@@ -522,3 +522,21 @@ def test_language_fit_counts_in_bounded_blocks(monkeypatch):
     monkeypatch.setattr(langid, "BATCH_CHARS", 1000)
     monkeypatch.setattr(langid, "words_of", lambda x: sizes.append(sum(map(len, x[:-1]))) or words(x))
     assert counted() == whole and len(sizes) > 10 and max(sizes) < 1000
+
+
+def test_near_dedup_takes_texts_in_small_blocks(spark):
+    """The arrays of a block hold fifty bytes a byte of text, and two tasks share an executor's memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [b"some words and more of them %d " % i * 400 for i in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(texts)], names=["id", "text"])
+    near_dedup.shingle_sets(texts[:1], 2)
+    tracemalloc.start()
+    with np.errstate(over="ignore"):
+        got = [(i, len(near_dedup.shingle_sets(t, 2))) for i, t in near_dedup._batches(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in got) == 600 and [i for ids, _ in got for i, in ids] == list(range(600))
+    assert peak < 60 << 20
