@@ -540,3 +540,28 @@ def test_near_dedup_takes_texts_in_small_blocks(spark):
     tracemalloc.stop()
     assert sum(n for _, n in got) == 600 and [i for ids, _ in got for i, in ids] == list(range(600))
     assert peak < 60 << 20
+
+
+def test_prefixes_meet_in_parts_and_give_all_pairs(spark, monkeypatch):
+    import os
+
+    rng = random.Random(8)
+    base = [rng.sample(range(300), 20) for _ in range(12)]
+    sets = {i: {*rng.sample(base[i % 12], 19), 1000 + i % 40} for i in range(150)}
+    values = spark.createDataFrame([(i, v) for i, s in sets.items() for v in s], "id long, value long")
+    members = spark.createDataFrame([(i, (len(s),), i) for i, s in sets.items()], "id long, tag struct<size int>, component long")
+    written, tables, here = linking.written, {}, []
+
+    def spy(df, name, free=True):
+        out = written(df, name, free)
+        here.append((name, [t for t, p in tables.items() if os.path.exists(p)]))
+        tables[name] = out._written.removeprefix("file:")
+        return out
+
+    monkeypatch.setattr(linking, "written", spy)
+    monkeypatch.setattr(linking, "SLICE_ROWS", 100, raising=False)
+    rows = linking.prefix_pairs(members, values, 80, lambda a, b: linking.sizes_allow(a, b, 80)).collect()
+    parts = [left for name, left in here if name == "prefix-pairs"]
+    assert len(parts) > 1 and not any("set-values" in left for left in parts)  # what is read no more is gone before pairs are made
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert want and want <= {(r.a, r.b) for r in rows}
