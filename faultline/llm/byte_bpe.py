@@ -186,7 +186,7 @@ def encode_table(docs: DataFrame, ranks_file: str, pattern: str, text_col: str =
     Every row is encoded by itself, repeated rows too; columns of the two names are
     replaced; an empty table gives an empty result.
     """
-    out = bounded_batches(docs).drop(*[c for c in ("ids", "decoded") if c in docs.columns])
+    out = bounded_batches(docs, "4m").drop(*[c for c in ("ids", "decoded") if c in docs.columns])
     out = out.withColumn("ids", encode(F.col(text_col), ranks_file, pattern))
     return out.withColumn("decoded", decode(F.col("ids"), ranks_file, pattern))
 

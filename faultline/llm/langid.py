@@ -223,7 +223,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ke
     table and a retry takes the same rows. Counting is distributed; the driver gets sums
     per label and bucket only.
     """
-    rows = bounded_batches(labelled).where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = bounded_batches(labelled, "4m").where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = dict(rows.groupBy(label_col).count().collect())  # one row per label
     if not sizes:
         return Model([], np.zeros((KINDS, BUCKETS, 0), np.float32), np.zeros((len(SCRIPT_NAMES), 0), bool), penalty)
@@ -300,4 +300,4 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text", out: st
     Reads the text only. Repeated rows are labelled alike; an empty table gives an empty
     result.
     """
-    return bounded_batches(docs).withColumn(out, language(F.col(text_col), model))
+    return bounded_batches(docs, "4m").withColumn(out, language(F.col(text_col), model))

@@ -565,3 +565,10 @@ def test_prefixes_meet_in_parts_and_give_all_pairs(spark, monkeypatch):
     assert len(parts) > 1 and not any("set-values" in left for left in parts)  # what is read no more is gone before pairs are made
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
     assert want and want <= {(r.a, r.b) for r in rows}
+
+
+def test_texts_go_to_python_in_small_batches(spark, docs):
+    for use in (lambda: near_dedup.sketches(docs), lambda: langid.fit(docs.withColumn("lang", F.lit("en"))), lambda: byte_bpe.encode_table(docs, RANKS, public_tokenizers.PATTERN)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        use()
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
