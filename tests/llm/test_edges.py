@@ -525,7 +525,7 @@ def test_language_fit_counts_in_bounded_blocks(monkeypatch):
 
 
 def test_near_dedup_takes_texts_in_small_blocks(spark):
-    """The arrays of a block hold fifty bytes a byte of text, and two tasks share an executor's memory."""
+    """The arrays of a block hold about thirty bytes a byte of text, and two tasks share an executor's memory."""
     import tracemalloc
 
     import pyarrow as pa
