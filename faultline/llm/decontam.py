@@ -1,6 +1,6 @@
 """Benchmark decontamination with a positional inverted index of the corpus.
 
-The index is partitioned by documents: a row holds the postings of one segment (a few MB
+The index is partitioned by documents: a row holds the postings of one segment (about a MB
 of text): its terms, and for each term the sorted positions where it stands. A phrase is
 found by intersecting the lists of its terms, each shifted by the term's offset in the
 phrase, from the rarest term of the whole corpus on. Lists never leave their segment, so
@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import null_safe, release, written
+from .shared import bounded_batches, null_safe, release, written
 
 WINDOW = 10
 GAP = 64  # free positions between documents of a segment: no match reaches over
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 1 << 20  # what Python holds of a segment is about 31 times as much; Spark's writers look at their size every 100 rows only
 BLOCK_WORDS = 2_000_000  # benchmark words that are searched for in one pass over the index
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield _segment_row(ids, ths, texts, schema)
 
-    return written(rows.mapInArrow(segments, out), "positions")
+    return written(bounded_batches(rows, "4m").mapInArrow(segments, out), "positions")
 
 
 class Windows:
@@ -153,7 +153,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["term", "n"])
 
-    got = index.select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    got = bounded_batches(index, "4m").select("terms", "counts").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(len(vocabulary), np.int64)
     out[got["term"]] = got["n"]
     return out
@@ -219,7 +219,7 @@ def find_phrases(index: DataFrame, items: DataFrame, item_col: str = "item_id",
         if len(windows.size):
             windows.from_the_rarest(term_counts(index, windows.vocabulary))
         if len(windows.size):
-            found.append(index.mapInArrow(_search(spark.sparkContext.broadcast(windows), slop), out))  # bounded by block_words
+            found.append(bounded_batches(index, "4m").mapInArrow(_search(spark.sparkContext.broadcast(windows), slop), out))  # bounded by block_words
     if not found:
         return spark.createDataFrame([], out)
     result = found[0]

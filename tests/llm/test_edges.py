@@ -572,3 +572,16 @@ def test_texts_go_to_python_in_small_batches(spark, docs):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         use()
         assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
+def test_decontamination_indexes_small_segments(spark):
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(20_000))
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string").coalesce(1)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    index = decontam.build_index(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    rows = index.select(F.size("ids").alias("n"), F.aggregate("n_words", F.lit(0), lambda a, x: a + x).alias("words")).collect()
+    assert sum(r.n for r in rows) == 40 and max(r.words for r in rows) * 7 <= (1 << 20) + len(text) + 40
+    out = decontam.drop_contaminated(docs, spark.createDataFrame([(1, " ".join(text.split()[500:512]))], "item_id long, text string"))
+    assert out.count() == 0
