@@ -585,3 +585,15 @@ def test_decontamination_indexes_small_segments(spark):
     assert sum(r.n for r in rows) == 40 and max(r.words for r in rows) * 7 <= (1 << 20) + len(text) + 40
     out = decontam.drop_contaminated(docs, spark.createDataFrame([(1, " ".join(text.split()[500:512]))], "item_id long, text string"))
     assert out.count() == 0
+
+
+def test_line_signatures_fill_empty_bins_and_rank_all_shingles(spark):
+    lines = ["ab", "the quick brown fox jumps over the lazy dog", "x" * 300, "".join(chr(0x4E00 + i) for i in range(2000)), "a\U0001F600b\U0001F600cde"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = [r.mins for r in line_dedup.signatures(line_dedup.lines_of(docs, "doc_id", "text")).collect()]
+    assert len(got) == len(lines) and all(len(m) == line_dedup.BINS and None not in m for m in got)
+    assert len({tuple(m) for m in got}) == len(lines)  # no line without a signature of its own
+    bands = [set(line_dedup._band(b)) for b in range(line_dedup.BANDS)]
+    assert all(len(x) == line_dedup.ROWS for x in bands) and all(len(x & y) <= 1 for i, x in enumerate(bands) for y in bands[:i])
+    sets = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.shingles(F.col("line")).alias("s")).collect()
+    assert all(set(r.s) == brute.char_shingles(r.line) and len(r.s) == len(set(r.s)) for r in sets)
